@@ -20,6 +20,18 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import page_line_dedup
+
+    return page_line_dedup(table(spark, sf_dir, "pages"), ratio=0.2, min_pages=3)
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import warc_round_trip
 
@@ -29,6 +41,18 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_round_trip
+
+    return media_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -36,7 +60,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
+    "op3_sharding": op3_sharding,
     "op4_warc": op4_warc,
+    "op6_media": op6_media,
+    "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
 }
 
