@@ -139,3 +139,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     edge = joined.filter(at_edge).withColumn("extra", upto - F.col("size") / 2 <= F.col("rest2"))
     taken = F.col("size") * (F.col("certain") + F.col("extra").cast("long"))
     return clear.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), (F.col("certain") + F.col("extra").cast("long")).alias("copies"))
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row as many times as the mix takes its document."""
+    taken = stored(mix(docs).filter("copies > 0").select("doc_id", F.col("copies").alias("_copies")), "taken")
+    # documents that repeat a doc_id are told apart by nothing else here: they share its copies
+    one = taken.groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
+    joined = docs.join(one.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
