@@ -26,7 +26,7 @@ from .common import stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries of a worker's word cache; it is emptied when full, so memory is bounded.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_000_000
 #: ASCII signs but the apostrophe, which starts contractions, and < and |, which special tokens hold.
 CLOSING = "!\"#$%&()*+,-./:;=>?@[\\]^_`{}~"
 
@@ -43,21 +43,31 @@ class WordIds(dict):
         self.tokenizer = tokenizer
         self.mark = next(t.content for t in tokenizer.get_added_tokens_decoder().values() if t.special)
         self.mark_id = tokenizer.token_to_id(self.mark)
-
-    def learn(self, chunks) -> None:
-        """Add the ids of ``chunks``, none of which is known."""
-        plain, odd, bases = [], [], {}
-        for c in chunks:
-            if c.isascii() and not c.islower():
-                base = c.lower().rstrip(CLOSING)
+        self.todo: set[str] = set()
+
+    def __missing__(self, chunk: str) -> None:
+        self.todo.add(chunk)
+
+    def learn(self) -> None:
+        """Add the ids of the chunks that were missed."""
+        plain, odd, bases = [], [], []
+        for c in self.todo:
+            if c.isalpha():
+                if c.isascii() and not c.islower():
+                    bases.append((c, c.lower(), ""))
+                else:
+                    plain.append(c)
+            elif self.mark[:2] in c:
+                odd.append(c)
             else:
                 base = c.rstrip(CLOSING)
-            # a run of signs after a letter is a piece of its own
-            if base and base != c and base[-1].isalpha() and self.mark[:2] not in c:
-                bases[c] = (base, c[len(base) :])
-            else:
-                (odd if self.mark[:2] in c else plain).append(c)
-        more = {x for pair in bases.values() for x in pair if x not in self}
+                # a run of signs after a letter is a piece of its own
+                if base and base != c and base[-1].isalpha():
+                    bases.append((c, base.lower() if base.isascii() else base, c[len(base) :]))
+                else:
+                    plain.append(c)
+        self.todo = set()
+        more = {x for _, *pair in bases for x in pair if x not in self}
         plain = list(more.union(plain))
         for at in range(0, len(plain), 5_000):
             part = plain[at : at + 5_000]
@@ -70,31 +80,41 @@ class WordIds(dict):
                 self[chunk] = raw[a + 4 : b]
         for chunk in odd:
             self[chunk] = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        for chunk, (base, signs) in bases.items():
+        for chunk, base, signs in bases:
             self[chunk] = self[base] + self[signs]
 
     def ids(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
-        found = list(map(self.get, chunks))
-        if None in found:
+        found = list(map(self.__getitem__, chunks))
+        if self.todo:
             if len(self) > CACHE_WORDS:
                 self.clear()
-                found = [None] * len(chunks)
-            self.learn({c for c, ids in zip(chunks, found, strict=True) if ids is None})
+                self.todo = set(chunks)
+            self.learn()
             found = map(self.__getitem__, chunks)
         return b"".join(found)
 
 
+_WORKER: dict[str, WordIds] = {}
+
+
+def worker_words(tokenizer_file: str) -> WordIds:
+    """The cache of this Python worker: it outlives a task, and stays within CACHE_WORDS."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    if tokenizer_file not in _WORKER:
+        _WORKER[tokenizer_file] = WordIds(Tokenizer.from_file(tokenizer_file))
+    return _WORKER[tokenizer_file]
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document's ids and end id."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        words = WordIds(Tokenizer.from_file(tokenizer_file))
+        words = worker_words(tokenizer_file)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
