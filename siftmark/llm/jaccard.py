@@ -8,12 +8,13 @@ few to spare for pieces without tokens): two similar sets agree on a piece both
 A piece travels as one 64-bit fingerprint of its parities.
 
 1. Equal sets become one class; from here on only distinct sets count.
-2. Classes meet by piece fingerprint.  Each is compared with the first of its bucket
-   only, so a bucket of g classes gives g - 1 candidates; verified pairs become components.
-3. Buckets whose classes still lie in several components have their cross-component pairs
-   compared: sketches in blocks first (Hamming distance within the bound), then whole sets.
-   No pair within the threshold escapes: it shares a bucket, and is tested unless already
-   linked through others.
+2. Classes meet by piece fingerprint.  In each of a few rounds every bucket draws one of its
+   classes and compares the others with that one only, so g classes give g - 1 candidates:
+   first the Hamming distance of their sketches, then their whole sets.  Linked classes
+   become components, and buckets that lie within one component are done.
+3. Buckets whose classes still lie in several components have all their cross-component
+   pairs compared, sketches in blocks first.  No pair within the threshold escapes: it
+   shares a bucket, and is tested unless already linked through others.
 
 Sets of tokens, classes and pieces are told apart by 64-bit hashes.
 
@@ -42,8 +43,10 @@ SENT_CLASSES = 200_000
 SKETCH_BITS = 1024
 #: Rows of a bucket that are compared as one block.
 BLOCK = 2048
-#: A set of classes is broadcast up to this many, else joined by a shuffle.
-BROADCAST_CLASSES = 1_000_000
+#: Ids of classes, and their sketches, are broadcast up to this many, else joined by a shuffle.
+BROADCAST_CLASSES, BROADCAST_SKETCHES = 1_000_000, 150_000
+#: Rounds in which a bucket draws a class before all that is left is compared.
+ROUNDS = 3
 #: Ratio between the largest sizes of neighbouring bands.
 BAND_RATIO = 1.6
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -63,11 +66,19 @@ class WordHashes(dict):
         return h
 
 
+_WORKER_WORDS = WordHashes()
+
+
+def worker_words() -> WordHashes:
+    """The word cache of this Python worker; it outlives a task and is emptied when full."""
+    return _WORKER_WORDS
+
+
 class Shingler:
     """Distinct shingle hashes of a text, ascending."""
 
     def __init__(self, words: int):
-        self.words, self.known = words, WordHashes()
+        self.words, self.known = words, worker_words()
         self.odd = mix(np.arange(1, words + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
     def tokens(self, text: bytes | None) -> np.ndarray:
@@ -140,10 +151,10 @@ def piece_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, U64)
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """Parities of SKETCH_BITS bits, each token toggling one."""
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of SKETCH_BITS bits, each token toggling one, as longs."""
     bits = np.bincount((tokens >> U64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def _text(cell) -> bytes | None:
@@ -193,29 +204,54 @@ def _keys(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
 
 
 def _token_table(docs: DataFrame, wanted: DataFrame, words: int, count: int) -> DataFrame:
-    """``class, n, sketch, tokens`` of the classes in ``wanted(doc_id, class)``."""
+    """``class, n, sketch, tokens`` of the classes in ``wanted(doc_id, class)``, once a task."""
     few = F.broadcast(wanted) if count <= BROADCAST_CLASSES else wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
+        shingler, sent = Shingler(words), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 rows = batch.slice(at, 500)
-                sets = [shingler.tokens(_text(t)) for t in rows.column(1)]
-                # a doc_id may occur with other texts: only the class asked for counts
-                good = [set_id(s) == c for s, c in zip(sets, rows.column(0).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([
-                    rows.column(0), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
-                ], names=["class", "n", "sketch", "tokens"]).filter(pa.array(good, pa.bool_()))
+                made: list[tuple[int, np.ndarray]] = []
+                for ident, cell in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+                    if ident in sent:
+                        continue
+                    tokens = shingler.tokens(_text(cell))
+                    # a doc_id may occur with other texts: only the class asked for counts
+                    if set_id(tokens) == ident:
+                        sent.add(ident)
+                        made.append((ident, tokens))
+                if len(sent) >= SENT_CLASSES:
+                    sent.clear()
+                if made:
+                    flat = pa.array(np.concatenate([sketch(t) for _, t in made]))
+                    wide = SKETCH_BITS // 64
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([i for i, _ in made], pa.int64()), pa.array([len(t) for _, t in made], pa.int64()),
+                        pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * wide, flat), pa.array([t.tobytes() for _, t in made], pa.binary()),
+                    ], names=["class", "n", "sketch", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(few, "doc_id").select("class", "text")
-    return rows.mapInArrow(run, "class long, n long, sketch binary, tokens binary").dropDuplicates(["class"])
+    return rows.mapInArrow(run, "class long, n long, sketch array<long>, tokens binary")
+
+
+def _near(pairs: DataFrame, tokens: DataFrame, bands: Bands, small: bool) -> DataFrame:
+    """Distinct pairs ``a, b`` whose sizes and sketches allow a link."""
+    num, den = bands.num, bands.den
+    known = tokens.select("class", "n", "sketch").dropDuplicates(["class"])
+    known = F.broadcast(known) if small else known
+    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
+    met = pairs.join(known.toDF("a", "n_a", "s_a"), "a").join(known.toDF("b", "n_b", "s_b"), "b")
+    met = met.filter(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
+    return met.filter(apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, bands: Bands) -> DataFrame:
     """The pairs ``a, b`` whose whole sets meet the threshold."""
     num, den = bands.num, bands.den
+    used = stored(pairs.select("a").union(pairs.select("b")).distinct().toDF("class"), "used")
+    few = F.broadcast(used) if used.count() <= BROADCAST_CLASSES else used
+    sets = tokens.join(few, "class", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,8 +262,8 @@ def _verified(pairs: DataFrame, tokens: DataFrame, bands: Bands) -> DataFrame:
                 good.append(den * both >= num * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    x = tokens.select(F.col("class").alias("a"), F.col("tokens").alias("x"))
-    y = tokens.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
+    x = sets.select(F.col("class").alias("a"), F.col("tokens").alias("x"))
+    y = sets.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -238,7 +274,7 @@ def _near_in_blocks(rows: DataFrame, bands: Bands) -> DataFrame:
         ident, comp = table.column("class").to_numpy(), table.column("comp").to_numpy()
         n, block = table.column("n").to_numpy(), table.column("block").to_numpy()
         i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), U64).reshape(len(ident), -1)
+        bits = table.column("sketch").combine_chunks().flatten().to_numpy().view(U64).reshape(len(ident), -1)
         a, b = [], []
         for start, end in zip(ends, ends[1:], strict=False):
             left = np.arange(start, end)
@@ -299,37 +335,53 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     classes = sets.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("docs"))
     classes = stored(classes, "classes")
 
-    # buckets: each class but the first of its bucket, with the first
-    by = Window.partitionBy("key").orderBy("class")
-    met = _keys(docs, words, bands).select("key", "class", F.first("class").over(by).alias("first"), F.lag("class").over(by).alias("before"))
+    # buckets of two classes or more, with a class drawn for each
+    draw = F.xxhash64("class", "key")
+    by = Window.partitionBy("key").orderBy("draw", "class")
+    keys = _keys(docs, words, bands).withColumn("draw", draw)
+    met = keys.select("key", "class", F.first("class").over(by).alias("first"), F.lag("class").over(by).alias("before"))
     buckets = stored(met.filter("class <> first and class <> before").select("key", "first", "class"), "buckets")
-
-    sizes = classes.select("class", "n")
-    pairs = buckets.select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
-    pairs = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-    pairs = stored(pairs.filter(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").select("a", "b"), "pairs")
-
     seen = buckets.select("class").union(buckets.select("first")).distinct()
     wanted = stored(seen.join(classes, "class").select(F.col("rep").alias("doc_id"), "class"), "wanted")
-    tokens = stored(_token_table(docs, wanted, words, wanted.count()), "tokens")
-    links = stored(_verified(pairs, tokens, bands), "links")
+    count = wanted.count()
+    tokens = stored(_token_table(docs, wanted, words, count), "tokens")
     vertices = wanted.select(F.col("class").alias("id"))
-    comp = components(vertices, links)
+    small = count <= BROADCAST_SKETCHES
 
-    # what is left: buckets that hold several components besides their first
-    held = stored(buckets.select("key", F.col("class").alias("id")).join(comp, "id"), "held")
-    mixed = held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("g"))
-    mixed = stored(mixed.filter("low <> high").select("key", F.ceil(F.col("g") / BLOCK).cast("int").alias("k")), "mixed")
-    rows = held.join(mixed, "key").withColumn("block", F.pmod(F.hash("id"), F.col("k")))
-    rows = rows.join(tokens.select(F.col("class").alias("id"), "n", "sketch"), "id")
+    def linked_by(pairs: DataFrame, name: str) -> DataFrame:
+        near = stored(_near(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tokens, bands, small), f"near_{name}")
+        out = stored(_verified(near, tokens, bands), name)
+        discard(near)
+        return out
+
+    links = linked_by(buckets.select(F.col("first").alias("a"), F.col("class").alias("b")), "links0")
+    comp = components(vertices, links)
+    members = buckets.select("key", "class").union(buckets.select("key", F.col("first").alias("class"))).distinct()
+    for turn in range(1, ROUNDS + 1):
+        # what is left: buckets that hold several components
+        held = members.select("key", "class").join(comp.toDF("class", "comp"), "class")
+        spread = held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("g"))
+        mixed = stored(spread.filter("low <> high").select("key", "g"), "mixed")
+        members = stored(held.join(mixed, "key").select("key", "class", "comp", "g"), "members")
+        if turn == ROUNDS or not members.limit(1).count():
+            break
+        again = Window.partitionBy("key").orderBy(F.xxhash64("class", "key", F.lit(turn)), "class")
+        drawn = members.select("key", "class", "comp", F.first(F.struct("class", "comp")).over(again).alias("first"))
+        pairs = drawn.filter("comp <> first.comp").select(F.col("first.class").alias("a"), F.col("class").alias("b"))
+        links = links.union(linked_by(pairs, f"links{turn}"))
+        comp = components(vertices, links)
+
+    rows = members.withColumn("k", F.ceil(F.col("g") / BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("class"), F.col("k")))
+    known = tokens.select("class", "n", "sketch").dropDuplicates(["class"])
+    rows = rows.join(F.broadcast(known) if small else known, "class")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("key", F.col("id").alias("class"), "comp", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = rows.select("key", "class", "comp", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "class")
     more = stored(_near_in_blocks(rows, bands).distinct(), "more")
     late = stored(_verified(more, tokens, bands), "late")
     if late.limit(1).count():
         comp = components(vertices, links.union(late))
-    for table in (held, mixed, buckets, tokens, pairs, more):
+    for table in (buckets, tokens, members, more):
         discard(table)
 
     named = classes.join(comp.withColumnRenamed("id", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
