@@ -12,6 +12,24 @@ from pyspark.sql import functions as F
 HOT_PARTS = 2048
 
 
+_KEPT: list = [None, None]
+
+
+def worker_cache(name: str, make):
+    """What a Python worker keeps between tasks: one operator's cache, the latest's alone."""
+    if _KEPT[0] != name:
+        _KEPT[:] = [name, None]
+        _KEPT[1] = make()
+    return _KEPT[1]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB instead of the default 64 MB: texts are long, and workers several."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("67108864", "67108864b"):
+        spark.conf.set(key, "8388608b")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,6 +53,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
+    small_batches(spark)
     path = fresh_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

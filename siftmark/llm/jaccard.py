@@ -34,11 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, lookup, stored
+from .common import components, discard, lookup, stored, worker_cache
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Classes whose pieces a task remembers as sent; forgetting only costs repeats.
-SENT_CLASSES = 200_000
+SENT_CLASSES = 100_000
 #: Bits of the sketch that candidate pairs are held against before their sets are.
 SKETCH_BITS = 1024
 #: Rows of a bucket that are compared as one block.
@@ -66,19 +66,11 @@ class WordHashes(dict):
         return h
 
 
-_WORKER_WORDS = WordHashes()
-
-
-def worker_words() -> WordHashes:
-    """The word cache of this Python worker; it outlives a task and is emptied when full."""
-    return _WORKER_WORDS
-
-
 class Shingler:
     """Distinct shingle hashes of a text, ascending."""
 
     def __init__(self, words: int):
-        self.words, self.known = words, worker_words()
+        self.words, self.known = words, worker_cache("words", WordHashes)
         self.odd = mix(np.arange(1, words + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
     def tokens(self, text: bytes | None) -> np.ndarray:

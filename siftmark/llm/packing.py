@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, worker_cache
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries of a worker's word cache; it is emptied when full, so memory is bounded.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 #: ASCII signs but the apostrophe, which starts contractions, and < and |, which special tokens hold.
 CLOSING = "!\"#$%&()*+,-./:;=>?@[\\]^_`{}~"
 
@@ -95,9 +95,6 @@ class WordIds(dict):
         return b"".join(found)
 
 
-_WORKER: dict[str, WordIds] = {}
-
-
 def worker_words(tokenizer_file: str) -> WordIds:
     """The cache of this Python worker: it outlives a task, and stays within CACHE_WORDS."""
     import os
@@ -105,9 +102,7 @@ def worker_words(tokenizer_file: str) -> WordIds:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    if tokenizer_file not in _WORKER:
-        _WORKER[tokenizer_file] = WordIds(Tokenizer.from_file(tokenizer_file))
-    return _WORKER[tokenizer_file]
+    return worker_cache(f"ids {tokenizer_file}", lambda: WordIds(Tokenizer.from_file(tokenizer_file)))
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:

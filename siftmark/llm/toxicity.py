@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 #: Labelled rows the machine is fitted on at most, taken in the order of a hash of doc_id.
-MAX_TRAINING_ROWS = 12_000
+MAX_TRAINING_ROWS = 8_000
 BUCKETS = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 class TermIds(dict):
@@ -79,7 +81,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, steps: int =
     if not n1 or not n0:
         return Machine(none, bias, np.empty(0), np.empty((0, rank)))
     lengths = np.array([len(r) for r in rows])
-    ids, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
+    n = len(rows)
+    ids, doc = np.concatenate(rows), np.repeat(np.arange(n, dtype=np.int32), lengths)
+    rows = None  # the driver's memory holds one copy
     c1 = np.bincount(ids[labels[doc] == 1], minlength=BUCKETS)
     c0 = np.bincount(ids[labels[doc] == 0], minlength=BUCKETS)
     # likelihood ratio of a term's own rate of label 1 against the base rate
@@ -90,7 +94,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, steps: int =
     terms = np.flatnonzero((own > rate) & (g2 >= least_g2)).astype(np.int32)
     known = np.isin(ids, terms)
     at, doc = np.searchsorted(terms, ids[known]), doc[known]
-    n, m = len(rows), len(terms)
+    m = len(terms)
     draw = np.random.default_rng(0)
     p = [np.array([bias]), np.zeros(m), draw.normal(0, 0.01, (m, rank))]
     first, second = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
@@ -132,20 +136,22 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = TermIds()
+        known = worker_cache("terms", TermIds)
         for batch in batches:
             ids = [known.of(t or "").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "toxic", "ids"])
 
     rows = texts.mapInArrow(terms, "doc_id long, toxic int, ids binary").orderBy("doc_id", "ids").limit(2 * max_rows).collect()
-    return fit([np.frombuffer(bytes(r["ids"]), np.int32) for r in rows], np.array([int(r["toxic"] > 0) for r in rows]))
+    ids, labels_of = [np.frombuffer(r["ids"], np.int32) for r in rows], np.array([int(r["toxic"] > 0) for r in rows])
+    del rows
+    return fit(ids, labels_of)
 
 
 def score_documents(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = TermIds()
+        known = worker_cache("terms", TermIds)
         for batch in batches:
             scores = [machine.score(known.of(t.as_py() or "")) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
@@ -166,7 +172,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
     text_at = columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = TermIds()
+        known = worker_cache("terms", TermIds)
         for batch in batches:
             clean = [machine.score(known.of(t.as_py() or "")) < threshold for t in batch.column(text_at)]
             yield batch.filter(pa.array(clean, pa.bool_()))
