@@ -26,7 +26,7 @@ def worker_cache(name: str, make):
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 8 MB instead of the default 64 MB: texts are long, and workers several."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("67108864", "67108864b"):
+    if spark.conf.get(key, "67108864b") in ("67108864", "67108864b"):
         spark.conf.set(key, "8388608b")
 
 
