@@ -45,8 +45,8 @@ SKETCH_BITS = 1024
 BLOCK = 2048
 #: Ids of classes, and their sketches, are broadcast up to this many, else joined by a shuffle.
 BROADCAST_CLASSES, BROADCAST_SKETCHES = 1_000_000, 150_000
-#: Rounds in which a bucket draws a class before all that is left is compared.
-ROUNDS = 3
+#: Rounds in which a bucket draws a class before all that is left is compared, and orders of the first.
+ROUNDS, FIRST_ORDERS = 4, 4
 #: Ratio between the largest sizes of neighbouring bands.
 BAND_RATIO = 1.6
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -328,7 +328,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     classes = stored(classes, "classes")
 
     # buckets of two classes or more, with a class drawn for each
-    draw = F.xxhash64("class", "key")
+    # a few orders of the classes at first: most groups fall into one component by few comparisons
+    draw = F.xxhash64("class", F.pmod("key", F.lit(FIRST_ORDERS)))
     by = Window.partitionBy("key").orderBy("draw", "class")
     keys = _keys(docs, words, bands).withColumn("draw", draw)
     met = keys.select("key", "class", F.first("class").over(by).alias("first"), F.lag("class").over(by).alias("before"))
