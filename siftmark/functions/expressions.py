@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 
 def clamp_percent(x: Column) -> Column:
-    """0 to 100; what is not a number is 0."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.nanvl(x, F.lit(0.0))))
+    """0 to 100; what is not a number is 0; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.nanvl(x, F.lit(0.0)))))
 
 
 def percent_text(x: Column) -> Column:
