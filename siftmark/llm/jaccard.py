@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import components, discard, lookup, stored, worker_cache
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Classes whose pieces a task remembers as sent; forgetting only costs repeats.
-SENT_CLASSES = 100_000
+SENT_CLASSES = 50_000
 #: Bits of the sketch that candidate pairs are held against before their sets are.
 SKETCH_BITS = 1024
 #: Rows of a bucket that are compared as one block.

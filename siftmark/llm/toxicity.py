@@ -30,7 +30,7 @@ MAX_TRAINING_ROWS = 8_000
 BUCKETS = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 class TermIds(dict):
