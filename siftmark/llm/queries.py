@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches
+from .oracles import ORACLES as ORACLES
 
 #: Where the public tokenizers' files lie.
 TOKENIZER_FILE = "word_bpe_49k.json"
@@ -98,28 +99,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard": op9_jaccard,
     "op10_toxicity": op10_toxicity,
 }
-
-#: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {
-    "op4_warc": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
-             d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS sha FROM p),
-             bits AS (SELECT page_id, payload_bytes, sha, max(page_id) OVER (PARTITION BY sha) AS keeper FROM d)
-        SELECT page_id, payload_bytes,
-               array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-                   1 + list_sum(list_transform(range(0, 5), lambda j:
-                       ((('0x' || substr(sha, 1 + (5 * k + j) // 4, 1))::INTEGER >> (3 - (5 * k + j) % 4)) & 1) << (4 - j)))::INTEGER, 1)), '') AS payload_digest,
-               CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN page_id <> keeper THEN keeper END AS refers_to
-        FROM bits
-    """,
-    "op5_topk": """
-        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-             s AS (SELECT q.vec_id AS query_id, c.vec_id,
-                          list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
-                   FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
-        SELECT query_id, rank::INTEGER AS rank, vec_id, score
-        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
-    """,
-}
