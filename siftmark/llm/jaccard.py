@@ -39,14 +39,15 @@ from .common import components, discard, lookup, stored, worker_cache
 CACHE_WORDS = 100_000
 #: Classes whose pieces a task remembers as sent; forgetting only costs repeats.
 SENT_CLASSES = 50_000
-#: Bits of the sketch that candidate pairs are held against before their sets are.
-SKETCH_BITS = 1024
-#: Rows of a bucket that are compared as one block.
+#: Bits at least of the sketch that candidate pairs are held against before their sets are.
+LEAST_BITS = 512
+#: Classes of a bucket that names its pairs; rows of a larger one that are compared as one block.
+SMALL_BUCKET = 8
 BLOCK = 2048
-#: Ids of classes, and their sketches, are broadcast up to this many, else joined by a shuffle.
-BROADCAST_CLASSES, BROADCAST_SKETCHES = 1_000_000, 150_000
+#: Ids of classes are broadcast up to this many, sketches up to so many longs, else both are joined by a shuffle.
+BROADCAST_CLASSES, BROADCAST_SKETCHES = 1_000_000, 3_000_000
 #: Rounds in which a bucket draws a class before all that is left is compared, and orders of the first.
-ROUNDS, FIRST_ORDERS = 4, 4
+ROUNDS, FIRST_ORDERS = 2, 4
 #: Ratio between the largest sizes of neighbouring bands.
 BAND_RATIO = 1.6
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -144,9 +145,15 @@ def piece_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parities of SKETCH_BITS bits, each token toggling one, as longs."""
-    bits = np.bincount((tokens >> U64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+    """Parities of bits that tokens toggle, as longs: a power of two of bits, LEAST_BITS and twice the tokens at least."""
+    bits = max(LEAST_BITS, 1 << (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens >> U64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def folded(longs: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of fewer bits from one of more: its parts, added bit by bit."""
+    return np.bitwise_xor.reduce(longs.reshape(-1, size), axis=0)
 
 
 def _text(cell) -> bytes | None:
@@ -216,11 +223,11 @@ def _token_table(docs: DataFrame, wanted: DataFrame, words: int, count: int) ->
                 if len(sent) >= SENT_CLASSES:
                     sent.clear()
                 if made:
-                    flat = pa.array(np.concatenate([sketch(t) for _, t in made]))
-                    wide = SKETCH_BITS // 64
+                    sketches = [sketch(t) for _, t in made]
+                    ends = np.cumsum([0, *map(len, sketches)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([
                         pa.array([i for i, _ in made], pa.int64()), pa.array([len(t) for _, t in made], pa.int64()),
-                        pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * wide, flat), pa.array([t.tobytes() for _, t in made], pa.binary()),
+                        pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sketches))), pa.array([t.tobytes() for _, t in made], pa.binary()),
                     ], names=["class", "n", "sketch", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(few, "doc_id").select("class", "text")
@@ -232,7 +239,15 @@ def _near(pairs: DataFrame, tokens: DataFrame, bands: Bands, small: bool) -> Dat
     num, den = bands.num, bands.den
     known = tokens.select("class", "n", "sketch").dropDuplicates(["class"])
     known = F.broadcast(known) if small else known
-    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
+    none = F.lit(0).cast("long")
+    size = F.least(F.size("s_a"), F.size("s_b"))
+
+    def fold(x: str):  # the longer sketch at the shorter one's size
+        parts = F.sequence(F.lit(0), F.floor(F.size(x) / size).cast("int") - 1)
+        word = lambda i: F.aggregate(parts, none, lambda t, k: t.bitwiseXOR(F.get(x, i + k * size)))
+        return F.when(F.size(x) == size, F.col(x)).otherwise(F.transform(F.sequence(F.lit(0), size - 1), word))
+
+    apart = F.aggregate(F.zip_with(fold("s_a"), fold("s_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), none, lambda t, x: t + x)
     met = pairs.join(known.toDF("a", "n_a", "s_a"), "a").join(known.toDF("b", "n_b", "s_b"), "b")
     met = met.filter(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
     return met.filter(apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b")
@@ -259,6 +274,32 @@ def _verified(pairs: DataFrame, tokens: DataFrame, bands: Bands) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _pairs_in_runs(rows: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of different components among the few rows of each key; rows come sorted by key, class."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = [np.empty(0, np.int64)] * 3
+        for batch in batches:
+            key, ident, comp = (np.concatenate([t, batch.column(c).to_numpy()]) for t, c in zip(tail, ("key", "class", "comp"), strict=True))
+            a, b = [], []
+            last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            for step in range(1, SMALL_BUCKET):
+                # a row meets the rows up to SMALL_BUCKET - 1 places on; the kept tail holds the open run
+                same = np.flatnonzero((key[step:last] == key[: max(0, last - step)]) & (comp[step:last] != comp[: max(0, last - step)]))
+                a.append(ident[same])
+                b.append(ident[same + step])
+            tail = [key[last:], ident[last:], comp[last:]]
+            if any(map(len, a)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        key, ident, comp = tail
+        i, j = np.triu_indices(len(key), 1)
+        open_ = comp[i] != comp[j]
+        if open_.any():
+            yield pa.RecordBatch.from_arrays([pa.array(ident[i[open_]]), pa.array(ident[j[open_]])], names=["a", "b"])
+
+    return rows.mapInArrow(pairs, "a long, b long")
+
+
 def _near_in_blocks(rows: DataFrame, bands: Bands) -> DataFrame:
     """Pairs of rows with one (key, i, j), of different components, whose sketches lie within the bound."""
 
@@ -266,9 +307,12 @@ def _near_in_blocks(rows: DataFrame, bands: Bands) -> DataFrame:
         ident, comp = table.column("class").to_numpy(), table.column("comp").to_numpy()
         n, block = table.column("n").to_numpy(), table.column("block").to_numpy()
         i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
-        bits = table.column("sketch").combine_chunks().flatten().to_numpy().view(U64).reshape(len(ident), -1)
+        sketches = table.column("sketch").combine_chunks()
+        flat, cuts = sketches.flatten().to_numpy().view(U64), np.concatenate(([0], np.cumsum(sketches.value_lengths().to_numpy())))
         a, b = [], []
         for start, end in zip(ends, ends[1:], strict=False):
+            size = int((cuts[start + 1 : end + 1] - cuts[start:end]).min())
+            bits = np.stack([folded(flat[cuts[r] : cuts[r + 1]], size) for r in range(start, end)])
             left = np.arange(start, end)
             right = left
             if i[start] != j[start]:
@@ -285,7 +329,7 @@ def _near_in_blocks(rows: DataFrame, bands: Bands) -> DataFrame:
                     p, q = x[p], right[q]
                     for cut in range(0, len(p), 100_000):
                         pp, qq = p[cut : cut + 100_000], q[cut : cut + 100_000]
-                        apart = np.bitwise_count(bits[pp] ^ bits[qq]).sum(1, dtype=np.int64)
+                        apart = np.bitwise_count(bits[pp - start] ^ bits[qq - start]).sum(1, dtype=np.int64)
                         ok = apart * (bands.den + bands.num) <= (n[pp] + n[qq]) * (bands.den - bands.num)
                         a.append(ident[pp[ok]])
                         b.append(ident[qq[ok]])
@@ -331,7 +375,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     # a few orders of the classes at first: most groups fall into one component by few comparisons
     draw = F.xxhash64("class", F.pmod("key", F.lit(FIRST_ORDERS)))
     by = Window.partitionBy("key").orderBy("draw", "class")
-    keys = _keys(docs, words, bands).withColumn("draw", draw)
+    keys = _keys(docs, words, bands).repartition("key").withColumn("draw", draw)
     met = keys.select("key", "class", F.first("class").over(by).alias("first"), F.lag("class").over(by).alias("before"))
     buckets = stored(met.filter("class <> first and class <> before").select("key", "first", "class"), "buckets")
     seen = buckets.select("class").union(buckets.select("first")).distinct()
@@ -339,7 +383,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     count = wanted.count()
     tokens = stored(_token_table(docs, wanted, words, count), "tokens")
     vertices = wanted.select(F.col("class").alias("id"))
-    small = count <= BROADCAST_SKETCHES
+    small = (tokens.agg(F.sum(F.size("sketch"))).first()[0] or 0) <= BROADCAST_SKETCHES
 
     def linked_by(pairs: DataFrame, name: str) -> DataFrame:
         near = stored(_near(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tokens, bands, small), f"near_{name}")
@@ -349,13 +393,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
 
     links = linked_by(buckets.select(F.col("first").alias("a"), F.col("class").alias("b")), "links0")
     comp = components(vertices, links)
-    members = buckets.select("key", "class").union(buckets.select("key", F.col("first").alias("class"))).distinct()
+    members = buckets.select("key", "class").union(buckets.select("key", F.col("first").alias("class")))
+    few_classes = count <= BROADCAST_CLASSES
     for turn in range(1, ROUNDS + 1):
-        # what is left: buckets that hold several components
-        held = members.select("key", "class").join(comp.toDF("class", "comp"), "class")
-        spread = held.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("g"))
-        mixed = stored(spread.filter("low <> high").select("key", "g"), "mixed")
-        members = stored(held.join(mixed, "key").select("key", "class", "comp", "g"), "members")
+        # what is left: buckets that hold several components; one exchange by key serves all steps
+        held = members.select("key", "class").repartition("key").dropDuplicates(["key", "class"])
+        labels = comp.toDF("class", "comp")
+        held = held.join(F.broadcast(labels), "class") if few_classes else held.join(labels, "class")
+        whole = Window.partitionBy("key")
+        held = held.select("key", "class", "comp", F.min("comp").over(whole).alias("low"), F.max("comp").over(whole).alias("high"), F.count("*").over(whole).alias("g"))
+        members = stored(held.filter("low <> high").select("key", "class", "comp", "g"), "members")
         if turn == ROUNDS or not members.limit(1).count():
             break
         again = Window.partitionBy("key").orderBy(F.xxhash64("class", "key", F.lit(turn)), "class")
@@ -364,13 +411,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
         links = links.union(linked_by(pairs, f"links{turn}"))
         comp = components(vertices, links)
 
+    # small buckets name their pairs, which then meet the sketches; large ones bring the sketches along
     rows = members.withColumn("k", F.ceil(F.col("g") / BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("class"), F.col("k")))
     known = tokens.select("class", "n", "sketch").dropDuplicates(["class"])
-    rows = rows.join(F.broadcast(known) if small else known, "class")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("key", "class", "comp", "n", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    known = F.broadcast(known) if small else known
+    tiny = rows.filter(F.col("g") <= SMALL_BUCKET).select("key", "class", "comp").repartition("key").sortWithinPartitions("key", "class")
+    named_pairs = _near(_pairs_in_runs(tiny).distinct(), tokens, bands, small)
+    rows = rows.filter(F.col("g") > SMALL_BUCKET).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("key", "class", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = rows.join(known, "class").select("key", "class", "comp", "n", "sketch", "block", "i", "j")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "class")
-    more = stored(_near_in_blocks(rows, bands).distinct(), "more")
+    more = stored(_near_in_blocks(rows, bands).union(named_pairs).distinct(), "more")
     late = stored(_verified(more, tokens, bands), "late")
     if late.limit(1).count():
         comp = components(vertices, links.union(late))
