@@ -51,6 +51,11 @@ def digest_similarity(a: Column, b: Column) -> Column:
     )
 
 
+def block_size(size: Column) -> Column:
+    """3 times the largest power of two up to size / 64 + 1, in whole numbers."""
+    return F.lit(3).cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.floor(size / 64) + 1)) - 1)
+
+
 def compare(sides: DataFrame, opts: CompareOptions) -> DataFrame:
     """``pair_id, minhash_percent, ctph_percent, digest_a, digest_b`` from both sides' sketches."""
     empty_a, empty_b = F.col("a.size") == 0, F.col("b.size") == 0

@@ -168,6 +168,7 @@ ORACLES: dict[str, str] = {
     "b8_hist_cosine": _with(f"{BYT}, {HIST}, {COSINE}", "SELECT pair_id, round(cosine_percent, 6) AS cosine_percent FROM cos"),
     "z3_sketch": _with(SKETCH, "SELECT image_id, hash FROM skt"),
     "z4_minhash": _with(f"{SKETCH}, {MINHASH}", "SELECT pair_id, round(minhash_percent, 6) AS minhash_percent FROM mnh"),
+    "z5_block_size": _with(IMG, "SELECT image_id, 3 * list_max(list_filter(list_transform(range(0, 40), lambda k: 1::BIGINT << k), lambda p: p <= n // 64 + 1)) AS block_size FROM siz"),
     "z8_ctph_digest": _with(DIGEST, "SELECT image_id, digest FROM dig"),
     "z9_ctph_score": _with(DIGEST, """SELECT pair_id, round(CASE WHEN u.bs = 0 AND v.bs = 0 THEN 100 WHEN u.bs = 0 OR v.bs = 0 THEN 0 WHEN p IS NULL THEN 0
         WHEN greatest(length(p), length(q)) = 0 THEN 100 ELSE (1 - levenshtein(p, q) / greatest(length(p), length(q))) * 100 END, 6)::DOUBLE AS ctph_percent
@@ -224,6 +225,8 @@ ORACLES: dict[str, str] = {
         SELECT pair_id, round(coalesce(sum(w * s) FILTER (NOT failed AND s IS NOT NULL AND w IS NOT NULL) / sum(w) FILTER (NOT failed AND s IS NOT NULL AND w IS NOT NULL), 0), 6) AS overall FROM w GROUP BY 1""",
     "r1_json_fields": _with(f"{CHUNKS}, {SIDED}, {JACCARD}", """SELECT pair_id, a_id::VARCHAR AS name_a, n AS size_b, 'byteDiff' AS kind0, 3 AS module1, round(jaccard_percent, 6) AS similarity0,
         total_a AS chunks_a, 256::BIGINT AS block_size FROM bdf JOIN prs USING (pair_id) JOIN siz ON image_id = b_id"""),
+    "r3_svg_points": _with(BLOCKS, """SELECT image_id, block AS point, round(block / greatest(max(block) OVER (PARTITION BY image_id), 1) * 600, 6)::DOUBLE AS x,
+        round(120 - least(8, greatest(0, h)) / 8 * 120, 6) AS y FROM ent"""),
     "r4_diff_bar": _with(f"{CHUNKS}, {SIDED}", """SELECT pair_id, side, "offset", round(100.0 * length / sum(length) OVER (PARTITION BY pair_id, side), 6)::DOUBLE AS width_percent, shared FROM spn"""),
     "r7_text_bar": _with(f"{BLOCKS}, {PROFILE}", """SELECT pair_id, '[' || repeat('#', k) || repeat('.', 40 - k) || ']' AS bar
         FROM (SELECT pair_id, round_even(similarity / 100 * 40, 0)::INTEGER AS k FROM psm)"""),

@@ -236,9 +236,17 @@ def span_shares(spans: DataFrame) -> DataFrame:
     return spans.select("pair_id", "side", "offset", (100.0 * F.col("length") / total).alias("width_percent"), "shared")
 
 
+def svg_rows(profiles: DataFrame) -> DataFrame:
+    """``image_id, point, x, y`` of each profile's curve, by the same rule as :func:`svg_points`."""
+    last = F.greatest(F.size("profile") - 1, F.lit(1))
+    points = profiles.select("image_id", last.alias("last"), F.posexplode("profile").alias("point", "v"))
+    y = 120 - F.greatest(F.lit(0.0), F.least(F.lit(8.0), F.col("v"))) / 8 * 120
+    return points.select("image_id", "point", (F.col("point") / F.col("last") * 600).alias("x"), y.alias("y"))
+
+
 def check_json(text: str) -> dict:
     """A JSON report read back; numbers that are not finite come as strings."""
     return json.loads(text, parse_constant=lambda name: math.nan if name == "NaN" else math.inf)
 
 
-__all__ = ["MODULES", "check_json", "html_report", "rendered", "span_shares", "text_report", "to_json", "write_reports"]
+__all__ = ["MODULES", "check_json", "html_report", "rendered", "span_shares", "svg_rows", "text_report", "to_json", "write_reports"]

@@ -15,7 +15,7 @@ from .functions.expressions import hex_spaced
 from .operators import bytediff, entropy, fileformat, fuzzy, patterns
 from .options import CompareOptions
 from .plans.compare import compare, overall, results, scores, weighted_mean
-from .plans.report import span_shares, to_json
+from .plans.report import span_shares, svg_rows, to_json
 from .sources.images import both_sides, image_info, images_from_text, neighbour_pairs, size_warnings
 
 #: Chunks small enough that documents have several: the mask has six bits.
@@ -91,6 +91,10 @@ def z4_minhash(spark, d):
     return fuzzy.compare(both_sides(_pairs(i), fuzzy.sketches(i, DEFAULT)), DEFAULT).select("pair_id", r6("minhash_percent").alias("minhash_percent"))
 
 
+def z5_block_size(spark, d):
+    return image_info(documents(spark, d)).select("image_id", fuzzy.block_size(F.col("size")).alias("block_size"))
+
+
 def z8_ctph_digest(spark, d):
     return fuzzy.sketches(documents(spark, d), DEFAULT).select("image_id", "digest")
 
@@ -248,6 +252,11 @@ def r1_json_fields(spark, d):
     )
 
 
+def r3_svg_points(spark, d):
+    rows = svg_rows(entropy.profiles(documents(spark, d), DEFAULT))
+    return rows.select("image_id", "point", r6("x").alias("x"), r6("y").alias("y"))
+
+
 def r4_diff_bar(spark, d):
     i = documents(spark, d)
     return span_shares(bytediff.diff_spans(_pairs(i), bytediff.chunks(i, SMALL))).withColumn("width_percent", r6("width_percent"))
@@ -278,9 +287,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         s2_image_bytes, s3_image_info, s4_size_warning, b1_gear_table, b2_chunks, b5_chunk_jaccard, b6_diff_map, b7_byte_hist, b8_hist_cosine,
-        z3_sketch, z4_minhash, z8_ctph_digest, z9_ctph_score, z13_candidate_pairs, e1_entropy, e2_block_entropy, e3_downsample, e5_profile_stats,
+        z3_sketch, z4_minhash, z5_block_size, z8_ctph_digest, z9_ctph_score, z13_candidate_pairs, e1_entropy, e2_block_entropy, e3_downsample, e5_profile_stats,
         e6_profile_similarity, p1_grams, p4_gram_jaccard, p5_common_top, p6_unique_top, p7_pattern_score, p11_hex_spaced, f1_magic, f2_headers,
         f3_sections, f9_section_compare, f11_import_sets, f13_format_score, a2_module_scores, a5_overall, a5_weighted_mean, r1_json_fields,
-        r2_html, r4_diff_bar, r7_text_bar, r8_metrics,
+        r2_html, r3_svg_points, r4_diff_bar, r7_text_bar, r8_metrics,
     )
 }
