@@ -184,6 +184,33 @@ def gram_table(data: bytes, length: int) -> tuple[list[bytes], np.ndarray, np.nd
     return [g.tobytes() for g in grams], counts.astype(np.int64), first.astype(np.int64)
 
 
+def gram_index(data: bytes, length: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit keys of the distinct windows, ascending, with counts and first offsets; past ``most`` those first seen stay."""
+    if length <= 0 or len(data) < length:
+        return np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)
+    h = shingle_hashes(data, length)
+    h = (h ^ (h >> U64(32))) * U64(0xD6E8FEB86659FD93)
+    keys, first, counts = np.unique(h, return_index=True, return_counts=True)
+    if len(keys) > most:
+        kept = np.sort(np.argsort(first, kind="stable")[:most])
+        keys, first, counts = keys[kept], first[kept], counts[kept]
+    return keys, counts.astype(np.int64), first.astype(np.int64)
+
+
+def best_windows(data: bytes, length: int, first: np.ndarray, weight: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` windows of largest weight; windows of one weight in the order of their bytes."""
+    if not len(weight) or most <= 0:
+        return np.empty(0, np.int64)
+    if len(weight) > most:
+        least = np.partition(weight, len(weight) - most)[len(weight) - most]
+        near = np.flatnonzero(weight >= least)
+    else:
+        near = np.arange(len(weight))
+    b = np.frombuffer(data, np.uint8)
+    cells = b[first[near][:, None] + np.arange(length)]
+    return near[np.lexsort((*cells.T[::-1], -weight[near]))][:most]
+
+
 def sha256_upper(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest().upper()
 

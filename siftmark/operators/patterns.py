@@ -1,17 +1,22 @@
 """Fixed-length byte patterns: overlap, shared patterns and one-sided indicators.
 
-Each payload gives its distinct patterns with counts already summed, so the only shuffle
-is the one that brings both sides of a pair together by pattern.
+Two payloads meet as they are and their patterns are compared within one row: a pattern table
+holds some 24 bytes for every byte of payload, so shipping payloads moves far less.  ``grams``,
+``paired``, ``gram_jaccard`` and ``top_hits`` do the same by joins, for pattern tables that are
+kept, or for payloads too large to meet in one row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import kernel, metrics, percent_text, whole_text
-from ..functions.kernels import gram_table
+from ..functions.kernels import best_windows, gram_index, gram_table
 from ..options import CompareOptions
 from ..sources.images import both_sides
 
@@ -70,27 +75,65 @@ def top_hits(met: DataFrame, opts: CompareOptions) -> DataFrame:
     )
 
 
-def score(sides: DataFrame, opts: CompareOptions) -> Column:
-    """The overlap, after the rules for short payloads: raw equality where neither side has a pattern, 0 where one has none."""
-    length = opts.pattern_length
-    long_a, long_b = F.col("size_a") >= length, F.col("size_b") >= length
-    equal = F.when(F.col("same"), 100.0).otherwise(0.0)
-    if length <= 0:
-        return equal
-    return F.when(~long_a & ~long_b, equal).when(~long_a | ~long_b, 0.0).otherwise(F.col("jaccard_percent"))
+_HIT = pa.struct([("hex", pa.string()), ("count_a", pa.int64()), ("count_b", pa.int64()), ("first_offset_a", pa.int64()), ("first_offset_b", pa.int64())])
+
+
+def compare_payloads(a: bytes, b: bytes, opts: CompareOptions) -> dict:
+    """Overlap and hit lists of two payloads, by the rules for short ones."""
+    length, most, kept = opts.pattern_length, opts.max_distinct_patterns, opts.kept_patterns
+    (ka, na, fa), (kb, nb, fb) = (gram_index(x, length, most) for x in (a, b))
+    _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    union = len(ka) + len(kb) - len(ia)
+    if len(ka) and len(kb):
+        percent = 100.0 * len(ia) / union
+    else:
+        percent = 0.0 if len(ka) or len(kb) else 100.0 * (a == b)
+
+    def hits(data, at, first, weight, ca, cb, oa, ob):
+        best = best_windows(data, length, first[at], weight, kept)
+        return [{"hex": data[int(first[at[i]]) :][:length].hex().upper(), "count_a": ca(i), "count_b": cb(i), "first_offset_a": oa(i), "first_offset_b": ob(i)} for i in best.tolist()]
+
+    only_a = np.setdiff1d(np.flatnonzero(na >= opts.min_occurrences), ia)
+    only_b = np.setdiff1d(np.flatnonzero(nb >= opts.min_occurrences), ib)
+    zero, none = (lambda i: 0), (lambda i: -1)
+    pick = lambda values, at: lambda i: int(values[at[i]])
+    return {
+        "common": len(ia), "n_union": union, "similarity_percent": float(percent),
+        "common_patterns": hits(a, ia, fa, np.minimum(na[ia], nb[ib]), pick(na, ia), pick(nb, ib), pick(fa, ia), pick(fb, ib)),
+        "unique_a": hits(a, only_a, fa, na[only_a], pick(na, only_a), zero, pick(fa, only_a), none),
+        "unique_b": hits(b, only_b, fb, nb[only_b], zero, pick(nb, only_b), none, pick(fb, only_b)),
+    }
+
+
+def compared(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
+    """``pair_id, common, n_union, similarity_percent`` and the three hit lists of every pair."""
+    id_type = pairs.schema["pair_id"].dataType.simpleString()
+    lists = ("common_patterns", "unique_a", "unique_b")
+    fields = [("common", pa.int64()), ("n_union", pa.int64()), ("similarity_percent", pa.float64()), *[(c, pa.list_(_HIT)) for c in lists]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                data = lambda c, k: c[k].as_buffer().to_pybytes() if c[k].is_valid else b""
+                rows = [compare_payloads(data(part.column(1), k), data(part.column(2), k), opts) for k in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[n] for r in rows], t) for n, t in fields]], names=["pair_id", *[n for n, _ in fields]])
+
+    sides = both_sides(pairs, images.select("image_id", "data")).select("pair_id", F.col("a.data").alias("a"), F.col("b.data").alias("b"))
+    return sides.mapInArrow(run, f"pair_id {id_type}, common long, n_union long, similarity_percent double, " + ", ".join(f"{c} array<{HIT}>" for c in lists))
+
+
+def hit_rows(found: DataFrame) -> DataFrame:
+    """The hit lists as rows: ``pair_id, list, rank, hex`` and the counts and offsets."""
+    parts = []
+    for name, column in (("common", "common_patterns"), ("a", "unique_a"), ("b", "unique_b")):
+        rows = found.select("pair_id", F.lit(name).alias("list"), F.posexplode(column).alias("at", "hit"))
+        parts.append(rows.select("pair_id", "list", (F.col("at") + 1).alias("rank"), "hit.*"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def section(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
-    info = images.select("image_id", F.octet_length("data").cast("long").alias("size"), F.sha2("data", 256).alias("sha"))
-    sides = both_sides(pairs, info).select("pair_id", F.col("a.size").alias("size_a"), F.col("b.size").alias("size_b"), (F.col("a.sha") == F.col("b.sha")).alias("same"))
-    met = paired(pairs, grams(images, opts))
-    hits = top_hits(met, opts)
-    in_order = lambda k: F.array_sort(F.collect_list(F.when(F.col("list") == k, F.struct("rank", "hex", "count_a", "count_b", "first_offset_a", "first_offset_b"))))
-    lists = hits.groupBy("pair_id").agg(in_order("common").alias("common_patterns"), in_order("a").alias("unique_a"), in_order("b").alias("unique_b"))
-    s = sides.join(gram_jaccard(pairs, met), "pair_id").join(lists, "pair_id", "left")
-    bare = lambda c: F.coalesce(F.transform(c, lambda h: h.dropFields("rank")), F.array()).cast(f"array<{HIT}>")
-    length = F.lit(opts.pattern_length)
-    s = s.select("pair_id", score(s, opts).alias("similarity_percent"), length.alias("pattern_length"), *[bare(c).alias(c) for c in ("common_patterns", "unique_a", "unique_b")])
+    s = compared(images, pairs, opts).drop("common", "n_union").withColumn("pattern_length", F.lit(opts.pattern_length))
     return s.withColumn(
         "metrics",
         metrics(

@@ -234,3 +234,9 @@ ORACLES: dict[str, str] = {
         (0, 'Similarity (Jaccard)', format('{:.2f} %', jaccard_percent)), (1, 'Byte-histogram cosine', format('{:.2f} %', cosine_percent)), (2, 'Shared chunks', format('{:,}', common)),
         (3, 'Only in A', format('{:,}', only_a)), (4, 'Only in B', format('{:,}', only_b)), (5, 'Chunks A / B', format('{:,}', total_a) || ' / ' || format('{:,}', total_b))) v(k, label, value)"""),
 }
+ORACLES["p4_gram_join"] = ORACLES["p4_gram_jaccard"]
+ORACLES["p4_gram_jaccard"] = _with(f"{_grams(16)}, {GRAM_PAIRS}, {GRAM_SCORE.format(L=16)}", """SELECT pair_id, coalesce(common, 0) AS common, coalesce(n_union, 0) AS n_union,
+    round(similarity, 6) AS jaccard_percent FROM gsc LEFT JOIN gjc USING (pair_id)""")
+ORACLES["p5_hits_by_join"] = _with(f"{_grams(16)}, {GRAM_PAIRS}", """SELECT pair_id, list, rank::INTEGER AS rank, hex, coalesce(ca, 0) AS count_a, coalesce(cb, 0) AS count_b FROM (
+    SELECT *, row_number() OVER (PARTITION BY pair_id, list ORDER BY least(ca, cb) DESC, hex) AS rank FROM (
+        SELECT *, CASE WHEN ca IS NOT NULL AND cb IS NOT NULL THEN 'common' WHEN ca >= 2 THEN 'a' WHEN cb >= 2 THEN 'b' END AS list FROM met) WHERE list IS NOT NULL) WHERE rank <= 50""")

@@ -137,6 +137,12 @@ def p1_grams(spark, d):
 
 
 def p4_gram_jaccard(spark, d):
+    i = documents(spark, d)
+    return patterns.compared(i, _pairs(i), DEFAULT).select("pair_id", "common", "n_union", r6("similarity_percent").alias("jaccard_percent"))
+
+
+def p4_gram_join(spark, d):
+    """The same by joins of pattern tables."""
     i = documents(spark, d)
     p = _pairs(i)
     found = patterns.gram_jaccard(p, patterns.paired(p, patterns.grams(i, DEFAULT)))
@@ -144,9 +150,14 @@ def p4_gram_jaccard(spark, d):
 
 
 def _hits(spark, d):
+    i = documents(spark, d)
+    return patterns.hit_rows(patterns.compared(i, _pairs(i), DEFAULT))
+
+
+def p5_hits_by_join(spark, d):
     i = documents(spark, d)
     p = _pairs(i)
-    return patterns.top_hits(patterns.paired(p, patterns.grams(i, DEFAULT)), DEFAULT)
+    return patterns.top_hits(patterns.paired(p, patterns.grams(i, DEFAULT)), DEFAULT).select("pair_id", "list", "rank", "hex", "count_a", "count_b")
 
 
 def p5_common_top(spark, d):
@@ -288,7 +299,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         s2_image_bytes, s3_image_info, s4_size_warning, b1_gear_table, b2_chunks, b5_chunk_jaccard, b6_diff_map, b7_byte_hist, b8_hist_cosine,
         z3_sketch, z4_minhash, z5_block_size, z8_ctph_digest, z9_ctph_score, z13_candidate_pairs, e1_entropy, e2_block_entropy, e3_downsample, e5_profile_stats,
-        e6_profile_similarity, p1_grams, p4_gram_jaccard, p5_common_top, p6_unique_top, p7_pattern_score, p11_hex_spaced, f1_magic, f2_headers,
+        e6_profile_similarity, p1_grams, p4_gram_jaccard, p4_gram_join, p5_common_top, p5_hits_by_join, p6_unique_top, p7_pattern_score, p11_hex_spaced, f1_magic, f2_headers,
         f3_sections, f9_section_compare, f11_import_sets, f13_format_score, a2_module_scores, a5_overall, a5_weighted_mean, r1_json_fields,
         r2_html, r3_svg_points, r4_diff_bar, r7_text_bar, r8_metrics,
     )

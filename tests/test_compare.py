@@ -141,6 +141,9 @@ def test_patterns(spark):
     assert shared.hex().upper() in hexes("common_patterns")
     a, b = hexes("unique_a")[ta.hex().upper()], hexes("unique_b")[tb.hex().upper()]
     assert (a["count_a"], a["count_b"], a["first_offset_a"], a["first_offset_b"]) == (3, 0, 48, -1) and (b["count_a"], b["first_offset_a"]) == (0, -1)
+    images, pairs = frames(spark, {"run": (shared * 3 + ta * 3, shared * 3 + tb * 3), "seq": (seq, seq[:700] * 2)})
+    by_join = patterns.top_hits(patterns.paired(pairs, patterns.grams(images, CompareOptions())), CompareOptions())
+    assert sorted(map(tuple, by_join.collect())) == sorted(map(tuple, patterns.hit_rows(patterns.compared(images, pairs, CompareOptions())).select(*by_join.columns).collect()))
     raw = run(spark, patterns.section, {"eq": (b"x", b"x"), "ne": (b"x", b"y")}, CompareOptions(pattern_length=0))
     assert (raw["eq"]["similarity_percent"], raw["ne"]["similarity_percent"]) == (100, 0)
     few = run(spark, patterns.section, {"same": (seq, seq)}, CompareOptions(max_patterns=3))
