@@ -46,8 +46,8 @@ SMALL_BUCKET = 8
 BLOCK = 2048
 #: Ids of classes are broadcast up to this many, sketches up to so many longs, else both are joined by a shuffle.
 BROADCAST_CLASSES, BROADCAST_SKETCHES = 1_000_000, 3_000_000
-#: Rounds in which a bucket draws a class before all that is left is compared, and orders of the first.
-ROUNDS, FIRST_ORDERS = 2, 4
+#: Rounds at most in which a bucket draws a class before all that is left is compared, and orders of the first.
+ROUNDS, FIRST_ORDERS = 7, 4
 #: Ratio between the largest sizes of neighbouring bands.
 BAND_RATIO = 1.6
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -394,7 +394,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     links = linked_by(buckets.select(F.col("first").alias("a"), F.col("class").alias("b")), "links0")
     comp = components(vertices, links)
     members = buckets.select("key", "class").union(buckets.select("key", F.col("first").alias("class")))
-    few_classes = count <= BROADCAST_CLASSES
+    few_classes, rest = count <= BROADCAST_CLASSES, None
     for turn in range(1, ROUNDS + 1):
         # what is left: buckets that hold several components; one exchange by key serves all steps
         held = members.select("key", "class").repartition("key").dropDuplicates(["key", "class"])
@@ -403,8 +403,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
         whole = Window.partitionBy("key")
         held = held.select("key", "class", "comp", F.min("comp").over(whole).alias("low"), F.max("comp").over(whole).alias("high"), F.count("*").over(whole).alias("g"))
         members = stored(held.filter("low <> high").select("key", "class", "comp", "g"), "members")
-        if turn == ROUNDS or not members.limit(1).count():
-            break
+        rest, before = members.count(), rest
+        if turn == ROUNDS or not rest or before is not None and rest > 0.95 * before:
+            break  # more draws would hardly join more
         again = Window.partitionBy("key").orderBy(F.xxhash64("class", "key", F.lit(turn)), "class")
         drawn = members.select("key", "class", "comp", F.first(F.struct("class", "comp")).over(again).alias("first"))
         pairs = drawn.filter("comp <> first.comp").select(F.col("first.class").alias("a"), F.col("class").alias("b"))
