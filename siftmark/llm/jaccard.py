@@ -44,8 +44,8 @@ LEAST_BITS = 512
 #: Classes of a bucket that names its pairs; rows of a larger one that are compared as one block.
 SMALL_BUCKET = 8
 BLOCK = 2048
-#: Ids of classes are broadcast up to this many, sketches up to so many longs, else both are joined by a shuffle.
-BROADCAST_CLASSES, BROADCAST_SKETCHES = 1_000_000, 3_000_000
+#: Ids and sizes of classes are broadcast up to this many (some 10 MB), else joined by a shuffle.
+BROADCAST_CLASSES = 300_000
 #: Rounds at most in which a bucket draws a class before all that is left is compared, and orders of the first.
 ROUNDS, FIRST_ORDERS = 7, 4
 #: Ratio between the largest sizes of neighbouring bands.
@@ -234,11 +234,14 @@ def _token_table(docs: DataFrame, wanted: DataFrame, words: int, count: int) ->
     return rows.mapInArrow(run, "class long, n long, sketch array<long>, tokens binary")
 
 
-def _near(pairs: DataFrame, tokens: DataFrame, bands: Bands, small: bool) -> DataFrame:
-    """Distinct pairs ``a, b`` whose sizes and sketches allow a link."""
+def _near(pairs: DataFrame, sizes: DataFrame, tokens: DataFrame, bands: Bands, few: bool) -> DataFrame:
+    """Distinct pairs ``a, b`` whose sizes, then sketches, allow a link."""
     num, den = bands.num, bands.den
-    known = tokens.select("class", "n", "sketch").dropDuplicates(["class"])
-    known = F.broadcast(known) if small else known
+    known = F.broadcast(sizes) if few else sizes
+    sketches = tokens.select("class", "sketch").dropDuplicates(["class"])
+    met = pairs.join(known.toDF("a", "n_a"), "a").join(known.toDF("b", "n_b"), "b")
+    met = met.filter(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)").distinct()
+    met = met.join(sketches.toDF("a", "s_a"), "a").join(sketches.toDF("b", "s_b"), "b")
     none = F.lit(0).cast("long")
     size = F.least(F.size("s_a"), F.size("s_b"))
 
@@ -248,8 +251,6 @@ def _near(pairs: DataFrame, tokens: DataFrame, bands: Bands, small: bool) -> Dat
         return F.when(F.size(x) == size, F.col(x)).otherwise(F.transform(F.sequence(F.lit(0), size - 1), word))
 
     apart = F.aggregate(F.zip_with(fold("s_a"), fold("s_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), none, lambda t, x: t + x)
-    met = pairs.join(known.toDF("a", "n_a", "s_a"), "a").join(known.toDF("b", "n_b", "s_b"), "b")
-    met = met.filter(f"{den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
     return met.filter(apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b")
 
 
@@ -379,14 +380,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     met = keys.select("key", "class", F.first("class").over(by).alias("first"), F.lag("class").over(by).alias("before"))
     buckets = stored(met.filter("class <> first and class <> before").select("key", "first", "class"), "buckets")
     seen = buckets.select("class").union(buckets.select("first")).distinct()
-    wanted = stored(seen.join(classes, "class").select(F.col("rep").alias("doc_id"), "class"), "wanted")
+    wanted = stored(seen.join(classes, "class").select(F.col("rep").alias("doc_id"), "class", "n"), "wanted")
     count = wanted.count()
-    tokens = stored(_token_table(docs, wanted, words, count), "tokens")
+    tokens = stored(_token_table(docs, wanted.select("doc_id", "class"), words, count), "tokens")
+    sizes, few = wanted.select("class", "n"), count <= BROADCAST_CLASSES
     vertices = wanted.select(F.col("class").alias("id"))
-    small = (tokens.agg(F.sum(F.size("sketch"))).first()[0] or 0) <= BROADCAST_SKETCHES
 
     def linked_by(pairs: DataFrame, name: str) -> DataFrame:
-        near = stored(_near(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), tokens, bands, small), f"near_{name}")
+        near = stored(_near(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sizes, tokens, bands, few), f"near_{name}")
         out = stored(_verified(near, tokens, bands), name)
         discard(near)
         return out
@@ -394,12 +395,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     links = linked_by(buckets.select(F.col("first").alias("a"), F.col("class").alias("b")), "links0")
     comp = components(vertices, links)
     members = buckets.select("key", "class").union(buckets.select("key", F.col("first").alias("class")))
-    few_classes, rest = count <= BROADCAST_CLASSES, None
+    rest = None
     for turn in range(1, ROUNDS + 1):
         # what is left: buckets that hold several components; one exchange by key serves all steps
         held = members.select("key", "class").repartition("key").dropDuplicates(["key", "class"])
         labels = comp.toDF("class", "comp")
-        held = held.join(F.broadcast(labels), "class") if few_classes else held.join(labels, "class")
+        held = held.join(F.broadcast(labels), "class") if few else held.join(labels, "class")
         whole = Window.partitionBy("key")
         held = held.select("key", "class", "comp", F.min("comp").over(whole).alias("low"), F.max("comp").over(whole).alias("high"), F.count("*").over(whole).alias("g"))
         members = stored(held.filter("low <> high").select("key", "class", "comp", "g"), "members")
@@ -415,9 +416,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     # small buckets name their pairs, which then meet the sketches; large ones bring the sketches along
     rows = members.withColumn("k", F.ceil(F.col("g") / BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("class"), F.col("k")))
     known = tokens.select("class", "n", "sketch").dropDuplicates(["class"])
-    known = F.broadcast(known) if small else known
     tiny = rows.filter(F.col("g") <= SMALL_BUCKET).select("key", "class", "comp").repartition("key").sortWithinPartitions("key", "class")
-    named_pairs = _near(_pairs_in_runs(tiny).distinct(), tokens, bands, small)
+    named_pairs = _near(_pairs_in_runs(tiny), sizes, tokens, bands, few)
     rows = rows.filter(F.col("g") > SMALL_BUCKET).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = rows.select("key", "class", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     rows = rows.join(known, "class").select("key", "class", "comp", "n", "sketch", "block", "i", "j")
