@@ -404,8 +404,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
         whole = Window.partitionBy("key")
         held = held.select("key", "class", "comp", F.min("comp").over(whole).alias("low"), F.max("comp").over(whole).alias("high"), F.count("*").over(whole).alias("g"))
         members = stored(held.filter("low <> high").select("key", "class", "comp", "g"), "members")
-        rest, before = members.count(), rest
-        if turn == ROUNDS or not rest or before is not None and rest > 0.95 * before:
+        rest, before = members.select("comp").distinct().count(), rest
+        if turn == ROUNDS or not rest or before is not None and rest > 0.98 * before:
             break  # more draws would hardly join more
         again = Window.partitionBy("key").orderBy(F.xxhash64("class", "key", F.lit(turn)), "class")
         drawn = members.select("key", "class", "comp", F.first(F.struct("class", "comp")).over(again).alias("first"))
