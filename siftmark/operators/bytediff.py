@@ -87,6 +87,11 @@ def diff_maps(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.select("pair_id").join(maps, "pair_id", "left").select("pair_id", F.coalesce("map_a", none).alias("map_a"), F.coalesce("map_b", none).alias("map_b"))
 
 
+def score_of(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
+    """``pair_id, similarity_percent`` alone: neither histograms nor maps are built."""
+    return chunk_jaccard(pairs, chunks(images, opts)).select("pair_id", F.col("jaccard_percent").alias("similarity_percent"))
+
+
 def section(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
     """The module's section: scores, counts, maps and metrics of every pair."""
     found = chunks(images, opts)

@@ -75,6 +75,12 @@ def profile_similarity(a: Column, b: Column, most: int) -> Column:
     return F.when((na == 0) & (nb == 0), 100.0).when((na == 0) | (nb == 0), 0.0).otherwise(clamp_percent(100 * (1 - apart / points / 8)))
 
 
+def score_of(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
+    """``pair_id, similarity_percent`` alone."""
+    sides = both_sides(pairs, profiles(images, opts))
+    return sides.select("pair_id", profile_similarity(F.col("a.profile"), F.col("b.profile"), opts.max_profile_points).alias("similarity_percent"))
+
+
 def section(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
     sides = both_sides(pairs, profiles(images, opts))
     a, b = (profile_stats(F.col(f"{s}.profile"), opts.high_entropy) for s in "ab")

@@ -71,6 +71,14 @@ def headline(names_a: Column, names_b: Column, imports_a: Column, imports_b: Col
     return F.when(applicable, clamp_percent(F.when(some, (by_name + by_import) / 2).otherwise(by_name)))
 
 
+def score_of(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
+    """``pair_id, similarity_percent`` alone: names meet, section contents don't."""
+    names = F.transform("sections", lambda x: x["name"]).alias("names")
+    sides = both_sides(pairs, summaries(images).select("image_id", "format", names, "imports"))
+    applicable = F.col("a.format").isin("PE", "ELF") | F.col("b.format").isin("PE", "ELF")
+    return sides.select("pair_id", headline(F.col("a.names"), F.col("b.names"), F.col("a.imports"), F.col("b.imports"), applicable).alias("similarity_percent"))
+
+
 def section(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
     found = summaries(images)
     sides = both_sides(pairs, found)

@@ -23,9 +23,20 @@ def sketches(images: DataFrame, opts: CompareOptions) -> DataFrame:
     return kernel(images, each, {"size": pa.int64(), "sketch": pa.list_(pa.string()), "digest": pa.string()}, "size long, sketch array<string>, digest string")
 
 
+def minhash_sketches(images: DataFrame, opts: CompareOptions) -> DataFrame:
+    """``image_id, size, sketch`` without the digests."""
+    k, size = opts.shingle, opts.sketch
+
+    def each(data: bytes):
+        raw = bottom_k(data, k, size).astype(">u8").tobytes().hex()
+        return [(len(data), [raw[i : i + 16] for i in range(0, len(raw), 16)])]
+
+    return kernel(images, each, {"size": pa.int64(), "sketch": pa.list_(pa.string())}, "size long, sketch array<string>")
+
+
 def sketch_rows(images: DataFrame, opts: CompareOptions) -> DataFrame:
     """``image_id, hash`` of every sketch."""
-    return sketches(images, opts).select("image_id", F.explode("sketch").alias("hash"))
+    return minhash_sketches(images, opts).select("image_id", F.explode("sketch").alias("hash"))
 
 
 def sketch_jaccard(a: Column, b: Column, size: int) -> Column:
@@ -68,6 +79,14 @@ def compare(sides: DataFrame, opts: CompareOptions) -> DataFrame:
     )
 
 
+def score_of(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
+    """``pair_id, similarity_percent`` alone: no digests."""
+    sides = both_sides(pairs, minhash_sketches(images, opts))
+    empty_a, empty_b = F.col("a.size") == 0, F.col("b.size") == 0
+    score = clamp_percent(100 * sketch_jaccard(F.col("a.sketch"), F.col("b.sketch"), opts.sketch))
+    return sides.select("pair_id", F.when(empty_a & empty_b, 100.0).when(empty_a | empty_b, 0.0).otherwise(score).alias("similarity_percent"))
+
+
 def section(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
     s = compare(both_sides(pairs, sketches(images, opts)), opts)
     k = F.lit(opts.shingle).cast("int")

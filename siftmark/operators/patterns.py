@@ -132,6 +132,11 @@ def hit_rows(found: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def score_of(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
+    """``pair_id, similarity_percent`` alone: no hits are ranked."""
+    return compared(images, pairs, opts.with_values(max_patterns=0)).select("pair_id", "similarity_percent")
+
+
 def section(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
     s = compared(images, pairs, opts).drop("common", "n_union").withColumn("pattern_length", F.lit(opts.pattern_length))
     return s.withColumn(

@@ -24,6 +24,14 @@ ANALYZERS: dict[str, Analyzer] = {
     "Entropy": entropy.section,
     "Patterns": patterns.section,
 }
+#: The same modules where only scores are wanted.
+SCORERS: dict[str, Analyzer] = {
+    "ByteDiff": bytediff.score_of,
+    "FuzzyHash": fuzzy.score_of,
+    "Format": fileformat.score_of,
+    "Entropy": entropy.score_of,
+    "Patterns": patterns.score_of,
+}
 # Titles and kinds of the modules' sections.
 TITLES = {"ByteDiff": "Byte-Diff", "FuzzyHash": "Fuzzy-Hash", "Format": "Format (PE/ELF)", "Entropy": "Entropy", "Patterns": "Patterns / signatures"}
 KINDS = {"ByteDiff": "byteDiff", "FuzzyHash": "fuzzyHash", "Format": "format", "Entropy": "entropy", "Patterns": "patterns"}
@@ -92,10 +100,11 @@ def weighted_mean(rows: DataFrame, opts: CompareOptions) -> DataFrame:
 def overall(images: DataFrame, pairs: DataFrame, opts: CompareOptions | None = None) -> DataFrame:
     """``pair_id, overall_percent``: only what the scores need is computed."""
     opts = opts or CompareOptions()
-    sections = compare(images, pairs, opts)
+    sections = compare(images, pairs, opts, SCORERS)
     if not sections:
         return pairs.select("pair_id", F.lit(0.0).alias("overall_percent"))
-    return weighted_mean(scores(sections), opts)
+    none = F.lit(None).cast("array<struct<Key:string,Value:string>>")
+    return weighted_mean(scores({m: f if "metrics" in f.columns else f.withColumn("metrics", none) for m, f in sections.items()}), opts)
 
 
 def results(images: DataFrame, pairs: DataFrame, opts: CompareOptions | None = None) -> DataFrame:
