@@ -442,7 +442,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int
     """``docs`` with one document of each component: that of the smallest doc_id; null ids stay."""
     found = jaccard_components(docs, words, num, den)
     keep = stored(found.filter("doc_id = component_id").select("doc_id").distinct(), "keep")
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     kept = docs.join(keep, docs["doc_id"].cast("long") == keep["doc_id"], "left_semi")
-    kept = kept.withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
-    return kept.unionByName(docs.filter("doc_id is null"))
+    rows = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # names of docs can't clash
+    first = F.row_number().over(Window.partitionBy(F.col("row")["doc_id"]).orderBy(F.xxhash64(F.col("row")["text"])))
+    return rows.withColumn("at", first).filter("at = 1").select("row.*").unionByName(docs.filter("doc_id is null"))

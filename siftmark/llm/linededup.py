@@ -45,8 +45,9 @@ def _key(line: Column) -> Column:
 
 
 def drop_boilerplate(pages: DataFrame, id_col: str, host_col: str, text_col: str, ratio: float = 0.2, min_pages: int = 3) -> DataFrame:
-    """``pages`` with boilerplate lines gone from ``text_col``, and ``lines_in``, ``lines_dropped``."""
-    base = pages.withColumn("_lines", F.split(text_col, "\n")).withColumn("_host", F.col(host_col))
+    """``pages`` with boilerplate lines gone from ``text_col``, and ``lines_in``, ``lines_dropped`` where these names are free."""
+    # the row travels as one struct: its column names can't clash with those made here
+    base = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.split(text_col, "\n").alias("_lines"), F.col(host_col).alias("_host"))
     keyed = pages.select(F.col(host_col).alias("_host"), F.array_distinct(F.transform(F.split(text_col, "\n"), _key)).alias("_keys"))
     totals = keyed.groupBy("_host").agg(F.count("*").alias("_pages"))
     held = (
@@ -62,14 +63,14 @@ def drop_boilerplate(pages: DataFrame, id_col: str, host_col: str, text_col: str
     drop = stored(common.groupBy(held["_host"]).agg(F.collect_set("_key").alias("_drop")), "boilerplate")
     joined = base.join(drop, base["_host"].eqNullSafe(drop["_host"]), "left").drop(drop["_host"])
     kept = F.filter("_lines", lambda line: ~F.coalesce(F.array_contains("_drop", _key(line)), F.lit(False)))
-    lines_in = F.coalesce(F.size("_lines"), F.lit(0))
-    return (
-        joined.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(kept))
-        .withColumn(text_col, F.array_join("_kept", "\n"))
-        .withColumn("lines_in", F.when(F.col("_lines").isNull(), 0).otherwise(lines_in))
-        .withColumn("lines_dropped", F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")))
-        .drop("_lines", "_host", "_drop", "_kept")
-    )
+    joined = joined.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(kept))
+    none = F.col("_lines").isNull()
+    made = {
+        "lines_in": F.when(none, 0).otherwise(F.size("_lines")),
+        "lines_dropped": F.when(none, 0).otherwise(F.size("_lines") - F.size("_kept")),
+    }
+    columns = [F.array_join("_kept", "\n").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in pages.columns]
+    return joined.select(*columns, *[v.alias(k) for k, v in made.items() if k not in pages.columns])
 
 
 def page_line_dedup(pages: DataFrame, ratio: float = 0.2, min_pages: int = 3) -> DataFrame:

@@ -146,5 +146,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     taken = stored(mix(docs).filter("copies > 0").select("doc_id", F.col("copies").alias("_copies")), "taken")
     # documents that repeat a doc_id are told apart by nothing else here: they share its copies
     one = taken.groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
-    joined = docs.join(one.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # names of docs can't clash
+    joined = rows.join(one, F.col("row")["doc_id"].eqNullSafe(F.col("doc_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select("row.*")

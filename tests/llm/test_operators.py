@@ -52,7 +52,7 @@ def empty(spark):
 
 def clashing(df):
     """The same rows with extra columns named like those the operators make."""
-    names = ("size", "shard", "key", "class", "unit", "rank", "_lines", "n", "bytes", "page", "copies", "_host", "held_out", "score", "block", "n_bytes", "media", "v", "id")
+    names = ("size", "shard", "key", "class", "unit", "rank", "_lines", "n", "bytes", "page", "copies", "_host", "held_out", "score", "block", "n_bytes", "media", "v", "id", "row", "_kept", "_drop", "lines_in", "_id", "_copies", "at", "class_", "comp", "draw")
     return df.select("*", *[F.lit("extra").alias(c) for c in names])
 
 
@@ -104,11 +104,11 @@ def test_line_dedup(spark, odd, empty):
         lines = ["menu", f"own {k}", " footer ", "", f"rare {k % 40}"]
         rows.append((k, host, None if k % 50 == 0 else "\n".join(x for x in lines if r.random() < 0.8)))
     docs = spark.createDataFrame([(k, t, "en", h, 1) for k, h, t in rows], DOCS).repartition(4)
-    got = linededup.drop_boilerplate(clashing(docs).drop("_lines", "_host"), "doc_id", "source", "text", ratio=0.3, min_pages=3)
+    got = linededup.drop_boilerplate(clashing(docs), "doc_id", "source", "text", ratio=0.3, min_pages=3)
     have = {x["doc_id"]: x["text"] for x in got.collect()}
     want = plain_line_dedup([(h, t) for _, h, t in rows], 0.3, 3)
     assert have == {k: t for (k, _, _), (_, t) in zip(rows, want, strict=True)} and any("menu" in (t or "") for _, _, t in rows)
-    assert set(got.columns) >= {"size", "shard", "lines_in", "lines_dropped"}
+    assert set(got.columns) == {*clashing(docs).columns, "lines_dropped"} and got.select("lines_in", "_lines").distinct().first() == ("extra", "extra")
     assert linededup.drop_boilerplate(odd, "doc_id", "source", "text").count() == odd.count()
     assert linededup.drop_boilerplate(empty, "doc_id", "source", "text").count() == 0
 
@@ -343,7 +343,7 @@ def test_mixing(spark, odd, empty):
         assert rows_of(mixing.mix(docs.repartition(2))) == sorted(map(tuple, got), key=repr)
     assert mixing.mix(empty).count() == 0
     copies = {x["doc_id"]: x["copies"] for x in mixing.mix(docs).collect()}
-    assert Counter(x["doc_id"] for x in mixing.mixed_documents(docs).filter("doc_id >= 100").collect()) == Counter({k: c for k, c in copies.items() if k is not None and k >= 100 and c})
+    assert Counter(x["doc_id"] for x in mixing.mixed_documents(clashing(docs)).filter("doc_id >= 100").collect()) == Counter({k: c for k, c in copies.items() if k is not None and k >= 100 and c})
 
 
 # 8 ----------------------------------------------------------------------------------------------
@@ -500,10 +500,10 @@ def test_components(spark):
 
 
 def test_near_duplicates_leave_one_each(spark, odd, empty):
-    kept = jaccard.drop_near_duplicates(odd, words=5, num=4, den=5)
+    kept = jaccard.drop_near_duplicates(clashing(odd), words=5, num=4, den=5)
     found = jaccard.jaccard_components(odd).collect()
     want = {r["component_id"] for r in found if r["doc_id"] is not None}
-    assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == sorted(want) and kept.columns == odd.columns
+    assert sorted(r["doc_id"] for r in kept.filter("doc_id is not null").collect()) == sorted(want) and kept.columns == clashing(odd).columns
     assert kept.filter("doc_id is null").count() == 1 and jaccard.drop_near_duplicates(empty).count() == 0
 
 
