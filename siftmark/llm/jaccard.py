@@ -43,6 +43,8 @@ SENT_CLASSES = 50_000
 LEAST_BITS = 512
 #: Classes of a bucket that names its pairs; rows of a larger one that are compared as one block.
 SMALL_BUCKET = 8
+#: Buckets that a class lists, the smallest keys of its large ones, so that a pair is named by few of those it shares.
+FIRST_KEYS = 12
 BLOCK = 2048
 #: Ids and sizes of classes are broadcast up to this many (some 10 MB), else joined by a shuffle.
 BROADCAST_CLASSES = 300_000
@@ -307,7 +309,11 @@ def _near_in_blocks(rows: DataFrame, bands: Bands) -> DataFrame:
     def compare(table: pa.Table, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ident, comp = table.column("class").to_numpy(), table.column("comp").to_numpy()
         n, block = table.column("n").to_numpy(), table.column("block").to_numpy()
-        i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
+        i, j, key = (table.column(c).to_numpy() for c in ("i", "j", "key"))
+        firsts = table.column("firsts").combine_chunks()
+        lists = np.full((len(ident), FIRST_KEYS), np.iinfo(np.int64).max)
+        counts = firsts.value_lengths().to_numpy()
+        lists[np.arange(FIRST_KEYS) < counts[:, None]] = firsts.flatten().to_numpy()
         sketches = table.column("sketch").combine_chunks()
         flat, cuts = sketches.flatten().to_numpy().view(U64), np.concatenate(([0], np.cumsum(sketches.value_lengths().to_numpy())))
         a, b = [], []
@@ -328,12 +334,16 @@ def _near_in_blocks(rows: DataFrame, bands: Bands) -> DataFrame:
                 p, q = np.nonzero(open_)
                 if len(p):
                     p, q = x[p], right[q]
-                    for cut in range(0, len(p), 100_000):
-                        pp, qq = p[cut : cut + 100_000], q[cut : cut + 100_000]
+                    for cut in range(0, len(p), 50_000):
+                        pp, qq = p[cut : cut + 50_000], q[cut : cut + 50_000]
                         apart = np.bitwise_count(bits[pp - start] ^ bits[qq - start]).sum(1, dtype=np.int64)
                         ok = apart * (bands.den + bands.num) <= (n[pp] + n[qq]) * (bands.den - bands.num)
-                        a.append(ident[pp[ok]])
-                        b.append(ident[qq[ok]])
+                        pp, qq = pp[ok], qq[ok]
+                        if len(pp):  # a smaller bucket that both list is the one to name them
+                            x_keys = np.where(lists[pp] < key[start], lists[pp], -1)
+                            again = ((x_keys[:, :, None] == lists[qq][:, None, :]) & (x_keys[:, :, None] != -1)).any(axis=(1, 2))
+                            a.append(ident[pp[~again]])
+                            b.append(ident[qq[~again]])
         if not a:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         a, b = np.concatenate(a), np.concatenate(b)
@@ -418,9 +428,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     known = tokens.select("class", "n", "sketch").dropDuplicates(["class"])
     tiny = rows.filter(F.col("g") <= SMALL_BUCKET).select("key", "class", "comp").repartition("key").sortWithinPartitions("key", "class")
     named_pairs = _near(_pairs_in_runs(tiny), sizes, tokens, bands, few)
-    rows = rows.filter(F.col("g") > SMALL_BUCKET).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.filter(F.col("g") > SMALL_BUCKET)
+    firsts = rows.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts"))
+    known = known.join(firsts, "class")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = rows.select("key", "class", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    rows = rows.join(known, "class").select("key", "class", "comp", "n", "sketch", "block", "i", "j")
+    rows = rows.join(known, "class").select("key", "class", "comp", "n", "sketch", "firsts", "block", "i", "j")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "class")
     more = stored(_near_in_blocks(rows, bands).union(named_pairs).distinct(), "more")
     late = stored(_verified(more, tokens, bands), "late")
