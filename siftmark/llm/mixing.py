@@ -147,5 +147,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     # documents that repeat a doc_id are told apart by nothing else here: they share its copies
     one = taken.groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # names of docs can't clash
-    joined = rows.join(one, F.col("row")["doc_id"].eqNullSafe(F.col("doc_id")))
+    # both sides grow with the corpus: a sort-merge join at every size
+    joined = rows.join(one.hint("merge"), F.col("row")["doc_id"].eqNullSafe(F.col("doc_id")))
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select("row.*")
