@@ -334,8 +334,9 @@ def _near_in_blocks(rows: DataFrame, bands: Bands) -> DataFrame:
                 p, q = np.nonzero(open_)
                 if len(p):
                     p, q = x[p], right[q]
-                    for cut in range(0, len(p), 50_000):
-                        pp, qq = p[cut : cut + 50_000], q[cut : cut + 50_000]
+                    most = max(1, min(20_000, 1_000_000 // size))  # sketches of long texts are long: 8 MB at once
+                    for cut in range(0, len(p), most):
+                        pp, qq = p[cut : cut + most], q[cut : cut + most]
                         apart = np.bitwise_count(bits[pp - start] ^ bits[qq - start]).sum(1, dtype=np.int64)
                         ok = apart * (bands.den + bands.num) <= (n[pp] + n[qq]) * (bands.den - bands.num)
                         pp, qq = pp[ok], qq[ok]
