@@ -92,13 +92,15 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     Minimum labels travel along edges and by pointer jumping until nothing moves;
     each round is written to the shared folder and its lineage cut.
     """
+    # a file holds 50,000 labels or so: small graphs are a few files a round, whatever the shuffle's partitions
+    files = max(1, vertices.count() // 50_000)
     both = stored(
-        edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges"
+        edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct().coalesce(4 * files), "edges"
     )
     labels = stored(
         vertices.select("id").join(
             both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")), "id", "left"
-        ).select("id", F.least("id", F.coalesce("near", "id")).alias("comp")),
+        ).select("id", F.least("id", F.coalesce("near", "id")).alias("comp")).coalesce(files),
         "labels",
     )
     while True:
@@ -115,7 +117,7 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         moved = stored(
             hooked.join(up, "comp", "left").select(
                 "id", "was", F.least("comp", F.coalesce("up", "comp")).alias("comp")
-            ),
+            ).coalesce(files),
             "labels",
         )
         changed = moved.filter("comp <> was").limit(1).count()
