@@ -27,8 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than 5 % of a source's documents go; no document does."""
-    cleaned = drop_boilerplate(docs, "doc_id", "source", "text", ratio=0.05, min_pages=3)
+    """Lines on more than 5 % of a source's different texts go; no document does."""
+    cleaned = drop_boilerplate(docs, "doc_id", "source", "text", ratio=0.05, min_pages=3, copies_once=True)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -7,8 +7,9 @@ small whatever the host's size, and is joined back by host without exploding lin
 
 Defined results: lines are compared without surrounding white space; blank lines are
 never dropped; null text stays null and holds no lines, but counts as a page; a null host
-is one host; rows that repeat count as pages of their own; texts whose lines all go
-become empty; an empty table stays empty.
+is one host; rows that repeat count as pages of their own, or with ``copies_once`` a host's
+equal texts count as one page; texts whose lines all go become empty; an empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -44,11 +45,16 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def drop_boilerplate(pages: DataFrame, id_col: str, host_col: str, text_col: str, ratio: float = 0.2, min_pages: int = 3) -> DataFrame:
-    """``pages`` with boilerplate lines gone from ``text_col``, and ``lines_in``, ``lines_dropped`` where these names are free."""
+def drop_boilerplate(pages: DataFrame, id_col: str, host_col: str, text_col: str, ratio: float = 0.2, min_pages: int = 3, copies_once: bool = False) -> DataFrame:
+    """``pages`` with boilerplate lines gone from ``text_col``, and ``lines_in``, ``lines_dropped`` where these names are free.
+
+    With ``copies_once`` whole copies don't make their lines frequent, so none of them goes blank for being copied.
+    """
     # the row travels as one struct: its column names can't clash with those made here
     base = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.split(text_col, "\n").alias("_lines"), F.col(host_col).alias("_host"))
-    keyed = pages.select(F.col(host_col).alias("_host"), F.array_distinct(F.transform(F.split(text_col, "\n"), _key)).alias("_keys"))
+    keyed = pages.select(F.col(host_col).alias("_host"), F.xxhash64(text_col).alias("_text"), F.array_distinct(F.transform(F.split(text_col, "\n"), _key)).alias("_keys"))
+    if copies_once:
+        keyed = keyed.dropDuplicates(["_host", "_text"])
     totals = keyed.groupBy("_host").agg(F.count("*").alias("_pages"))
     held = (
         keyed.select("_host", F.explode("_keys").alias("_key"))

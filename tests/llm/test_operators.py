@@ -113,6 +113,19 @@ def test_line_dedup(spark, odd, empty):
     assert linededup.drop_boilerplate(empty, "doc_id", "source", "text").count() == 0
 
 
+def test_line_dedup_counts_whole_copies_once(spark, odd, empty):
+    """A text that holds a third of a source's rows stays; lines that different texts share go."""
+    import corpus_pipeline as pipeline
+
+    page = "a clean line\nand another"
+    rows = [(k, page if k % 3 == 0 else f"own {k}\nfooter", "en", "s", 1) for k in range(90)]
+    rows += [(100 + k, "few copies", "en", "t", 1) for k in range(3)] + [(200 + k, f"other {k}", "en", "t", 1) for k in range(40)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    have = {x["doc_id"]: x["text"] for x in pipeline.line_dedup(spark, docs, "").collect()}
+    assert have == {k: t.removesuffix("\nfooter") for k, t, *_ in rows}
+    assert pipeline.line_dedup(spark, odd, "").count() == odd.count() and pipeline.line_dedup(spark, empty, "").count() == 0
+
+
 def test_page_lines(spark):
     page = '<html><head><title>T</title><script>var t="</p>";</script></head><body><!-- x --><p>a &amp; b</p><p>c<br>d <b>e</b></p></body></html>'
     pages = spark.createDataFrame([(1, "http://Ex.com:80/a?b", page), (2, None, None), (3, "nohost", "")], "page_id long, url string, html string")
