@@ -162,18 +162,22 @@ def _text(cell) -> bytes | None:
     return cell.as_buffer().to_pybytes() if cell.is_valid else None
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_id"))
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, n, class`` of every document."""
+    """``doc_id, text_id, n, class`` of every document; a row's text is found again by doc_id and text_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             sets = [shingler.tokens(_text(t)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc_id", "n", "class"]
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc_id", "text_id", "n", "class"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, class long")
+    return _texts(docs).mapInArrow(run, "doc_id long, text_id long, n long, class long")
 
 
 def _keys(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
@@ -205,7 +209,7 @@ def _keys(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
 
 
 def _token_table(docs: DataFrame, wanted: DataFrame, words: int, count: int) -> DataFrame:
-    """``class, n, sketch, tokens`` of the classes in ``wanted(doc_id, class)``, once a task."""
+    """``class, n, sketch, tokens`` of the classes in ``wanted(doc_id, text_id, class)``, once a task."""
     few = F.broadcast(wanted) if count <= BROADCAST_CLASSES else wanted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +222,7 @@ def _token_table(docs: DataFrame, wanted: DataFrame, words: int, count: int) ->
                     if ident in sent:
                         continue
                     tokens = shingler.tokens(_text(cell))
-                    # a doc_id may occur with other texts: only the class asked for counts
+                    # two texts may share a text_id: only the class asked for counts
                     if set_id(tokens) == ident:
                         sent.add(ident)
                         made.append((ident, tokens))
@@ -232,7 +236,9 @@ def _token_table(docs: DataFrame, wanted: DataFrame, words: int, count: int) ->
                         pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sketches))), pa.array([t.tobytes() for _, t in made], pa.binary()),
                     ], names=["class", "n", "sketch", "tokens"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(few, "doc_id").select("class", "text")
+    texts = _texts(docs)
+    # by both: ids may be null or repeat with other texts, and copies of a text are many
+    rows = texts.join(few, texts["doc_id"].eqNullSafe(few["doc_id"]) & (texts["text_id"] == few["text_id"])).select("class", "text")
     return rows.mapInArrow(run, "class long, n long, sketch array<long>, tokens binary")
 
 
@@ -376,11 +382,11 @@ def _near_in_blocks(rows: DataFrame, bands: Bands) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document; links need ``den * both >= num * either``."""
+def _linked(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The stored ``doc_id, text_id, n, class`` of every document, and ``class, docs, comp, component_id`` of every class with tokens."""
     bands = Bands(num, den)
     sets = stored(_sets(docs, words), "sets")
-    classes = sets.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("docs"))
+    classes = sets.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.coalesce(F.min_by("text_id", "doc_id"), F.min("text_id")).alias("rep_text"), F.count("*").alias("docs"))
     classes = stored(classes, "classes")
 
     # buckets of two classes or more, with a class drawn for each
@@ -391,9 +397,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     met = keys.select("key", "class", F.first("class").over(by).alias("first"), F.lag("class").over(by).alias("before"))
     buckets = stored(met.filter("class <> first and class <> before").select("key", "first", "class"), "buckets")
     seen = buckets.select("class").union(buckets.select("first")).distinct()
-    wanted = stored(seen.join(classes, "class").select(F.col("rep").alias("doc_id"), "class", "n"), "wanted")
+    wanted = stored(seen.join(classes, "class").select(F.col("rep").alias("doc_id"), F.col("rep_text").alias("text_id"), "class", "n"), "wanted")
     count = wanted.count()
-    tokens = stored(_token_table(docs, wanted.select("doc_id", "class"), words, count), "tokens")
+    tokens = stored(_token_table(docs, wanted.select("doc_id", "text_id", "class"), words, count), "tokens")
     sizes, few = wanted.select("class", "n"), count <= BROADCAST_CLASSES
     vertices = wanted.select(F.col("class").alias("id"))
 
@@ -445,18 +451,38 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
 
     named = classes.join(comp.withColumnRenamed("id", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     names = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    table = stored(named.join(names, "comp").select("class", "docs", "component_id"), "named")
-    total = sets.count()
+    return sets, stored(named.join(names, "comp").select("class", "docs", "comp", "component_id"), "named")
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document; links need ``den * both >= num * either``."""
+    sets, table = _linked(docs, words, num, den)
+    table, total = table.select("class", "docs", "component_id"), sets.count()
     linked = lookup(sets.filter("n > 0"), table, "class", "docs", total).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest doc_id; null ids stay."""
-    found = jaccard_components(docs, words, num, den)
-    keep = stored(found.filter("doc_id = component_id").select("doc_id").distinct(), "keep")
-    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["doc_id"], "left_semi")
-    rows = kept.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # names of docs can't clash
-    first = F.row_number().over(Window.partitionBy(F.col("row")["doc_id"]).orderBy(F.xxhash64(F.col("row")["text"])))
-    return rows.withColumn("at", first).filter("at = 1").select("row.*").unionByName(docs.filter("doc_id is null"))
+    """``docs`` with one row of each component: of the smallest doc_id, a null one where all are null.
+
+    Rows without tokens link with nothing: one of each doc_id stays, and all with a null id.
+    """
+    sets, table = _linked(docs, words, num, den)
+    # a row of each class, then of each component: the group of a hot class shrinks where it is read
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_id")
+    firsts = sets.filter("n > 0").groupBy("class").agg(F.min(place).alias("place"))
+    firsts = firsts.join(table.select("class", "comp"), "class").groupBy("comp").agg(F.min("place").alias("place"))
+    blank = sets.filter("n = 0 and doc_id is not null").groupBy("doc_id").agg(F.min("text_id").alias("text_id"))
+    keep = stored(firsts.select("place.doc_id", "place.text_id").unionByName(blank), "keep")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))  # names of docs can't clash
+    # rows that repeat share doc_id and text
+    first = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.xxhash64(F.col("row")["text"])))
+    known = keep.filter("doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"))
+    kept = rows.join(known, ["_id", "_text"], "left_semi").withColumn("at", first).filter("at = 1").select("row.*")
+    # null ids are told apart by their texts
+    nameless = rows.filter("_id is null")
+    known = keep.filter("doc_id is null").select(F.col("text_id").alias("_text"))
+    one = nameless.join(known, "_text", "left_semi").withColumn("at", F.row_number().over(Window.partitionBy("_text").orderBy("_id"))).filter("at = 1").select("row.*")
+    known = stored(sets.filter("n = 0 and doc_id is null").select(F.col("text_id").alias("_text")).distinct(), "blank")
+    return kept.unionByName(one).unionByName(nameless.join(known, "_text", "left_semi").select("row.*"))

@@ -520,6 +520,24 @@ def test_near_duplicates_leave_one_each(spark, odd, empty):
     assert kept.filter("doc_id is null").count() == 1 and jaccard.drop_near_duplicates(empty).count() == 0
 
 
+def test_null_and_repeated_ids_link_like_others(spark):
+    """A text that only null ids hold bridges two others; ids that repeat hold texts of their own."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(100)]
+    a, b, c = ([f"x{j}" for j in range(n)] + base[n:] for n in (0, 6, 12))  # a and c are too far apart
+    other, clean, alone = ([word() for _ in range(50)] for _ in range(3))
+    rows = [(1, a), (None, b), (2, c), (None, other), (None, other), (None, [*other, "end"]), (3, a), (3, clean), (3, clean), (4, other[1:]), (5, []), (None, []), (None, []), (None, alone), (None, alone)]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOCS).repartition(3)
+    got = jaccard.jaccard_components(clashing(docs), words=5, num=4, den=5)
+    have = Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()))
+    assert have == plain_components(rows, 5, 4, 5) and have[2, 96, 1] == 1
+    kept = jaccard.drop_near_duplicates(clashing(docs)).select("doc_id", "text").collect()
+    text = " ".join
+    assert Counter(map(tuple, kept)) == Counter([(1, text(a)), (3, text(clean)), (4, text(other[1:])), (5, ""), (None, ""), (None, ""), (None, text(alone))])
+
+
 # 10 ---------------------------------------------------------------------------------------------
 def toxic_rows(n, seed):
     r = random.Random(seed)
