@@ -99,13 +99,21 @@ def section(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFr
     )
 
 
-def candidate_pairs(images: DataFrame, opts: CompareOptions, most_images: int = 200) -> DataFrame:
+def candidate_pairs(images: DataFrame, opts: CompareOptions, most_images: int | None = None) -> DataFrame:
     """Pairs of images that share a sketch hash, each once: what to compare among many images.
 
-    A hash that over ``most_images`` images share tells nothing apart; their images meet by the
-    first of each group instead, so no group makes all its pairs.
+    With ``most_images`` this is a cut: images that share only hashes of more images than that meet
+    the first of each such group and not each other.  A group makes all its pairs without it.
     """
     rows = sketch_rows(images, opts)
+    if most_images is None:
+        # equal sketches are one class: pairs of classes are found once, whatever their images
+        sketch = minhash_sketches(images, opts).filter(F.size("sketch") > 0).select("image_id", F.sha2(F.concat_ws("", "sketch"), 256).alias("class"), "sketch")
+        hashes = sketch.groupBy("class").agg(F.first("sketch").alias("sketch")).select("class", F.explode("sketch").alias("hash"))
+        classes = hashes.toDF("a", "hash").join(hashes.toDF("b", "hash"), "hash").select("a", "b").distinct()
+        a, b = sketch.select(F.col("class").alias("a"), F.col("image_id").alias("a_id")), sketch.select(F.col("class").alias("b"), F.col("image_id").alias("b_id"))
+        pairs = classes.join(a, "a").join(b, "b").filter("a_id < b_id").select("a_id", "b_id")
+        return pairs.distinct().select(F.concat_ws(":", F.col("a_id").cast("string"), F.col("b_id").cast("string")).alias("pair_id"), "a_id", "b_id")
     by = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("image_id").alias("first"))
     shared = rows.join(by.filter("n > 1"), "hash")
     a = shared.filter(F.col("n") <= most_images).select("hash", F.col("image_id").alias("a_id"))

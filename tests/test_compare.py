@@ -204,6 +204,14 @@ def test_candidates(spark):
     assert [(r["a_id"], r["b_id"]) for r in fuzzy.candidate_pairs(images, CompareOptions()).collect()] == [("a", "b")]
 
 
+def test_candidates_have_no_hidden_cut(spark):
+    """Each pair that shares a hash, however many images share it."""
+    base = seeded(600, 5)
+    images = images_from_bytes(spark, {f"{k:03}": base + (seeded(40, 100 + k) if k % 2 else b"") for k in range(210)} | {"x": seeded(600, 9), "y": b""})
+    got = [(r["a_id"], r["b_id"]) for r in fuzzy.candidate_pairs(images, CompareOptions()).select("a_id", "b_id").collect()]
+    assert sorted(got) == [(f"{a:03}", f"{b:03}") for a in range(210) for b in range(a + 1, 210)]
+
+
 def test_stream(spark, tmp_path):
     from siftmark.streaming.features import stream_images, write_features
 
