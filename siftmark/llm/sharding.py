@@ -106,9 +106,18 @@ def best_fit(sizes, capacity: int) -> tuple[list[int], int]:
 
 
 def fewest_shards(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, int]:
-    """Shard of each item at the least capacity at which best-fit-decreasing needs ``shards`` bins at most."""
+    """Shard of each item at the least capacity at which best-fit-decreasing needs ``shards`` bins at most.
+
+    An item over its fair share of what is left has a shard alone, the largest first, and the rest
+    share the other shards at a capacity of their own, which is returned.
+    """
     order = np.argsort(-sizes, kind="stable")
     down = sizes[order].tolist()
+    alone, left = 0, sum(down)
+    while alone < min(shards - 1, len(down)) and down[alone] * (shards - alone) > left:
+        left -= down[alone]
+        alone += 1
+    down, shards = down[alone:], shards - alone
     low, high = max(-(-sum(down) // shards), down[0] if down else 0), None
     step, capacity, best = max(1, low // 4096), low, None
     while high is None or low < high:
@@ -121,7 +130,7 @@ def fewest_shards(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, int]:
         if high is not None and high - low <= max(1, high // 100_000):
             break
     out = np.empty(len(sizes), np.int64)
-    out[order] = best
+    out[order] = [*range(alone), *(alone + b for b in best)]
     return out, high
 
 

@@ -179,6 +179,25 @@ def test_sharding(spark, odd, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_groups_over_a_fair_share_leave_the_rest_even(spark):
+    small = [20] * 1000
+    for large in ([10_000], [15_000, 9_000], [10_000, 2_600]):
+        sizes = np.array(small + large)
+        where, _ = sharding.fewest_shards(sizes, 8)
+        load = np.bincount(where, sizes, 8)
+        alone = [x for x in large if x > 2_800] or large
+        rest = sorted(load)[: 8 - len(alone)]
+        assert sorted(load)[8 - len(alone) :] == sorted(alone) and rest[-1] - rest[0] <= 80 and load.sum() == sizes.sum()
+    assert sharding.fewest_shards(np.array([5, 5]), 1)[0].tolist() == [0, 0] and len(sharding.fewest_shards(np.array([], np.int64), 8)[0]) == 0
+    assert sorted(sharding.fewest_shards(np.array([9, 1, 1]), 8)[0]) == [0, 1, 2]
+    rows = [(k, "same text " * 3 if k % 3 == 0 else f"{k:030}", "en", "a", 1) for k in range(3000)]
+    load = Counter()
+    for x in sharding.shard_documents(spark.createDataFrame(rows, DOCS)).collect():
+        load[x["shard"]] += x["size"]
+    *rest, large = sorted(load.values())
+    assert large == 31_000 and len(rest) == 7 and rest[-1] - rest[0] < 0.02 * sum(rest) / 7
+
+
 # 4 ----------------------------------------------------------------------------------------------
 def test_warc(spark):
     rows = [(1, "http://a/1", "<p>é</p>"), (2, None, "<p>é</p>"), (9, "http://a/\n9", "<p>é</p>"), (9, "u", "<p>é</p>"), (4, "u", None), (5, "u", ""), (None, "u", "q"), (7, "u", "\r\n\r\nWARC/1.1\r\n" * 40_000)]
