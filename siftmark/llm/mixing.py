@@ -142,11 +142,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as many times as the mix takes its document."""
-    taken = stored(mix(docs).filter("copies > 0").select("doc_id", F.col("copies").alias("_copies")), "taken")
+    """``docs`` with each row as many times as the mix takes its document; rows without words not at all."""
+    # mix counts the copies of a class of sizes, which documents without words have too
+    taken = stored(mix(docs).filter("copies > 0 and size > 0").select("doc_id", F.col("copies").alias("_copies")), "taken")
     # documents that repeat a doc_id are told apart by nothing else here: they share its copies
     one = taken.groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # names of docs can't clash
+    worded = docs.filter(F.col("text").rlike(WORD))
+    rows = worded.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # names of docs can't clash
     # both sides grow with the corpus: a sort-merge join at every size
     joined = rows.join(one.hint("merge"), F.col("row")["doc_id"].eqNullSafe(F.col("doc_id")))
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select("row.*")

@@ -378,6 +378,14 @@ def test_mixing(spark, odd, empty):
     assert Counter(x["doc_id"] for x in mixing.mixed_documents(clashing(docs)).filter("doc_id >= 100").collect()) == Counter({k: c for k, c in copies.items() if k is not None and k >= 100 and c})
 
 
+def test_mix_gives_no_document_without_words(spark):
+    rows = [(k, " ".join("w" * (k % 7)), "en", "ab"[k % 2], 1) for k in range(300)] + [(400, " \t\n", "en", "a", 1), (401, None, "en", "b", 1), (1, "", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    assert mixing.mix(docs).filter("size = 0 and copies > 0").count()
+    got = mixing.mixed_documents(docs).collect()
+    assert got and all(words_of(x["text"]) for x in got)
+
+
 # 8 ----------------------------------------------------------------------------------------------
 def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
