@@ -4,21 +4,26 @@ Documents become token pieces of at most ``capacity``; pieces are dealt to
 partitions, each packed best-fit-decreasing.  Dual-feasible functions give a lower
 bound on the bins a partition needs: where it equals the bins used, the partition is
 certified.  Open bins of partitions with a gap, and the loosest bin of every certified
-one, return their documents to a pool that is dealt to fewer partitions and
-packed again, until one partition is left.
+one, return their documents to a pool that is dealt anew, to as many partitions
+as its size asks for, and packed again.  Rounds end when a bound on the whole table is met,
+when the pool fits one partition and that is packed, or when a round saves no bin.
 
 Defined results: null text is empty (its only id is the end id); an empty table gives
-no rows; rows that repeat are packed as often as they occur; a null doc_id is kept.
+no rows; rows that repeat are packed as often as they occur, and dealt apart; a null
+doc_id is kept.  Ids are those of the whole text, for any file of the tokenizers library.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +34,33 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 CACHE_WORDS = 600_000
 #: ASCII signs but the apostrophe, which starts contractions, and < and |, which special tokens hold.
 CLOSING = "!\"#$%&()*+,-./:;=>?@[\\]^_`{}~"
+# The text handling of a tokenizer that drops white space, makes lower case and keeps letters, digits and signs apart.
+BLANK_SPLIT = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def splits_at_blanks(tokenizer_json: str) -> bool:
+    """Whether the tokenizer is of the kind whose ids of a text are those of its blank-separated chunks."""
+    t = json.loads(tokenizer_json)
+    parts = ((t.get("normalizer") or {}).get("normalizers"), (t.get("pre_tokenizer") or {}).get("pretokenizers"))
+    added = t.get("added_tokens") or []
+    whole = all(x["special"] and x["content"][:2] == "<|" and not any(x[k] for k in ("single_word", "lstrip", "rstrip", "normalized")) and " " not in x["content"] for x in added)
+    return parts == (BLANK_SPLIT["normalizer"], BLANK_SPLIT["pretokenizers"]) and bool(added) and whole and not (t.get("truncation") or t.get("padding"))
+
+
+class WholeIds:
+    """Ids of whole texts, for any tokenizer."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def ids(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 class WordIds(dict):
@@ -61,8 +93,8 @@ class WordIds(dict):
                 odd.append(c)
             else:
                 base = c.rstrip(CLOSING)
-                # a run of signs after a letter is a piece of its own
-                if base and base != c and base[-1].isalpha():
+                # a run of signs after a Latin letter is a piece of its own; the lower case of U+0130 ends in a mark, which joins the signs
+                if base and base != c and base[-1].isalpha() and base[-1] < "\u0250" and base[-1] != "\u0130":
                     bases.append((c, base.lower() if base.isascii() else base, c[len(base) :]))
                 else:
                     plain.append(c)
@@ -95,35 +127,41 @@ class WordIds(dict):
         return b"".join(found)
 
 
-def worker_words(tokenizer_file: str) -> WordIds:
-    """The cache of this Python worker: it outlives a task, and stays within CACHE_WORDS."""
+def worker_words(tokenizer_file: str) -> WordIds | WholeIds:
+    """The tokenizer of this Python worker, and its cache: it outlives a task, and stays within CACHE_WORDS."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return worker_cache(f"ids {tokenizer_file}", lambda: WordIds(Tokenizer.from_file(tokenizer_file)))
+    def make() -> WordIds | WholeIds:
+        with open(tokenizer_file, encoding="utf-8") as f:
+            kind = WordIds if splits_at_blanks(f.read()) else WholeIds
+        return kind(Tokenizer.from_file(tokenizer_file))
+
+    return worker_cache(f"ids {tokenizer_file}", make)
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` of every document's ids and end id."""
+    """``doc_id, piece, start, length, ids_crc32`` of every document's ids and end id, and ``row``, a number of its own."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_words(tokenizer_file)
-        end = np.asarray([end_id], "<u4").tobytes()
+        end, seen = np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = words.ids(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), seen))
+                    seen += 1
             if rows:
                 cols = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
-    return docs.select("doc_id", "text").mapInArrow(pieces, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(pieces, f"{PIECES}, row long")
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
@@ -154,13 +192,17 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The largest of several dual-feasible-function bounds on the bins needed.
+    return counts_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def counts_bound(counts: np.ndarray, capacity: int) -> int:
+    """The largest of several dual-feasible-function bounds on the bins needed; ``counts`` has the items of each length.
 
     f0: the plain sum.  f1 for each cut e <= capacity/2: items over capacity - e
     count as a whole bin, items under e as nothing.  f2 for k: the rounding
     function floor((k+1) x / C) / k, with exact multiples kept.
     """
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    counts = counts.astype(np.int64)
     sizes = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((counts * sizes).sum()) // capacity)
     total = np.concatenate(([0], np.cumsum(counts * sizes)))
@@ -178,7 +220,7 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 def _packed(groups, capacity: int, level: int) -> DataFrame:
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("row", "ascending")])
         lengths = table.column("length").to_numpy().astype(np.int64)
         where, bins = best_fit_decreasing(lengths, capacity)
         need = lower_bound(lengths, capacity)
@@ -194,40 +236,55 @@ def _packed(groups, capacity: int, level: int) -> DataFrame:
         else:
             reopened[np.argmin(fill)] = fill.min() < capacity
         part = table.column("part").to_numpy().astype(np.int64)
+        every = lambda x: np.full(len(where), x, np.int64)
         return pa.table({
-            **{c: table.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")},
+            **{c: table.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "row")},
             "sequence_id": (np.int64(level) << 56) | (part << 32) | where, "offset": offset,
-            "reopened": reopened[where], "bins": np.full(len(where), bins), "bound": np.full(len(where), need),
+            "reopened": reopened[where], "part": part, "bins": every(bins), "bound": every(need), "open_bins": every(reopened.sum()),
         })
 
-    return groups.applyInArrow(pack, PIECES + ", sequence_id long, offset long, reopened boolean, bins long, bound long")
+    return groups.applyInArrow(pack, PIECES + ", row long, sequence_id long, offset long, reopened boolean, part long, bins long, bound long, open_bins long")
+
+
+def partitions_for(pieces: int, per_partition: int) -> int:
+    """Partitions that pieces are dealt to by chance, so that none is to exceed ``per_partition``: six deviations are left free."""
+    room = max(1, per_partition - int(6 * math.sqrt(per_partition)))
+    return max(1, -(-pieces // room)) if pieces > per_partition else 1
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 4096, per_partition: int = 60_000, max_rounds: int = 12) -> DataFrame:
     """Give each piece a ``sequence_id`` and ``offset``; ``pieces`` must be stored, as rounds read it again.
 
-    ``per_partition`` bounds the pieces one task packs (some 60 bytes each).
+    ``per_partition`` bounds the pieces one task packs (some 60 bytes each), in every round.
     """
-    done, pool, level, n = [], pieces, 0, pieces.count()
-    parts = -(-n // per_partition)
+    if "row" not in pieces.columns:
+        pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").count().collect():  # a row a length, ``capacity`` at most
+        counts[r["length"]] = r["count"]
+    bound, parts = counts_bound(counts, capacity), partitions_for(int(counts.sum()), per_partition)
+    done, closed, pool, kept, level = [], 0, pieces, None, 0
     while True:
-        dealt = pool.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(level)), F.lit(max(1, parts))).cast("int"))
+        # by the row's own number: rows of one id, or of one text, are dealt apart
+        dealt = pool.withColumn("part", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(parts)).cast("int"))
         packed = stored(_packed(dealt.groupBy("part"), capacity, level), f"packed{level}")
-        if parts <= 1 or level >= max_rounds:
+        each = packed.groupBy("part").agg(F.first("bins").alias("bins"), F.first("open_bins").alias("open_bins"), F.count_if("reopened").alias("left"))
+        bins, open_bins, left = (x or 0 for x in each.agg(F.sum("bins"), F.sum("open_bins"), F.sum("left")).first())
+        if kept is not None and bins >= before:
+            return _union([*done, kept])
+        if parts == 1 or level == max_rounds or not left or closed + bins <= bound:
             return _union([*done, packed])
         done.append(packed.filter("not reopened"))
-        pool = packed.filter("reopened").select(*pieces.columns)
-        left, level = pool.count(), level + 1
-        if left == 0:
-            return _union(done)
-        parts = min(-(-parts // 4), -(-left // per_partition))
+        closed += bins - open_bins
+        kept, before = packed.filter("reopened"), open_bins
+        pool, level, parts = kept.select(*pieces.columns), level + 1, partitions_for(left, per_partition)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.drop("reopened", "bins", "bound")
+    return out.drop("row", "reopened", "part", "bins", "bound", "open_bins")
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
