@@ -9,11 +9,13 @@ number over the odds of their remaining inclusion probability, and the first one
 words fill the target are taken: a sample of fixed size, in words.
 
 The cut in the ranking is found by histograms of the rank, twice, and exactly within
-one bin in a million, so no source meets in one task.
+one bin in a million, so no source meets in one task.  The mix is then a small table, a
+row for each source and class of sizes, and every document's copies follow from it alone.
 
 Defined results: null text has size 0; documents without words are never taken; null
-source is a source, the last; documents of tied rank follow by doc_id; an empty table
-gives no rows.  Columns other than doc_id, text and source are not read.
+source is a source, the last; the random number comes from id and text, so rows tie only
+where both repeat (of those as many are taken as fit, it doesn't matter which); null ids
+are ids like others; an empty table gives no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -97,11 +99,32 @@ def _cut(counts: DataFrame, goal: str) -> DataFrame:
     return found.select("source", F.col("bin").alias("edge"), (F.col(goal) - F.col("upto") + F.col("words")).alias("rest"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, damping: float = 0.25, seed: str = "mix") -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` and ``source`` of every document."""
+def _drawn(docs: DataFrame, seed: str) -> list[Column]:
+    """``source, size, class, draw`` of a row; the draw is a number below 2**52 that id and text fix."""
     size = word_count("text")
-    rows = docs.select("doc_id", "source", size.alias("size"))
-    rows = stored(rows.withColumn("class", (F.length(F.bin("size")) - 1).cast("int")), "sizes")
+    # md5's first 52 bits: equal wherever they are computed, and apart for rows that share an id alone
+    text = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}:"), F.coalesce(F.col("text"), F.lit("")))
+    draw = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+    return [F.col("source"), size.alias("size"), (F.length(F.bin(size)) - 1).cast("int").alias("class"), draw.alias("draw")]
+
+
+def _place(draw: Column | str, chance: Column | str) -> Column:
+    """Rank in (0, 1): the odds of the draw over the odds of the chance, as a share; null without a chance."""
+    u = (F.col(draw).cast("double") + 0.5) / 4503599627370496.0
+    odds = (u / (1 - u)) / (F.col(chance) / (1 - F.col(chance)))
+    return F.when((F.col(chance) > 0) & (F.col("size") > 0), odds / (1 + odds))
+
+
+def _joined(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    return rows.join(plan, _same_source(rows, plan) & (rows["class"] == plan["class"])).drop(plan["source"], plan["class"])
+
+
+def _plan(rows: DataFrame, weights, share: float, most: float, damping: float) -> DataFrame:
+    """The mix of stored ``rows(source, size, class, draw)``, a row for each source and class of sizes.
+
+    ``source, class, source_size, target, certain, chance`` and the source's cut: rows of a place under
+    ``cut`` give one more copy; of ``n_at`` rows at it, which are equal, ``take`` do.
+    """
     classes = stored(rows.groupBy("source", "class").agg(F.sum("size").alias("words")), "classes")
     targets = stored(source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most), "targets")
     c = classes.join(targets, _same_source(classes, targets)).select(classes["source"], "class", "words", "source_size", "target")
@@ -110,45 +133,65 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0,
     c = c.select("source", "class", "words", "source_size", "target", certain.alias("certain"), (F.col("copies") - certain).alias("chance"))
     goal = F.col("target") - F.sum(F.col("certain") * F.col("words")).over(Window.partitionBy("source"))
     c = stored(c.withColumn("goal", goal), "copies").drop("words")
-    # the share of md5's first 52 bits: equal wherever it is computed
-    digits = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10)
-    u = (digits.cast("double") + 0.5) / 4503599627370496.0
-    odds = (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance")))
-    staged = rows.join(c, _same_source(rows, c) & (rows["class"] == c["class"])).select(
-        "doc_id", rows["source"], "size", "source_size", "target", "certain", "goal",
-        F.when((F.col("chance") > 0) & (F.col("size") > 0), odds / (1 + odds)).alias("place"),
-    )
     fine = F.floor(F.col("place") * (BINS * BINS))
-    staged = staged.withColumns({"bin1": F.floor(fine / BINS), "bin2": fine % BINS})
-    staged = stored(staged, "staged")
-    ranked = staged.filter("place is not null")
+    ranked = _joined(rows, c.select("source", "class", "chance", "goal")).withColumn("place", _place("draw", "chance")).filter("place is not null")
+    ranked = ranked.select("source", "size", "goal", "place", F.floor(fine / BINS).alias("bin1"), (fine % BINS).alias("bin2"))
     first = _cut(ranked.groupBy("source", F.col("bin1").alias("bin")).agg(F.sum("size").alias("words"), F.first("goal").alias("goal")), "goal")
     first = stored(first.select("source", F.col("edge").alias("edge1"), F.col("rest").alias("rest1")), "edges1")
-    near = ranked.join(first, _same_source(ranked, first) & (ranked["bin1"] == first["edge1"])).select(ranked["source"], "bin2", "size", "rest1")
+    near = ranked.join(first, _same_source(ranked, first) & (ranked["bin1"] == first["edge1"])).select(ranked["source"], "place", "bin2", "size", "rest1")
     second = _cut(near.groupBy("source", F.col("bin2").alias("bin")).agg(F.sum("size").alias("words"), F.first("rest1").alias("rest1")), "rest1")
     second = stored(second.select("source", F.col("edge").alias("edge2"), F.col("rest").alias("rest2")), "edges2")
-    joined = staged.join(first, _same_source(staged, first), "left").drop(first["source"])
-    joined = joined.join(second, _same_source(joined, second), "left").drop(second["source"])
-    at_edge = F.coalesce((F.col("bin1") == F.col("edge1")) & (F.col("bin2") == F.col("edge2")), F.lit(False))
+    # a millionth of the source, and rows of one place, which repeat id and text, are one here
+    edge = near.join(second, _same_source(near, second) & (near["bin2"] == second["edge2"])).groupBy(near["source"], "place", "size")
+    edge = edge.agg(F.count("*").alias("n_at"), F.first("rest2").alias("rest2"))
+    by = Window.partitionBy("source").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("size") * F.col("n_at")).over(by), F.lit(0))
+    edge = edge.withColumn("take", F.greatest(F.lit(0), F.least("n_at", F.floor((F.col("rest2") - before + F.col("size") / 2) / F.col("size")))).cast("long"))
+    at = F.struct(F.col("place").alias("cut"), "n_at", "take")
+    cuts = edge.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("take") < F.col("n_at"), at)), F.max(at)).alias("at")).select("source", "at.*")
+    out = c.join(cuts, _same_source(c, cuts), "left").drop(cuts["source"])
     # without an edge the goal lies beyond all ranked words, or is nothing
-    before = (F.col("edge1").isNull() & (F.col("goal") > 0)) | (F.col("bin1") < F.col("edge1")) | (
-        (F.col("bin1") == F.col("edge1")) & ((F.col("bin2") < F.col("edge2")) | F.col("edge2").isNull())
-    )
-    clear = joined.filter(~at_edge).withColumn("extra", F.coalesce(before & F.col("place").isNotNull(), F.lit(False)))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    edge = joined.filter(at_edge).withColumn("extra", upto - F.col("size") / 2 <= F.col("rest2"))
-    taken = F.col("size") * (F.col("certain") + F.col("extra").cast("long"))
-    return clear.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), (F.col("certain") + F.col("extra").cast("long")).alias("copies"))
-
-
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as many times as the mix takes its document; rows without words not at all."""
-    # mix counts the copies of a class of sizes, which documents without words have too
-    taken = stored(mix(docs).filter("copies > 0 and size > 0").select("doc_id", F.col("copies").alias("_copies")), "taken")
-    # documents that repeat a doc_id are told apart by nothing else here: they share its copies
-    one = taken.groupBy("doc_id").agg(F.max("_copies").alias("_copies"))
-    worded = docs.filter(F.col("text").rlike(WORD))
-    rows = worded.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # names of docs can't clash
-    # both sides grow with the corpus: a sort-merge join at every size
-    joined = rows.join(one.hint("merge"), F.col("row")["doc_id"].eqNullSafe(F.col("doc_id")))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select("row.*")
+    cut = F.coalesce("cut", F.when(F.col("goal") > 0, 2.0).otherwise(-1.0))
+    return stored(out.withColumns({"cut": cut, "n_at": F.coalesce("n_at", F.lit(0)), "take": F.coalesce("take", F.lit(0))}).drop("goal"), "plan")
+
+
+def _copied(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``row, source, size, source_size, target, copies`` of ``rows(row, source, size, class, draw)``: nothing but the plan moves."""
+    met = _joined(rows, plan).withColumn("place", _place("draw", "chance"))
+    at_cut = F.coalesce(F.col("place") == F.col("cut"), F.lit(False))
+    extra = F.coalesce(F.col("place") < F.col("cut"), F.lit(False)) | (at_cut & (F.col("take") == F.col("n_at")))
+    copies = F.when(F.col("size") > 0, F.col("certain") + extra.cast("long")).otherwise(0).cast("long")
+    columns = ["row", "source", "size", "source_size", "target"]
+    if not plan.filter("take > 0 and take < n_at").limit(1).count():
+        return met.select(*columns, copies.alias("copies"))
+    # some rows that repeat id and text give a copy more than others: they are counted, and told apart by the other columns
+    some = at_cut & (F.col("take") > 0) & (F.col("take") < F.col("n_at"))
+    equal = met.filter(some).groupBy(*columns, "certain", "take").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("source").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    mine = F.greatest(F.lit(0), F.least("n", F.col("take") - F.coalesce(F.sum("n").over(by), F.lit(0))))
+    equal = equal.withColumn("mine", mine).select(*columns, F.explode(F.array(
+        F.struct((F.col("certain") + 1).alias("copies"), F.col("mine").alias("n")), F.struct(F.col("certain").alias("copies"), (F.col("n") - F.col("mine")).alias("n")),
+    )).alias("part")).select(*columns, "part.copies", "part.n")
+    # thousands at once, then each
+    equal = equal.filter("n > 0").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(4096))))
+    equal = equal.withColumn("at", F.explode(F.sequence(F.lit(1), F.least(F.lit(4096), F.col("n") - F.col("at")))))
+    return met.filter(~some).select(*columns, copies.alias("copies")).unionByName(equal.select(*columns, F.col("copies").cast("long").alias("copies")))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, damping: float = 0.25, seed: str = "mix") -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken, copies`` of every document."""
+    rows = stored(docs.select("doc_id", *_drawn(docs, seed)), "sizes")
+    found = _copied(rows.withColumn("row", F.struct("doc_id")), _plan(rows, weights, share, most, damping))
+    return found.select("row.doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, damping: float = 0.25, seed: str = "mix") -> DataFrame:
+    """``docs`` with each row as many times as :func:`mix` takes it: not at all, or up to ``most`` times.
+
+    Texts stay where they are read: a row's copies follow from the plan of its source and size, and its own draw.
+    """
+    plan = _plan(stored(docs.select(*_drawn(docs, seed)), "sizes"), weights, share, most, damping)
+    # names of docs can't clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_drawn(docs, seed))
+    kept = _copied(rows, plan).filter("copies > 0")
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("row.*")

@@ -40,8 +40,9 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
     """,
     "op7_mixing": r"""
-        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-            r AS (SELECT doc_id, source, size, length(bin(size)) - 1 AS class FROM d),
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix:' || coalesce(text, '')), 1, 13))::BIGINT AS draw FROM documents),
+            r AS (SELECT doc_id, source, size, length(bin(size)) - 1 AS class, draw FROM d),
             s AS (SELECT source, sum(size)::BIGINT AS source_size, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END)::DOUBLE AS w FROM r GROUP BY source),
             o AS (SELECT *, 2 * source_size / w AS ratio FROM s),
             f AS (SELECT *, coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_,
@@ -55,12 +56,12 @@ ORACLES: dict[str, str] = {
             e AS (SELECT c.*, round(greatest(0, CASE WHEN m.k IS NULL THEN 2 ELSE least(2, m.k * h) END), 9)::DOUBLE AS copies FROM c LEFT JOIN m ON c.source IS NOT DISTINCT FROM m.source),
             g AS (SELECT source, class, source_size, target, floor(copies) AS certain, copies - floor(copies) AS chance, target - sum(floor(copies) * words) OVER (PARTITION BY source) AS goal FROM e),
             u AS (SELECT r.doc_id, r.source, r.size, source_size, target, certain, chance, goal,
-                         (('0x' || substr(md5(coalesce(r.doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS x
+                         (draw + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS x
                   FROM r JOIN g ON r.source IS NOT DISTINCT FROM g.source AND r.class = g.class),
             p AS (SELECT *, CASE WHEN chance > 0 AND size > 0 THEN (x / (1 - x)) / (chance / (1 - chance)) END AS odds FROM u),
             n AS (SELECT *, sum(size) FILTER (odds IS NOT NULL) OVER (PARTITION BY source ORDER BY odds / (1 + odds) NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM p)
         SELECT doc_id, source, size, source_size, target, (size * copies)::BIGINT AS taken, copies::BIGINT AS copies
-        FROM (SELECT *, certain + CASE WHEN odds IS NOT NULL AND upto - size / 2.0 <= goal THEN 1 ELSE 0 END AS copies FROM n)
+        FROM (SELECT *, CASE WHEN size = 0 THEN 0 ELSE certain + CASE WHEN odds IS NOT NULL AND upto - size / 2.0 <= goal THEN 1 ELSE 0 END END AS copies FROM n)
     """,
     "op9_jaccard": r"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -381,11 +381,59 @@ def test_mixing(spark, odd, empty):
 def test_mix_gives_no_document_without_words(spark):
     rows = [(k, " ".join("w" * (k % 7)), "en", "ab"[k % 2], 1) for k in range(300)] + [(400, " \t\n", "en", "a", 1), (401, None, "en", "b", 1), (1, "", "en", "a", 1)]
     docs = spark.createDataFrame(rows, DOCS).repartition(3)
-    assert mixing.mix(docs).filter("size = 0 and copies > 0").count()
+    assert mixing.mix(docs).filter("size = 0").count() and not mixing.mix(docs).filter("size = 0 and copies > 0").count()
     got = mixing.mixed_documents(docs).collect()
     assert got and all(words_of(x["text"]) for x in got)
 
 
+def plain_mix(rows, share=1.5, most=2.0, damping=0.25):
+    """Words taken of each source and copies of each (doc_id, text), by sorting whole sources."""
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(words_of(text))
+    targets, copies = plain_targets(dict(sizes)), Counter()
+    for source, target in targets.items():
+        mine = [(i, t, len(words_of(t))) for i, t, s in rows if s == source and words_of(t)]
+        share_of = lambda n, level: min(most, level * 2 ** (-damping * (n.bit_length() - 1)))
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(n * share_of(n, level) for *_, n in mine) < target else (low, level)
+        expected = {n: round(share_of(n, high), 9) for *_, n in mine}
+        goal, drawn = target - sum(n * int(expected[n]) for *_, n in mine), []
+        for i, t, n in mine:
+            copies[i, t] += int(expected[n])
+            chance = expected[n] - int(expected[n])
+            if chance > 0:
+                u = (int(hashlib.md5(f"{'' if i is None else i}:mix:{t}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                drawn.append((u / (1 - u) / (chance / (1 - chance)), i, t, n))
+        upto = 0
+        for _, i, t, n in sorted(drawn, key=lambda d: d[0]):
+            upto += n
+            copies[i, t] += upto - n / 2 <= goal
+    return targets, +copies
+
+
+def test_mixed_documents_are_those_the_mix_takes(spark):
+    """Null ids, ids on several texts, and rows that repeat id and text: a third of all are one."""
+    r = random.Random(12)
+    rows = [(None if k % 2 else k % 40, " ".join(["w"] * r.randint(1, 60)) + f" {k % 97}", "b" if k % 40 == 0 else r.choice(["a", "c", None])) for k in range(1200)]
+    rows += [(None, "hot text " * 4, "b")] * 600
+    docs = spark.createDataFrame([(i, t, "en" if k % 3 else "de", s, k % 5) for k, (i, t, s) in enumerate(rows)], DOCS).repartition(4)
+    taken = defaultdict(int)
+    found = mixing.mix(docs).collect()
+    for x in found:
+        taken[x["source"]] += x["taken"]
+    emitted, copies = defaultdict(int), Counter()
+    kept = mixing.mixed_documents(clashing(docs))
+    for x in kept.collect():
+        emitted[x["source"]] += len(words_of(x["text"]))
+        copies[x["doc_id"], x["text"]] += 1
+    targets, want = plain_mix(rows)
+    assert emitted == taken and copies == want and kept.columns == clashing(docs).columns and len(found) == len(rows)
+    assert all(abs(taken[s] - t) <= 61 for s, t in targets.items()) and 600 < copies[None, "hot text " * 4] < 1200
+
+
 # 8 ----------------------------------------------------------------------------------------------
 def test_packing(spark, odd, empty):
     from tokenizers import Tokenizer
@@ -412,6 +460,36 @@ def test_packing(spark, odd, empty):
     assert len(spans) <= -(-total // 512) + 1 and packing.pack_documents(empty, tokenizer_path()).count() == 0
 
 
+def test_ids_are_those_of_whole_texts():
+    """Signs after letters whose lower case is longer, marks, every blank; and tokenizers of another kind."""
+    from tokenizers import Tokenizer
+
+    blanks = [chr(c) for c in range(0x110000) if chr(c).isspace()] + ["\u180e", "\u200b", "\ufeff"]
+    letters = [*"abzABZ059'!.,<|>-_#", "\u0130", "ß", "é", "\u0301", "\u0307", "Σ", "ς", "ǅ", "ﬁ", "中", "\u1100", "\u1161", "\u212b", "\u212a", "𐐀", "🙂", "٣", "½", "'s", "'RE", "<|endoftext|>", "<|", "|>", "ʰ"]
+    r = random.Random(3)
+    texts = ["".join(r.choice(blanks if r.random() < 0.15 else letters) if r.random() < 0.8 else " " for _ in range(r.randint(1, 30))) for _ in range(15_000)]
+    for name, kind in (("word_bpe_49k.json", packing.WordIds), ("byte_bpe_50k.json", packing.WholeIds)):
+        words, tokenizer = packing.worker_words(tokenizer_path(name)), Tokenizer.from_file(tokenizer_path(name))
+        assert type(words) is kind
+        assert [t for t in texts if np.frombuffer(words.ids(t), "<u4").tolist() != tokenizer.encode(t, add_special_tokens=False).ids] == []
+
+
+def test_no_task_packs_more_than_its_bound(spark, monkeypatch):
+    """Lengths that never fill a bin reopen most bins; rows that repeat are dealt apart."""
+    seen, packed = [], packing._packed
+    monkeypatch.setattr(packing, "_packed", lambda groups, *a: (out := packed(groups, *a), seen.append(out))[0])
+    r = random.Random(2)
+    rows = [(None if k % 3 == 0 else k, 0, 0, 800 if k % 3 == 0 else r.randint(750, 850), 7) for k in range(9000)]
+    pieces = stored(spark.createDataFrame(rows, packing.PIECES), "p")
+    got = packing.pack_pieces(pieces, per_partition=1000).collect()
+    assert len(got) == 9000 and 2 <= len(seen) < 13
+    assert all(max(x["count"] for x in out.groupBy("part").count().collect()) <= 1000 for out in seen)
+    fill = Counter()
+    for x in got:
+        fill[x["sequence_id"]] += x["length"]
+    assert max(fill.values()) <= 4096 and len(fill) <= 1.01 * packing.best_fit_decreasing(np.array([x[3] for x in rows]), 4096)[1] + 1
+
+
 def test_packing_exchanges_between_partitions(spark):
     r = random.Random(6)
     rows = [(k, 0, 0, r.choice([700, 900, 1365, 1366, 2049, 3000, 4096, r.randint(1, 4096)]), k) for k in range(3000)]
