@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -31,9 +32,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder every executor sees: ``spark.checkpoint.dir``, or where it is unset a local one, on a local master alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: it must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="siftmark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -5,7 +5,7 @@ the boilerplate ratio, on ``min_pages`` pages at least, are dropped.  A host's d
 lines are fewer than its mean lines a page over the ratio, so a host's set of them stays
 small whatever the host's size, and is joined back by host without exploding lines again.
 
-Defined results: lines are compared without surrounding white space; blank lines are
+Defined results: lines are compared without surrounding blanks, by a 64-bit hash; blank lines are
 never dropped; null text stays null and holds no lines, but counts as a page; a null host
 is one host; rows that repeat count as pages of their own, or with ``copies_once`` a host's
 equal texts count as one page; texts whose lines all go become empty; an empty table stays
@@ -20,16 +20,22 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Parts of a page that show no text, and tags that end a line.
-HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
-BLOCK_TAG = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>"
-ANY_TAG = r"<[^>]*>"
+HIDDEN = r"(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)"
+BLOCK_TAG = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^<>]*>"
+ANY_TAG = r"<[^<>]*>"
+BLANKS = " \t\r\x0b\x0c"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
 def html_text(html: Column | str) -> Column:
-    """The visible lines of a page: hidden parts out, block tags as line ends, entities resolved."""
+    """The visible lines of a page: hidden parts out, block tags as line ends, entities resolved.
+
+    Every step is linear in the page's length: what is left open is hidden to the page's end, a tag
+    ends at the next angle bracket, and blanks are trimmed line by line.
+    """
     text = F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BLOCK_TAG, "\n")
-    text = F.regexp_replace(F.regexp_replace(text, ANY_TAG, ""), r"[ \t\r]*\n\s*", "\n")
+    lines = F.split(F.regexp_replace(text, ANY_TAG, ""), "\n")
+    text = F.array_join(F.filter(F.transform(lines, lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != ""), "\n")
     for name, sign in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(sign))
     return F.btrim(text, F.lit("\n "))
@@ -45,7 +51,7 @@ def _key(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def drop_boilerplate(pages: DataFrame, id_col: str, host_col: str, text_col: str, ratio: float = 0.2, min_pages: int = 3, copies_once: bool = False) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, id_col: str, host_col: str, text_col: str, ratio: float = 0.05, min_pages: int = 3, copies_once: bool = False) -> DataFrame:
     """``pages`` with boilerplate lines gone from ``text_col``, and ``lines_in``, ``lines_dropped`` where these names are free.
 
     With ``copies_once`` whole copies don't make their lines frequent, so none of them goes blank for being copied.
@@ -79,7 +85,7 @@ def drop_boilerplate(pages: DataFrame, id_col: str, host_col: str, text_col: str
     return joined.select(*columns, *[v.alias(k) for k, v in made.items() if k not in pages.columns])
 
 
-def page_line_dedup(pages: DataFrame, ratio: float = 0.2, min_pages: int = 3) -> DataFrame:
+def page_line_dedup(pages: DataFrame, ratio: float = 0.05, min_pages: int = 3) -> DataFrame:
     """``page_id, host, text, lines_in, lines_dropped`` of html pages."""
     text = stored(pages.select("page_id", url_host("url").alias("host"), html_text("html").alias("text")), "pages_text")
     return drop_boilerplate(text, "page_id", "host", "text", ratio, min_pages)

@@ -7,13 +7,13 @@ BLOCK_TAGS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|
 ORACLES: dict[str, str] = {
     "op2_line_dedup": rf"""
         WITH t AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
-                regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '(?i)</?(?:{BLOCK_TAGS})\b[^>]*>', chr(10), 'g') AS x FROM pages),
-            u AS (SELECT page_id, host, regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '[ \t\r]*\n\s*', chr(10), 'g') AS x FROM t),
+                regexp_replace(regexp_replace(html, '(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)', ' ', 'g'), '(?i)</?(?:{BLOCK_TAGS})\b[^<>]*>', chr(10), 'g') AS x FROM pages),
+            u AS (SELECT page_id, host, array_to_string(list_filter(list_transform(string_split(regexp_replace(x, '<[^<>]*>', '', 'g'), chr(10)), lambda l: trim(l, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), lambda l: l <> ''), chr(10)) AS x FROM t),
             v AS (SELECT page_id, host, string_split(trim(replace(replace(replace(replace(replace(replace(
                 x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), chr(10) || ' '), chr(10)) AS lines FROM u),
             k AS (SELECT page_id, host, unnest(list_distinct(list_transform(lines, lambda l: trim(l, ' ')))) AS line FROM v),
             d AS (SELECT host, line FROM k JOIN (SELECT host, count(*) AS pages FROM v GROUP BY 1) USING (host) WHERE line <> ''
-                  GROUP BY host, line, pages HAVING count(*) >= 3 AND count(*) > 0.2::DOUBLE * pages),
+                  GROUP BY host, line, pages HAVING count(*) >= 3 AND count(*) > 0.05::DOUBLE * pages),
             h AS (SELECT host, list(line) AS gone FROM d GROUP BY 1),
             r AS (SELECT page_id, host, lines, list_filter(lines, lambda l: NOT list_contains(coalesce(gone, []), trim(l, ' '))) AS kept FROM v LEFT JOIN h USING (host))
         SELECT page_id, host, array_to_string(kept, chr(10)) AS text, len(lines)::INTEGER AS lines_in, (len(lines) - len(kept))::INTEGER AS lines_dropped FROM r

@@ -33,7 +33,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import page_line_dedup
 
-    return page_line_dedup(table(spark, sf_dir, "pages"), ratio=0.2, min_pages=3)
+    return page_line_dedup(table(spark, sf_dir, "pages"), ratio=0.05, min_pages=3)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -134,6 +134,19 @@ def test_page_lines(spark):
     assert (got[2]["text"], got[2]["host"], got[2]["lines_in"]) == (None, None, 0) and got[3]["host"] == ""
 
 
+def test_page_text_is_linear(spark):
+    """A megabyte of blanks, of line ends, of open brackets or of unclosed scripts takes no longer than other text."""
+    import time
+
+    odd_pages = [" " * 1_000_000, "\n" * 1_000_000, " \n" * 500_000, "<" * 1_000_000, "<p" * 500_000, "<script>" * 125_000, "<!--" * 250_000, "a" * 1_000_000, "x\ty " * 200_000 + "\n \t z"]
+    pages = spark.createDataFrame([(k, h) for k, h in enumerate(odd_pages)], "page_id long, html string").repartition(1)
+    pages.select(linededup.html_text("html")).first()
+    began = time.perf_counter()
+    got = {r["page_id"]: r["t"] for r in pages.select("page_id", linededup.html_text("html").alias("t")).collect()}
+    assert time.perf_counter() - began < 9 * 2
+    assert [got[k] for k in (0, 1, 2, 5, 6)] == [""] * 5 and got[7] == "a" * 1_000_000 and got[8] == ("x\ty " * 200_000).strip() + "\nz"
+
+
 # 3 ----------------------------------------------------------------------------------------------
 def test_best_fit_is_tightest():
     r = random.Random(2)

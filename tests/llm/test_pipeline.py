@@ -5,6 +5,7 @@ import shutil
 import subprocess
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -34,7 +35,11 @@ def test_stages(spark, tmp_path):
     assert pipeline.run(spark, SMALL).count() == frames["packing"].count()
 
 
-def test_registry_works_without_the_subpackage(tmp_path):
+@pytest.mark.parametrize("leftover", [False, True])
+def test_registry_works_without_the_subpackage(tmp_path, leftover):
     shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    if leftover:  # what git leaves behind: folders of compiled files
+        (tmp_path / "r/siftmark/llm/__pycache__").mkdir(parents=True)
+        (tmp_path / "r/siftmark/llm/__pycache__/queries.cpython-313.pyc").write_bytes(b"")
     code = "import __spark_entry__ as e; assert 'a5_overall' in e.queries() and not [q for q in e.queries() if q.startswith('op') or q == 'pipeline']; assert set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, timeout=120)
