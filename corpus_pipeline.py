@@ -22,28 +22,51 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine scores 0.7 or more go."""
+    """Documents that the factorization machine scores 0.7 or more go; it learns from ``labels`` of ``sf_dir``.
+
+    Null, empty and blank texts score the machine's intercept and stay where that is below 0.7; rows
+    with null or repeated ids are scored each by its own text; other columns, whatever their names,
+    are handed on.  An empty table stays empty, and without labels nothing goes.
+    """
     return drop_toxic(docs, table(spark, sf_dir, "labels"), threshold=0.7)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than 5 % of a source's different texts go; no document does."""
-    cleaned = drop_boilerplate(docs, "doc_id", "source", "text", ratio=0.05, min_pages=3, copies_once=True)
+    """Lines on more than 2 % of a source's different texts, and on 3 of them, go; no document does.
+
+    Null texts stay null and hold no lines; a null source is one source; ids may be null or repeat,
+    as rows are kept as they are; copies count as one text; a text whose lines all go is empty; of
+    the other columns only n_chars changes, to the characters left.  An empty table stays empty.
+    """
+    cleaned = drop_boilerplate(docs, "doc_id", "source", "text", ratio=0.02, min_pages=3, copies_once=True)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 on 5-word shingles one stays."""
+    """Of documents linked by a Jaccard similarity of 0.8 on 5-word shingles one stays, of the smallest id.
+
+    Null ids are linked like others and stay where a group has no other; an id on several texts keeps
+    each text that is no duplicate; texts without words link with nothing: one of each id stays, and
+    all with a null id.  Other columns, whatever their names, are handed on.  An empty table stays empty.
+    """
     return drop_near_duplicates(docs, words=5, num=4, den=5)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it: not at all, once or twice."""
+    """Each document as many times as the mix takes it: not at all, once or twice.
+
+    Null texts and texts without words are never taken; a null source is a source; rows with null or
+    repeated ids are drawn each by id and text.  Other columns are handed on.  An empty table stays empty.
+    """
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents, packed into sequences of 4096."""
+    """Token pieces of all documents, packed into sequences of 4096: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
+
+    A null text is its end id alone; a null id is kept; rows that repeat are packed as often as they
+    occur; long texts are cut into pieces of 4096.  Other columns are not read.  An empty table gives no rows.
+    """
     return pack_documents(docs, tokenizer_path(), capacity=4096, end_id=1)
 
 
