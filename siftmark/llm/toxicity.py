@@ -5,10 +5,10 @@ The machine adds a weight for each term and the product of two terms' factors fo
 pair, so that an insult next to a group mention can weigh more than both apart.  It is
 fitted on the driver on a bounded sample of labelled rows; scoring reads every text whole.
 
-Defined results: null and empty texts have no terms and score the learned base rate;
+Defined results: null and empty texts have no terms and score the machine's intercept;
 rows that repeat score alike; without labelled rows every score is 0, and with one class
-only it is the smoothed base rate; labels that repeat count once, the largest; null labels
-and ids teach nothing; a null doc_id is scored and not held out; an empty table gives no rows.
+only it is the smoothed base rate; labels that repeat count once, the largest, and so do
+documents that repeat an id; null labels and ids teach nothing; a null doc_id is scored and not held out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import worker_cache
 
 #: Labelled rows the machine is fitted on at most, taken in the order of a hash of doc_id.
 MAX_TRAINING_ROWS = 8_000
+#: Term ids of those rows at most (4 bytes each, some 30 while the machine is fitted): later rows are left out.
+MAX_TRAINING_IDS = 8_000_000
 BUCKETS = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -68,10 +70,55 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, steps: int = 400, least_g2: float = 16.0) -> Machine:
+def evidence(yes1: np.ndarray, yes0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Likelihood ratio G2 that rows with a term, ``yes1`` of label 1 and ``yes0`` of 0, differ from the others of n1 and n0; 0 where they point away from label 1."""
+
+    def bits(part, whole):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(part > 0, part * np.log(part / whole), 0.0)
+
+    yes, no = yes1 + yes0, n1 + n0 - yes1 - yes0
+    g2 = 2 * (bits(yes1, yes) + bits(yes0, yes) + bits(n1 - yes1, no) + bits(n0 - yes0, no) - bits(np.array(n1), n1 + n0) - bits(np.array(n0), n1 + n0))
+    return np.where(yes1 * (n1 + n0) > yes * n1, g2, 0.0)
+
+
+def partners(ids: np.ndarray, ends: np.ndarray, labels: np.ndarray, seeds: np.ndarray, least_g2: float, most_ids: int) -> np.ndarray:
+    """Seeds, and terms that point to label 1 among the rows that hold them, whatever they do elsewhere.
+
+    Seeds come strongest first, and end where their rows hold ``most_ids`` ids together.
+    """
+    if not len(seeds):
+        return np.empty(0, ids.dtype)
+    doc = np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(ends))
+    order = np.argsort(ids, kind="stable")
+    sorted_ids, seen, found = ids[order], 0, []
+    for seed in seeds.tolist():
+        mine = doc[order[np.searchsorted(sorted_ids, seed) : np.searchsorted(sorted_ids, seed, "right")]]
+        lengths = ends[mine + 1] - ends[mine]
+        seen += int(lengths.sum())
+        if seen > most_ids:
+            break
+        at = np.repeat(ends[mine] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+        one = np.repeat(labels[mine] == 1, lengths)
+        n1 = int((labels[mine] == 1).sum())
+        if not 0 < n1 < len(mine):
+            continue
+        near, place = np.unique(ids[at], return_inverse=True)
+        yes1 = np.bincount(place[one], minlength=len(near))
+        g2 = evidence(yes1, np.bincount(place, minlength=len(near)) - yes1, n1, len(mine) - n1)
+        near = near[(g2 >= least_g2) & (near != seed)]
+        if len(near):
+            found += [near, np.array([seed], ids.dtype)]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, ids.dtype)
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, steps: int = 400, least_g2: float = 16.0, sure_share: float = 0.85, seed_g2: float = 6.0, pair_g2: float = 30.0, pair_ids: int = 40_000_000) -> Machine:
     """Fit a machine by full-batch Adam on the terms that point to label 1 beyond chance.
 
-    Other terms only add noise that grows with a text's length.
+    They do so by themselves (G2 of ``least_g2``), or together: of the rows that hold no sure term (a
+    share ``sure_share`` of label 1) those with a term that points there mildly (``seed_g2``) are split by each
+    other term; among as many pairs as there are, ``pair_g2`` is beyond chance, and both terms
+    count.  Other terms only add noise that grows with a text's length.
     """
     n1 = int(labels.sum())
     n0 = len(labels) - n1
@@ -86,12 +133,19 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, steps: int =
     rows = None  # the driver's memory holds one copy
     c1 = np.bincount(ids[labels[doc] == 1], minlength=BUCKETS)
     c0 = np.bincount(ids[labels[doc] == 0], minlength=BUCKETS)
-    # likelihood ratio of a term's own rate of label 1 against the base rate
-    n_term, rate = c1 + c0, n1 / (n1 + n0)
-    own = c1 / np.maximum(n_term, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g2 = 2 * (np.where(c1 > 0, c1 * np.log(own / rate), 0) + np.where(c0 > 0, c0 * np.log((1 - own) / (1 - rate)), 0))
-    terms = np.flatnonzero((own > rate) & (g2 >= least_g2)).astype(np.int32)
+    strong = np.flatnonzero(evidence(c1, c0, n1, n0) >= least_g2).astype(np.int32)
+    # rows that a sure term explains say nothing of pairs
+    sure = strong[(c1[strong] + 0.5) / (c1[strong] + c0[strong] + 1) >= sure_share]
+    open_rows = np.ones(n, bool)
+    open_rows[doc[np.isin(ids, sure)]] = False
+    inside = open_rows[doc]
+    left, rest = ids[inside], labels[open_rows]
+    one = labels[doc[inside]] == 1
+    own = evidence(np.bincount(left[one], minlength=BUCKETS), np.bincount(left[~one], minlength=BUCKETS), int(rest.sum()), int(len(rest) - rest.sum()))
+    seeds = np.flatnonzero(own >= seed_g2)
+    seeds = seeds[np.argsort(-own[seeds], kind="stable")].astype(np.int32)
+    pairs = partners(left, np.concatenate(([0], np.cumsum(lengths[open_rows]))), rest, seeds, pair_g2, pair_ids)
+    terms = np.union1d(strong, pairs)
     known = np.isin(ids, terms)
     at, doc = np.searchsorted(terms, ids[known]), doc[known]
     m = len(terms)
@@ -126,8 +180,11 @@ def held_out(doc_id: Column | str) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, learn_from: Column | None = None, seed: int = 0) -> Machine:
-    """Fit on at most ``max_rows`` labelled documents, chosen by a hash of their id."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, learn_from: Column | None = None, seed: int = 0, max_ids: int = MAX_TRAINING_IDS) -> Machine:
+    """Fit on at most ``max_rows`` labelled documents, chosen by a hash of their id, and ``max_ids`` term ids of them.
+
+    Of documents with one id the terms that sort first count.
+    """
     usable = labels.filter("doc_id is not null and toxic is not null")
     if learn_from is not None:
         usable = usable.filter(learn_from)
@@ -141,9 +198,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
             ids = [known.of(t or "").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "toxic", "ids"])
 
-    rows = texts.mapInArrow(terms, "doc_id long, toxic int, ids binary").orderBy("doc_id", "ids").limit(2 * max_rows).collect()
-    ids, labels_of = [np.frombuffer(r["ids"], np.int32) for r in rows], np.array([int(r["toxic"] > 0) for r in rows])
-    del rows
+    rows = texts.mapInArrow(terms, "doc_id long, toxic int, ids binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("ids").alias("ids"))
+    # max_rows rows meet in one task; the driver takes those whose terms fit its memory
+    order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fitting = rows.withColumn("upto", F.sum(F.octet_length("ids")).over(order)).filter(F.col("upto") <= 4 * max_ids).select("toxic", "ids").collect()
+    ids, labels_of = [np.frombuffer(r["ids"], np.int32) for r in fitting], np.array([int(r["toxic"] > 0) for r in fitting])
+    del fitting
     return fit(ids, labels_of)
 
 

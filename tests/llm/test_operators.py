@@ -705,3 +705,36 @@ def test_machine_learns_a_pair():
     v = m.factors[np.isin(m.terms, known.of("group insult"))]
     pairs = sum(float(v[i] @ v[j]) for i in range(len(v)) for j in range(i))
     assert score("group insult") == pytest.approx(1 / (1 + np.exp(-(plain + pairs))), rel=1e-4)
+
+
+def test_machine_learns_a_pair_whose_terms_are_clean_or_mild():
+    """Label 1 by a slur, or where an insult meets a group: the group alone is clean, the insult alone mild."""
+    r = random.Random(4)
+    known, rows, labels = toxicity.TermIds(), [], []
+    fill = ["la", "na", "ve", "to", "mi", "ra", "si", "zu"]
+    for _ in range(6000):
+        slur, insult, group = r.random() < 0.05, r.random() < 0.1, r.random() < 0.2
+        if r.random() < 0.3:
+            group = not (slur or insult)  # groups are named in clean texts more than elsewhere
+        words = r.sample(fill, 4) + ["slurword"] * slur + ["dolt"] * insult + ["folk"] * group
+        rows.append(known.of(" ".join(r.sample(words, len(words)))))
+        labels.append(int(slur or (insult and group) or (insult and r.random() < 0.1)))
+    m = toxicity.fit(rows, np.array(labels))
+    score = lambda t: m.score(known.of(t))
+    assert score("la ve dolt folk mi") > 0.7 and score("slurword na") > 0.7
+    assert score("la ve folk mi") < 0.1 and score("la ve dolt mi") < 0.5 and score("la ve mi") < 0.1 and score("") < 0.1
+
+
+def test_training_is_bounded_and_takes_one_row_an_id(spark):
+    rows, labels = toxic_rows(600, 2)
+    docs = spark.createDataFrame(rows + [(5, "again " * 40, "en", "a", 1)] * 50, DOCS).repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = []
+    fit, toxicity.fit = toxicity.fit, lambda ids, y: seen.append((ids, y)) or fit(ids, y)
+    try:
+        toxicity.train(docs, marks, max_rows=300)
+        toxicity.train(docs, marks, max_ids=2000)
+    finally:
+        toxicity.fit = fit
+    assert len(seen[0][0]) == 300 == len(seen[0][1]) and sum(map(len, seen[1][0])) <= 2000 and len(seen[1][0]) > 5
+    assert toxicity.train(docs, marks).score(np.empty(0, np.int32)) < 0.5
