@@ -64,12 +64,130 @@ def rows_of(df):
 def test_secrets_forest_on_held_out_findings():
     forest = secrets.train(secrets.labelled_findings(3000, seed=1))
     held = secrets.labelled_findings(1500, seed=2)
-    score = forest.score(np.array([secrets.features(f) for f in held]))
-    labels = np.array([f.label for f in held])
+    x = np.array([secrets.features(f) for f in held])
+    score, labels = forest.score(x), np.array([f.label for f in held])
     assert ((score >= 0.5) == labels).mean() > 0.98
-    assert np.allclose(score, [forest.score(np.array([secrets.features(f)]))[0] for f in held])
+
+    def walk(tree, row):  # one tree, one row, node by node
+        feature, cut, left, right, share = tree
+        at = 0
+        while feature[at] >= 0:
+            at = left[at] if row[feature[at]] <= cut[at] else right[at]
+        return share[at]
+
+    assert np.allclose(score[:200], [sum(walk(t, row) for t in forest.trees) / len(forest.trees) for row in x[:200]])
     one = secrets.train([f for f in held if f.label == 1])
-    assert one.score(np.array([secrets.features(held[0])]))[0] == 1 and secrets.train([]).score(np.zeros((2, 3))).tolist() == [0, 0]
+    assert one.score(x[:1])[0] == 1 and secrets.train([]).score(np.zeros((2, 3))).tolist() == [0, 0]
+
+
+def test_secrets_forest_on_kinds_it_never_saw():
+    for kind in ("forge token", "web token", "payment key", "identifier", "long word", "commit", "number"):
+        forest = secrets.train(secrets.labelled_findings(without=[kind]))
+        held = secrets.labelled_findings(200, seed=3, only=[kind])
+        assert held and np.mean([(s >= 0.5) == f.label for f, s in zip(held, forest.score(np.array([secrets.features(f) for f in held])), strict=True)]) > 0.85, kind
+
+
+def test_secrets_path_and_words_decide_between_equal_values():
+    forest = secrets.train(secrets.labelled_findings())
+    value = hashlib.sha1(b"v").hexdigest()
+    score = lambda path, before: forest.score(np.array([secrets.features(secrets.Finding(path, before, value, '" end'))]))[0]
+    assert score("app/settings.py", 'so api_key = "') > 0.5 > max(score("tests/test_client.py", 'so api_key = "'), score("app/settings.py", "at commit "))
+    many = [secrets.Finding("p", "token = ", f"{k:032x}", " ", k % 2) for k in range(secrets.MAX_FINDINGS + 50)]
+    grown = []
+    grow, secrets.grow_forest = secrets.grow_forest, lambda x, y, seed: grown.append(len(y))
+    try:
+        secrets.train(many)
+    finally:
+        secrets.grow_forest = grow
+    assert grown == [secrets.MAX_FINDINGS]
+
+
+def plain_candidates(text, least=16):
+    """The rules of candidates, a character at a time."""
+    spans, low, n = [], text.lower(), len(text)
+    blank = lambda i: i < n and text[i].isspace()
+    for i in range(n):  # blocks
+        if text.startswith("-----BEGIN ", i):
+            end = text.find("-----", i + 11)
+            kind = text[i + 11 : end]
+            if end > 0 and (kind.endswith("PRIVATE KEY") or kind.endswith("PRIVATE KEY BLOCK")) and all(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 " for c in kind):
+                close = min((x for x in (text.find("-----BEGIN ", end + 5), text.find("-----END ", end + 5)) if x >= 0), default=-1)
+                if close >= 0 and text.startswith(f"-----END {kind}-----", close):
+                    spans.append((i, close + len(f"-----END {kind}-----")))
+    for i in range(n):  # addresses
+        if text.startswith("://", i):
+            user = next((j for j in range(i + 3, n) if text[j] in "/:@" or blank(j)), n)
+            if user > i + 3 and text[user : user + 1] == ":":
+                end = next((j for j in range(user + 1, n) if text[j] in "/@" or blank(j)), n)
+                if end > user + 1 and text[end : end + 1] == "@":
+                    spans.append((user + 1, end))
+    names = ["password", "passwd", "passphrase", "pwd", "secret", "token", *(a + b + "key" for a in ("api", "access", "private") for b in ("_", "-", "")), "credentials", "credential", "bearer"]
+    i = 0
+    while i < n:  # values
+        name = next((x for x in names if low.startswith(x, i)), None)
+        j = i + len(name or "")
+        i += 1
+        if name is None:
+            continue
+        j += text[j : j + 1] in ("'", '"')
+        k = j
+        while blank(k) and k < j + 4:
+            k += 1
+        if text[k : k + 2] in ("=>", ":="):
+            k += 2
+        elif text[k : k + 1] in ("=", ":"):
+            k += 1
+        elif k == j:
+            continue
+        at = k
+        while blank(k) and k < at + 4:
+            k += 1
+        quote = text[k : k + 1]
+        if quote in ("'", '"') and quote:
+            close = next((x for x in range(k + 1, n) if text[x] in (quote, "\n")), n)
+            if close < n and text[close] == quote and close > k + 1:
+                spans.append((k + 1, close))
+                i = close + 1
+            continue
+        end = k
+        if text[k : k + 1] in ("=", ":", ">"):
+            continue
+        while end < n and not blank(end) and text[end] not in "\"',;":
+            end += 1
+        if end > k:
+            i = end
+            while end > k and text[end - 1] in ".,;:!?)]}-":
+                end -= 1
+            if end > k:
+                spans.append((k, end))
+    i = 0
+    while i < n:  # runs
+        j = i
+        while j < n and text[j].isascii() and (text[j].isalnum() or text[j] in "+/_=.~-"):
+            j += 1
+        if j - i >= least:
+            end = j
+            while end > i and text[end - 1] in ".-_~":
+                end -= 1
+            if end - i >= least:
+                spans.append((i, end))
+        i = max(j, i + 1)
+    kept = []
+    for a, b in sorted(spans, key=lambda x: x[0]):
+        if not kept or a >= kept[-1][1]:
+            kept.append((a, b))
+    return kept
+
+
+def test_secrets_candidates_follow_the_plain_rules():
+    r = random.Random(6)
+    block = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\nabc+/=\n-----END RSA PRIVATE KEY-----"
+    bits = [block, block[:60], "-----BEGIN PGP PRIVATE KEY BLOCK-----\nxx\n-----END PGP PRIVATE KEY BLOCK-----", "-----END RSA PRIVATE KEY-----", "-----BEGIN CERTIFICATE-----", "://user:pa$s@host/", "://user@", "://:x@", "password", "Api_Key", "secret_token", "privatekey", " = ", "=", ": ", "=>", " ", "\n", '"', "'", "hunter2!", "x", "é", ",", ".", "-", "abcdefghijklmnop", "0123456789abcdef", "==", "bearer "]
+    for _ in range(4000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(1, 14)))
+        assert secrets.candidates(text) == plain_candidates(text), repr(text)
+    found = lambda t: [t[a:b] for a, b in secrets.candidates(t)]
+    assert found('db password = "hunter2!" and postgres://app:s3cr3t!@db.host/x') == ["hunter2!", "s3cr3t!"] and found(f"so {block} end") == [block]
 
 
 def test_secrets_scan(spark, odd, empty):
@@ -77,11 +195,11 @@ def test_secrets_scan(spark, odd, empty):
     text = f'start token = "{key}" then sha256 {hashlib.sha256(b"x").hexdigest()} and areasonablylongwordhere.'
     docs = spark.createDataFrame([(1, text, "en", "src1", 1), (2, None, "en", None, 0)], DOCS)
     found = {r["start"]: r for r in secrets.secret_scan(docs).collect()}
-    assert set(found) == {a for a, _ in secrets.candidates(text)} and len(found) == 3
+    assert set(found) == {a for a, _ in plain_candidates(text)} and len(found) == 3
     hit = found[text.index(key)]
     assert hit["is_secret"] == 1 and hit["sha256"] == hashlib.sha256(key.encode()).hexdigest()
     assert sum(r["is_secret"] for r in found.values()) == 1
-    want = [(r["doc_id"], a, b) for r in odd.collect() for a, b in secrets.candidates(r["text"] or "")]
+    want = [(r["doc_id"], a, b) for r in odd.collect() for a, b in plain_candidates(r["text"] or "")]
     got = secrets.secret_scan(clashing(odd)).select("doc_id", "start", "stop").collect()
     assert Counter(map(tuple, got)) == Counter(want) and secrets.secret_scan(empty).count() == 0
 
