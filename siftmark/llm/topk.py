@@ -9,10 +9,13 @@ bits that the index leaves out move a score by a known bound, so rows within it
 are the boundary, and these alone are scored exactly.  The best k of each block
 merge into the best k of all.
 
+Queries travel in chunks of some megabytes, so the index moves once for thousands of them.
+
 Defined results: vectors that are null or hold a null or non-finite component, and rows
 without an id, take no part; of rows with one id the vector that sorts first counts; vectors
 of fewer dimensions end in zeros; ties go to the smaller id; fewer candidates than k give all
-of them; an empty table gives no rows.
+of them; scaled components and scores beyond 64 bits count as the largest or smallest long
+(blocks that hold such are scored row by row); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Rows of a block, about; queries that meet a block together, about.
-BLOCK_ROWS, QUERY_CHUNK = 12_288, 128
+#: Rows of a block, about; bytes of the queries that meet a block together, about.
+BLOCK_ROWS, CHUNK_BYTES = 12_288, 8 << 20
 #: Low bits that slices leave to the exact step.
 LOW_BITS = 4
+#: Spread of values up to which a block is sliced.
+MOST_SPREAD = 1 << 40
+#: A block's ids, quantised rows (values of ``width`` bytes), least high part and bits of every attribute, and the slices.
+INDEX = "block long, ids binary, width int, rows binary, low binary, bits binary, planes binary"
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -42,24 +49,22 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) ->
     return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
 
-def _slices(high: np.ndarray, low_bits: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Bitmaps of all attributes' bits, and (first bitmap, bits) of each attribute."""
-    planes, where = [], []
+def _slices(high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of all attributes' bits, and the bits of each attribute."""
+    planes, wide = [], []
     for d in range(high.shape[1]):
         column = high[:, d]
         bits = int(column.max()).bit_length()
-        where.append((len(planes), bits))
+        wide.append(bits)
         for b in range(bits):
             planes.append(np.packbits((column >> b & 1).astype(np.uint8), bitorder="little"))
-    return (np.stack(planes) if planes else np.empty((0, len(high) // 8), np.uint8)), where
+    return (np.stack(planes) if planes else np.empty((0, len(high) // 8), np.uint8)), np.array(wide, np.int64)
 
 
 def build_index(rows: DataFrame, blocks: int, low_bits: int = LOW_BITS) -> DataFrame:
-    """``block, body``: per block the ids, the quantised rows and the bit slices, as one binary."""
+    """A row a block: its ids, quantised rows and bit slices, each the bytes of one array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
         ids, held = [], []
         for batch in batches:  # a partition is a block: ids are distinct, so hashing deals evenly
             ids += batch.column("id").to_pylist()
@@ -70,15 +75,19 @@ def build_index(rows: DataFrame, blocks: int, low_bits: int = LOW_BITS) -> DataF
         full = np.zeros((len(held), wide), np.int64)
         for k, v in enumerate(held):
             full[k, : len(v)] = v
-        low = full.min(0) >> low_bits
-        high = np.zeros((-(-len(held) // 64) * 64, wide), np.int64)
-        high[: len(held)] = (full >> low_bits) - low
-        planes, where = _slices(high, low_bits)
-        small = np.int16 if np.abs(full).max(initial=0) < 1 << 15 else np.int64
-        body = pickle.dumps((np.array(ids, np.int64), full.astype(small), low, planes, where), protocol=5)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([body], pa.binary())], names=["block", "body"])
+        least, most = int(full.min(initial=0)), int(full.max(initial=0))
+        low, bits, planes = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
+        if most - least < MOST_SPREAD:
+            low = full.min(0) >> low_bits
+            high = np.zeros((-(-len(held) // 64) * 64, wide), np.int64)
+            high[: len(held)] = (full >> low_bits) - low
+            planes, bits = _slices(high)
+        small = full.astype(np.int16) if -(1 << 15) <= least and most < 1 << 15 else full
+        row = [TaskContext.get().partitionId(), np.array(ids, np.int64).tobytes(), small.itemsize, small.tobytes(), low.tobytes(), bits.tobytes(), planes.tobytes()]
+        kinds = (pa.int64(), pa.binary(), pa.int32(), *[pa.binary()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["block", "ids", "width", "rows", "low", "bits", "planes"])
 
-    return rows.repartition(blocks, "id").sortWithinPartitions("id").select("id", "v").mapInArrow(run, "block long, body binary")
+    return rows.repartition(blocks, "id").sortWithinPartitions("id").select("id", "v").mapInArrow(run, INDEX)
 
 
 def _digits(weight: int) -> list[tuple[int, int]]:
@@ -157,15 +166,23 @@ def at_least(slices: list[np.ndarray], rows: np.ndarray, value: int) -> np.ndarr
     return more | tied
 
 
-def search_block(body: bytes, query_ids, queries: list[np.ndarray], k: int, low_bits: int = LOW_BITS):
-    """(query, row ids, scores) of the best k rows of one block for each query."""
-    import pickle
+def clipped_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products; one beyond 64 bits is the largest or smallest long."""
+    if np.abs(rows.astype(float)).max(initial=0) * np.abs(query.astype(float)).sum() < 2.0**62:
+        return rows @ query
+    full = [sum(a * b for a, b in zip(r, query.tolist(), strict=True)) for r in rows.tolist()]
+    return np.array([max(-(1 << 63), min((1 << 63) - 1, x)) for x in full], np.int64)
+
 
-    ids, full, low, planes, where = pickle.loads(body)  # noqa: S301  made by build_index
+def search_block(block: dict, query_ids, queries: list[np.ndarray], k: int, low_bits: int = LOW_BITS):
+    """(query, row ids, scores) of the best k rows of one block of the index for each query."""
+    ids = np.frombuffer(block["ids"], np.int64)
     words = -(-len(ids) // 64)
-    planes = planes.view(np.uint64) if planes.size else planes.reshape(0, words).astype(np.uint64)
+    exact = np.frombuffer(block["rows"], np.int16 if block["width"] == 2 else np.int64).reshape(len(ids), -1).astype(np.int64)
+    bits = np.frombuffer(block["bits"], np.int64)
+    first = np.concatenate(([0], np.cumsum(bits)))[:-1]
+    planes = np.frombuffer(block["planes"], np.uint64).reshape(-1, words)
     everyone = np.packbits(np.arange(words * 64) < len(ids), bitorder="little").view(np.uint64)
-    exact = full.astype(np.int64)
     spot = {int(i): r for r, i in enumerate(ids)}
     for query_id, query in zip(query_ids, queries, strict=True):
         q = np.zeros(exact.shape[1], np.int64)
@@ -177,24 +194,24 @@ def search_block(body: bytes, query_ids, queries: list[np.ndarray], k: int, low_
         left = int(np.bitwise_count(rows).sum())
         if not left:
             continue
-        adder = Adder(words)
-        for d in np.flatnonzero(q):
-            first, bits = where[d]
-            for shift, sign in _digits(int(q[d])):
-                for b in range(bits):
-                    plane = planes[first + b]
-                    # a complement adds 1 - bit: the constant it adds is the same for every row
-                    adder.add(shift + b, plane if sign > 0 else ~plane)
-        slices = adder.total()
-        # what the low bits may add: from slack_low to slack_high
-        spread = (1 << low_bits) - 1
-        slack = int(np.abs(q).sum()) * spread
-        kth = kth_largest(slices, rows, min(k, left))
-        need = kth - -(-slack // (1 << low_bits))
-        near = at_least(slices, rows, need)
+        near = rows
+        if len(bits) == len(q) and np.abs(q.astype(float)).sum() < MOST_SPREAD:
+            adder = Adder(words)
+            for d in np.flatnonzero(q):
+                for shift, sign in _digits(int(q[d])):
+                    for b in range(bits[d]):
+                        plane = planes[first[d] + b]
+                        # a complement adds 1 - bit: the constant it adds is the same for every row
+                        adder.add(shift + b, plane if sign > 0 else ~plane)
+            slices = adder.total()
+            # what the low bits may add: from slack_low to slack_high
+            spread = (1 << low_bits) - 1
+            slack = int(np.abs(q).sum()) * spread
+            kth = kth_largest(slices, rows, min(k, left))
+            near = at_least(slices, rows, kth - -(-slack // (1 << low_bits)))
         found = np.flatnonzero(np.unpackbits(near.view(np.uint8), bitorder="little"))
-        scores = exact[found] @ q
-        best = np.lexsort((ids[found], -scores))[:k]
+        scores = clipped_scores(exact[found], q)
+        best = np.lexsort((ids[found], -scores.astype(object) if (scores == -(1 << 63)).any() else -scores))[:k]
         yield query_id, ids[found[best]], scores[best]
 
 
@@ -205,8 +222,11 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, id_
     n = rows.count()
     blocks = max(1, -(-n // (BLOCK_ROWS * 3 // 4)))
     index = stored(build_index(rows, blocks), "index")
-    chunks = max(1, -(-asked.count() // QUERY_CHUNK))
-    # a stated query set meets every block once, in chunks: memory holds one block and one chunk
+    asked_n, wide = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    # a stated query set meets every block once, in chunks: memory holds one block and one chunk.  Few blocks
+    # are searched by as many chunks as there are cores; many move once for each CHUNK_BYTES of queries.
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, -(-asked_n * 8 * (wide or 1) // CHUNK_BYTES), min(-(-2 * cores // blocks), asked_n))
     sent = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
     bodies = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>")))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -215,7 +235,7 @@ def top_k(vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, id_
         found = []
         if asked_here.num_rows and block.num_rows:
             values = [np.asarray(v.values, np.int64) for v in asked_here.column("v")]
-            for q, ids, scores in search_block(block.column("body")[0].as_buffer(), asked_here.column("id").to_pylist(), values, k):
+            for q, ids, scores in search_block(block.to_pylist()[0], asked_here.column("id").to_pylist(), values, k):
                 found.append(pa.table([pa.array(np.full(len(ids), q, np.int64)), pa.array(ids), pa.array(scores)], schema=schema))
         return pa.concat_tables(found) if found else schema.empty_table()
 

@@ -401,6 +401,20 @@ def test_top_k(spark):
     assert topk.top_k(table, asked).count() == 10
 
 
+def test_top_k_of_huge_components(spark, monkeypatch):
+    """Scaled values and scores beyond 64 bits are the largest or smallest long; chunks of a few queries agree."""
+    monkeypatch.setattr(topk, "CHUNK_BYTES", 40)
+    vectors = [(0, [1e300, 1.0]), (100, [-1e300, 2.0]), (200, [3.0, 4.0]), (7, [1e15, -1e15]), (8, [-1e300, -1e300]), (9, [0.0, 0.0])]
+    clip = lambda x: max(-(2**63), min(2**63 - 1, x))
+    q = {i: [clip(int(1024 * np.float64(x))) for x in v] for i, v in vectors}
+    want = []
+    for i in (0, 100, 200):
+        score = sorted((-clip(sum(a * b for a, b in zip(q[i], w))), j) for j, w in q.items() if j != i)
+        want += [(i, rank, j, -s) for rank, (s, j) in enumerate(score[:3], 1)]
+    got = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), k=3)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_bit_slices_add_like_numbers():
     r = np.random.default_rng(1)
     x, w = r.integers(0, 50, (128, 6)), r.integers(-40, 40, 6)
