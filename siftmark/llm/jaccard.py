@@ -11,7 +11,9 @@ A piece travels as one 64-bit fingerprint of its parities.
 2. Classes meet by piece fingerprint.  In each of a few rounds every bucket draws one of its
    classes and compares the others with that one only, so g classes give g - 1 candidates:
    first the Hamming distance of their sketches, then their whole sets.  Linked classes
-   become components, and buckets that lie within one component are done.
+   become components, and buckets that lie within one component are done.  Fingerprints
+   that very many classes hold are told by a sample and dealt to salts: each salt
+   draws a class, and one of those is drawn for all.
 3. Buckets whose classes still lie in several components have all their cross-component
    pairs compared, sketches in blocks first.  No pair within the threshold escapes: it
    shares a bucket, and is tested unless already linked through others.
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, lookup, stored, worker_cache
+from .common import HOT_PARTS, components, discard, lookup, stored, worker_cache
 
 CACHE_WORDS = 100_000
 #: Classes whose pieces a task remembers as sent; forgetting only costs repeats.
@@ -45,7 +47,14 @@ LEAST_BITS = 512
 SMALL_BUCKET = 8
 #: Buckets that a class lists, the smallest keys of its large ones, so that a pair is named by few of those it shares.
 FIRST_KEYS = 12
-BLOCK = 2048
+#: Bytes of sketches that are compared as one block, about.
+BLOCK_BYTES = 1 << 20
+#: One text in SAMPLE tells which fingerprints are hot: SAMPLED classes of it at least, or a 2048th of all its pieces.
+SAMPLE, SAMPLED = 64, 256
+#: Classes of a hot fingerprint that a salt holds, about.
+SALT_CLASSES = 8192
+#: Rows of one id and text from which on they may count as many.
+HOT_COPIES = 64
 #: Ids and sizes of classes are broadcast up to this many (some 10 MB), else joined by a shuffle.
 BROADCAST_CLASSES = 300_000
 #: Rounds at most in which a bucket draws a class before all that is left is compared, and orders of the first.
@@ -180,8 +189,18 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, text_id long, n long, class long")
 
 
-def _keys(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """``key, class``: the pieces of each class, sent once a task."""
+def _keys(docs: DataFrame, words: int, bands: Bands, hot: dict[int, int]) -> DataFrame:
+    """``key, salt, class``: the pieces of each class, sent once a task; the salt is -1 but for the keys in ``hot``, which have that many."""
+    hot_keys = np.array(sorted(hot), np.int64)
+    salts = np.array([hot[k] for k in sorted(hot)], np.int64)
+
+    def salted(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        keys, salt = keys.view(np.int64), np.full(len(keys), -1, np.int64)
+        if len(hot_keys):
+            at = np.minimum(np.searchsorted(hot_keys, keys), len(hot_keys) - 1)
+            found = np.flatnonzero(hot_keys[at] == keys)
+            salt[found] = (mix(ids[found].view(U64)) % salts[at[found]].astype(U64)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(salt), pa.array(ids)], names=["key", "salt", "class"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sent = Shingler(words), set()
@@ -200,12 +219,23 @@ def _keys(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
                 ids.append(np.full(len(found), ident, np.int64))
                 held += len(found)
                 if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "class"])
+                    yield salted(np.concatenate(keys), np.concatenate(ids))
                     keys, ids, held = [], [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "class"])
+                yield salted(np.concatenate(keys), np.concatenate(ids))
+
+    return docs.select("text").mapInArrow(run, "key long, salt long, class long")
 
-    return docs.select("text").mapInArrow(run, "key long, class long")
+
+def _hot_keys(docs: DataFrame, words: int, bands: Bands) -> dict[int, int]:
+    """Fingerprints that very many classes hold, with the salts they are dealt to; it matters to speed alone.
+
+    At most 2048 reach their share of all pieces of the sample, so the driver holds no more.
+    """
+    sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    counts = stored(_keys(sample, words, bands, {}).distinct().groupBy("key").count(), "sampled")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return {r["key"]: max(2, -(-r["count"] * SAMPLE // SALT_CLASSES)) for r in counts.filter(F.col("count") >= max(SAMPLED, -(-total // 2048))).collect()}
 
 
 def _token_table(docs: DataFrame, wanted: DataFrame, words: int, count: int) -> DataFrame:
@@ -392,10 +422,13 @@ def _linked(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame,
     # buckets of two classes or more, with a class drawn for each
     # a few orders of the classes at first: most groups fall into one component by few comparisons
     draw = F.xxhash64("class", F.pmod("key", F.lit(FIRST_ORDERS)))
-    by = Window.partitionBy("key").orderBy("draw", "class")
-    keys = _keys(docs, words, bands).repartition("key").withColumn("draw", draw)
-    met = keys.select("key", "class", F.first("class").over(by).alias("first"), F.lag("class").over(by).alias("before"))
-    buckets = stored(met.filter("class <> first and class <> before").select("key", "first", "class"), "buckets")
+    by = Window.partitionBy("key", "salt").orderBy("draw", "class")
+    keys = _keys(docs, words, bands, _hot_keys(docs, words, bands)).repartition("key", "salt").withColumn("draw", draw)
+    met = keys.select("key", "salt", "class", F.first("class").over(by).alias("first"), F.lag("class").over(by).alias("before"))
+    met = stored(met.filter("class <> first and class <> before or salt >= 0 and before is null").select("key", "first", "class"), "met")
+    # a salt's own class was kept: it meets the one drawn among all salts
+    heads = met.filter("class = first").select("key", "class").withColumn("first", F.first("class").over(Window.partitionBy("key").orderBy(draw, "class")))
+    buckets = met.filter("class <> first").unionByName(heads.filter("class <> first"))
     seen = buckets.select("class").union(buckets.select("first")).distinct()
     wanted = stored(seen.join(classes, "class").select(F.col("rep").alias("doc_id"), F.col("rep_text").alias("text_id"), "class", "n"), "wanted")
     count = wanted.count()
@@ -411,31 +444,34 @@ def _linked(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame,
 
     links = linked_by(buckets.select(F.col("first").alias("a"), F.col("class").alias("b")), "links0")
     comp = components(vertices, links)
-    members = buckets.select("key", "class").union(buckets.select("key", F.col("first").alias("class")))
+    members = buckets.select("key", "class").union(buckets.select("key", F.col("first").alias("class"))).distinct()
     rest = None
     for turn in range(1, ROUNDS + 1):
-        # what is left: buckets that hold several components; one exchange by key serves all steps
-        held = members.select("key", "class").repartition("key").dropDuplicates(["key", "class"])
+        # what is left: buckets that hold several components; a bucket's draw is an aggregate, so no task holds it whole
         labels = comp.toDF("class", "comp")
-        held = held.join(F.broadcast(labels), "class") if few else held.join(labels, "class")
-        whole = Window.partitionBy("key")
-        held = held.select("key", "class", "comp", F.min("comp").over(whole).alias("low"), F.max("comp").over(whole).alias("high"), F.count("*").over(whole).alias("g"))
-        members = stored(held.filter("low <> high").select("key", "class", "comp", "g"), "members")
+        held = members.select("key", "class").join(F.broadcast(labels) if few else labels, "class")
+        drawn = held.groupBy("key").agg(
+            F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("g"),
+            F.min(F.struct(F.xxhash64("class", "key", F.lit(turn)).alias("draw"), "class", "comp")).alias("first"),
+        )
+        drawn = stored(drawn.filter("low <> high").select("key", "g", F.col("first.class").alias("first"), F.col("first.comp").alias("first_comp")), "drawn")
+        last, members = members, stored(held.join(drawn, "key").select("key", "class", "comp", "g", "first", "first_comp"), "members")
+        discard(last)
         rest, before = members.select("comp").distinct().count(), rest
         if turn == ROUNDS or not rest or before is not None and rest > 0.98 * before:
             break  # more draws would hardly join more
-        again = Window.partitionBy("key").orderBy(F.xxhash64("class", "key", F.lit(turn)), "class")
-        drawn = members.select("key", "class", "comp", F.first(F.struct("class", "comp")).over(again).alias("first"))
-        pairs = drawn.filter("comp <> first.comp").select(F.col("first.class").alias("a"), F.col("class").alias("b"))
+        pairs = members.filter("comp <> first_comp").select(F.col("first").alias("a"), F.col("class").alias("b"))
         links = links.union(linked_by(pairs, f"links{turn}"))
         comp = components(vertices, links)
 
     # small buckets name their pairs, which then meet the sketches; large ones bring the sketches along
-    rows = members.withColumn("k", F.ceil(F.col("g") / BLOCK).cast("int")).withColumn("block", F.pmod(F.hash("class"), F.col("k")))
-    known = tokens.select("class", "n", "sketch").dropDuplicates(["class"])
-    tiny = rows.filter(F.col("g") <= SMALL_BUCKET).select("key", "class", "comp").repartition("key").sortWithinPartitions("key", "class")
+    tiny = members.filter(F.col("g") <= SMALL_BUCKET).select("key", "class", "comp").repartition("key").sortWithinPartitions("key", "class")
     named_pairs = _near(_pairs_in_runs(tiny), sizes, tokens, bands, few)
-    rows = rows.filter(F.col("g") > SMALL_BUCKET)
+    known = tokens.select("class", "n", "sketch").dropDuplicates(["class"])
+    rows = members.filter(F.col("g") > SMALL_BUCKET).select("key", "class", "comp")
+    weight = rows.join(F.broadcast(sizes) if few else sizes, "class").groupBy("key").agg(F.sum(F.greatest(F.lit(64), F.col("n") / 2)).alias("bytes"))
+    weight = stored(weight.select("key", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("k")), "weights")
+    rows = rows.join(weight, "key").withColumn("block", F.pmod(F.hash("class"), F.col("k")))
     firsts = rows.groupBy("class").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts"))
     known = known.join(firsts, "class")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -446,7 +482,7 @@ def _linked(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame,
     late = stored(_verified(more, tokens, bands), "late")
     if late.limit(1).count():
         comp = components(vertices, links.union(late))
-    for table in (buckets, tokens, members, more):
+    for table in (met, tokens, members, more):
         discard(table)
 
     named = classes.join(comp.withColumnRenamed("id", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
@@ -474,15 +510,19 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int
     firsts = sets.filter("n > 0").groupBy("class").agg(F.min(place).alias("place"))
     firsts = firsts.join(table.select("class", "comp"), "class").groupBy("comp").agg(F.min("place").alias("place"))
     blank = sets.filter("n = 0 and doc_id is not null").groupBy("doc_id").agg(F.min("text_id").alias("text_id"))
-    keep = stored(firsts.select("place.doc_id", "place.text_id").unionByName(blank), "keep")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_text"))  # names of docs can't clash
-    # rows that repeat share doc_id and text
-    first = F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.xxhash64(F.col("row")["text"])))
-    known = keep.filter("doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_id").alias("_text"))
-    kept = rows.join(known, ["_id", "_text"], "left_semi").withColumn("at", first).filter("at = 1").select("row.*")
-    # null ids are told apart by their texts
-    nameless = rows.filter("_id is null")
-    known = keep.filter("doc_id is null").select(F.col("text_id").alias("_text"))
-    one = nameless.join(known, "_text", "left_semi").withColumn("at", F.row_number().over(Window.partitionBy("_text").orderBy("_id"))).filter("at = 1").select("row.*")
+    key = [F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("_id")]
+    by = ["_none", "_id", "_text"]
+    keep = stored(firsts.select("place.doc_id", "place.text_id").unionByName(blank).select(*key, F.col("text_id").alias("_text")), "keep")
+    # rows that repeat id and text are one; those of very many rows are told apart, 2048 of them at most
+    least = max(HOT_COPIES, sets.count() // HOT_PARTS)
+    hot = stored(sets.groupBy(*key, F.col("text_id").alias("_text")).count().filter(F.col("count") >= least).drop("count"), "hot")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key, F.xxhash64("text").alias("_text"))  # names of docs can't clash
+    same = F.xxhash64("row")
+    some = hot.limit(1).count()
+    cold = rows.join(F.broadcast(hot), by, "left_anti") if some else rows
+    out = cold.join(keep, by, "left_semi").withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(same))).filter("at = 1").select("row.*")
+    if some:  # a row of each task, then one of all
+        known = F.broadcast(hot.join(keep, by, "left_semi"))
+        out = out.unionByName(rows.join(known, by, "left_semi").groupBy(*by).agg(F.min_by("row", same).alias("row")).select("row.*"))
     known = stored(sets.filter("n = 0 and doc_id is null").select(F.col("text_id").alias("_text")).distinct(), "blank")
-    return kept.unionByName(one).unionByName(nameless.join(known, "_text", "left_semi").select("row.*"))
+    return out.unionByName(rows.filter("_none").join(known, "_text", "left_semi").select("row.*"))

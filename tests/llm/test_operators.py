@@ -720,9 +720,15 @@ def test_jaccard(spark, odd, k, num, den):
     assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == plain_components(rows, k, num, den)
 
 
-def test_jaccard_dense_group(spark, monkeypatch):
+@pytest.mark.parametrize("salted", [False, True])
+def test_jaccard_dense_group(spark, monkeypatch, salted):
     """Many copies round the threshold: the draws, the rounds and the blocks all have work."""
-    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4096)
+    if salted:  # every fingerprint of more than a few classes is dealt to salts
+        for name, value in (("SAMPLE", 2), ("SAMPLED", 3), ("SALT_CLASSES", 20)):
+            monkeypatch.setattr(jaccard, name, value)
+        bands, docs = jaccard.Bands(85, 100), spark.createDataFrame([(" ".join(f"w{j}" for j in range(60)) + f" {i}",) for i in range(300)], "text string")
+        assert max(jaccard._hot_keys(docs, 4, bands).values()) > 10
     r = random.Random(1)
     base = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
     rows = []
@@ -788,6 +794,14 @@ def test_null_and_repeated_ids_link_like_others(spark):
     assert Counter(map(tuple, kept)) == Counter([(1, text(a)), (3, text(clean)), (4, text(other[1:])), (5, ""), (None, ""), (None, ""), (None, text(alone))])
 
 
+def test_near_duplicates_of_rows_that_repeat_very_often(spark):
+    """A third of all rows is one id and text, another third a null id and one text: one row of each stays."""
+    rows = [(7, f"one text that repeats {'x ' * 5}", "en", "a", k % 4) for k in range(150)] + [(None, f"another that has no id {'y ' * 5}", "en", "b", k % 4) for k in range(150)]
+    rows += [(k, f"own words {k} {k + 1} {k + 2} {k + 3} {k + 4}", "en", "c", 1) for k in range(100, 200)] + [(150, f"own words {150} {151} {152} {153} {154}", "en", "d", 2)]
+    kept = jaccard.drop_near_duplicates(clashing(spark.createDataFrame(rows, DOCS).repartition(5))).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter({(i, t) for i, t, *_ in rows})
+
+
 # 10 ---------------------------------------------------------------------------------------------
 def toxic_rows(n, seed):
     r = random.Random(seed)
