@@ -25,7 +25,10 @@ def worker_cache(name: str, make):
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB instead of the default 64 MB: texts are long, and workers several."""
+    """Arrow batches of 8 MB instead of the default 64 MB, for the session: texts are long, and workers several.
+
+    Plans are lazy, so the setting must outlive the call; one that the caller chose stays.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, "67108864b") in ("67108864", "67108864b"):
         spark.conf.set(key, "8388608b")
@@ -95,15 +98,13 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     Minimum labels travel along edges and by pointer jumping until nothing moves;
     each round is written to the shared folder and its lineage cut.
     """
-    # a file holds 50,000 labels or so: small graphs are a few files a round, whatever the shuffle's partitions
+    # joins run at the shuffle's width; what they give is dealt to files of 50,000 labels or so, as each round writes and reads them
     files = max(1, vertices.count() // 50_000)
-    both = stored(
-        edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct().coalesce(4 * files), "edges"
-    )
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct().repartition(4 * files), "edges")
     labels = stored(
         vertices.select("id").join(
             both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")), "id", "left"
-        ).select("id", F.least("id", F.coalesce("near", "id")).alias("comp")).coalesce(files),
+        ).select("id", F.least("id", F.coalesce("near", "id")).alias("comp")).repartition(files),
         "labels",
     )
     while True:
@@ -120,7 +121,7 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         moved = stored(
             hooked.join(up, "comp", "left").select(
                 "id", "was", F.least("comp", F.coalesce("up", "comp")).alias("comp")
-            ).coalesce(files),
+            ).repartition(files),
             "labels",
         )
         changed = moved.filter("comp <> was").limit(1).count()

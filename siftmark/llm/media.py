@@ -2,15 +2,16 @@
 
 ``encode_media`` stores bytes as AVI clips whose frames are baseline JPEG images: each
 byte is one 8x8 block of constant brightness, held by its DC coefficient alone, so
-the entropy coding keeps it exactly.  ``read_media`` parses the RIFF index, decodes the
+the entropy coding keeps it exactly.  ``read_avi`` parses the RIFF index, decodes the
 intra frames and gives the bytes back; ``media_clips`` finds shots by histogram
 differences against an adaptive threshold and yields timed clip rows.  Foreign
-baseline motion-JPEG (AC coefficients, several components, restart intervals) decodes
-by the general path.
+baseline motion-JPEG (AC coefficients, several components, restart intervals, frames
+that leave the usual Huffman tables out) decodes by the general path.
 
 Defined results: null text is an empty payload (64 zero bytes once padded); a null
-doc_id is kept; equal texts give equal media; an empty table gives no rows; media that
-are no AVI or hold a broken frame raise in ``read_media``.
+doc_id is kept; equal texts give equal media; an empty table gives no rows.  Media that
+are no AVI or hold a broken frame raise in ``read_avi``; in ``media_clips`` each such is a
+row with the error and no clip, and null media give no row.
 """
 
 from __future__ import annotations
@@ -203,11 +204,32 @@ def zigzag() -> list[int]:
     return [8 * y + x for _, _, y, x in cells]
 
 
+def _usual(counts: tuple[int, ...], first: tuple[int, ...]) -> tuple[bytes, bytes]:
+    """A table of AC codes: the first symbols as listed, then all others, by run and size."""
+    every = [0x00, 0xF0, *(16 * run + size for run in range(16) for size in range(1, 11))]
+    return bytes(counts), bytes([*first, *sorted(set(every) - set(first))])
+
+
+# The usual Huffman tables, which motion-JPEG frames may leave out (by class and number; codes by length, symbols).
+USUAL_TABLES = {
+    0x00: (bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0]), bytes(range(12))),
+    0x01: (bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0]), bytes(range(12))),
+    0x10: _usual(
+        (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125),
+        (0x01, 0x02, 0x03, 0x00, 0x04, 0x11, 0x05, 0x12, 0x21, 0x31, 0x41, 0x06, 0x13, 0x51, 0x61, 0x07, 0x22, 0x71, 0x14, 0x32, 0x81, 0x91, 0xA1, 0x08, 0x23, 0x42, 0xB1, 0xC1, 0x15, 0x52, 0xD1, 0xF0, 0x24, 0x33, 0x62, 0x72, 0x82),
+    ),
+    0x11: _usual(
+        (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119),
+        (0x00, 0x01, 0x02, 0x03, 0x11, 0x04, 0x05, 0x21, 0x31, 0x06, 0x12, 0x41, 0x51, 0x07, 0x61, 0x71, 0x13, 0x22, 0x32, 0x81, 0x08, 0x14, 0x42, 0x91, 0xA1, 0xB1, 0xC1, 0x09, 0x23, 0x33, 0x52, 0xF0, 0x15, 0x62, 0x72, 0xD1, 0x0A, 0x16, 0x24, 0x34, 0xE1, 0x25, 0xF1),
+    ),
+}
+
+
 def decode_frame(jpeg: bytes) -> tuple[np.ndarray, np.ndarray | None]:
     """Brightness of each 8x8 block of the first component, and its pixels where AC coefficients exist."""
     if jpeg[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
-    at, quant, huff, raw, restart = 2, {}, {}, {}, 0
+    at, quant, huff, restart = 2, {}, {}, 0
     while True:
         marker, size = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
         body = jpeg[at + 4 : at + 2 + size]
@@ -223,8 +245,7 @@ def decode_frame(jpeg: bytes) -> tuple[np.ndarray, np.ndarray | None]:
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
-                raw[body[0]] = (body[1:17], body[17 : 17 + n])
-                huff[body[0]] = _codes(*raw[body[0]])
+                huff[body[0]] = _codes(body[1:17], body[17 : 17 + n])
                 body = body[17 + n :]
         elif marker == 0xDD:
             restart = struct.unpack(">H", body)[0]
@@ -233,6 +254,9 @@ def decode_frame(jpeg: bytes) -> tuple[np.ndarray, np.ndarray | None]:
             break
         elif marker in (0xC2, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xD0)):
             raise ValueError("only baseline JPEG is decoded")
+    for number, table in USUAL_TABLES.items():
+        if number not in huff and any(number & 15 == (t & 15 if number >> 4 else t >> 4) for t in tables.values()):
+            huff[number] = _codes(*table)
     data = jpeg[at : jpeg.rindex(b"\xff\xd9")]
     high, across = -(-height // 8), -(-width // 8)
     even = {s: n for (n, _), s in huff.get(0x00, {}).items()}
@@ -360,16 +384,21 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 
 def media_clips(media: DataFrame) -> DataFrame:
-    """A row for each shot of ``media(doc_id, media)``: clip number, start and end in seconds, frames, brightness."""
+    """A row for each shot of ``media(doc_id, media)``: clip number, start and end in seconds, frames, brightness; or the ``error`` of broken media."""
 
     def each(doc, cell):
-        if cell.is_valid:
+        if not cell.is_valid:
+            return
+        try:
             _, clip, frames = read_avi(cell.as_buffer().to_pybytes())
-            for k, (a, b, light) in enumerate(shots(frames)):
-                yield {"doc_id": doc, "clip": k, "start_s": a / clip.fps, "end_s": b / clip.fps, "frames": b - a, "brightness": light}, 60
-
-    schema = pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("brightness", pa.float64())])
-    return _run(media.select("doc_id", "media"), "doc_id long, clip int, start_s double, end_s double, frames int, brightness double", schema, each)
+            found = [{"doc_id": doc, "clip": k, "start_s": a / clip.fps, "end_s": b / clip.fps, "frames": b - a, "brightness": light} for k, (a, b, light) in enumerate(shots(frames))]
+        except Exception as e:  # noqa: BLE001  broken media break in many ways; each is its own row's error
+            found = [{"doc_id": doc, "error": f"{type(e).__name__}: {e}"}]
+        for row in found:
+            yield row, 60
+
+    schema = pa.schema([("doc_id", pa.int64()), ("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("brightness", pa.float64()), ("error", pa.string())])
+    return _run(media.select("doc_id", "media"), "doc_id long, clip int, start_s double, end_s double, frames int, brightness double, error string", schema, each)
 
 
 def media_digest(media: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 ``write_archives`` turns page rows into rolled ``.warc.gz`` files, one gzip member
 a record, in a folder all executors share.  ``read_archives`` walks the files in
 order: incremental zlib decompression finds each member's end, content-length
-framing finds the block, and both SHA-1 digests are verified.
+framing finds the block, and both SHA-1 digests are verified (``verified``; a revisit's
+payload is not there, so its block digest alone is).  Payloads are equal where
+their SHA-256 is.
 
 Defined results: null html is an empty payload; null url is written as an empty
 target; rows that share the largest page_id of a payload are all responses; a null
@@ -121,14 +123,15 @@ def decode_record(raw: bytes) -> dict:
         "record_type": kind,
         "refers_to": _page(refers) if refers else None,
         "payload": payload if kind == "response" else None,
-        "verified": True,
+        "verified": kind == "response",
     }
 
 
 def _with_references(pages: DataFrame, min_bytes: int) -> DataFrame:
     """Add ``_keeper``: the page_id whose record holds the payload, null where it stands alone."""
     pages = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("_body"))
-    pages = pages.withColumn("_sha", F.sha1("_body"))
+    # the archives' digests are SHA-1, but which payloads are equal is not left to it
+    pages = pages.withColumn("_sha", F.sha2("_body", 256))
     shared = (
         pages.filter(F.octet_length("_body") >= min_bytes)
         .groupBy("_sha")

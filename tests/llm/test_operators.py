@@ -344,7 +344,7 @@ def test_warc(spark):
         again = p is not None and p != k
         want[p, len(body(h)), base64.b32encode(hashlib.sha1(body(h)).digest()).decode(), "revisit" if again else "response", k if again else None] += 1
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
-    assert all(r["verified"] for r in got) and {r["payload"] for r in got if r["payload"] is not None} == {body(h) for _, _, h in rows}
+    assert all(r["verified"] == (r["record_type"] == "response") for r in got) and {r["payload"] for r in got if r["payload"] is not None} == {body(h) for _, _, h in rows}
     alone = warc.warc_round_trip(pages, min_bytes=100).collect()
     assert all(r["record_type"] == "response" for r in alone)
     assert warc.warc_round_trip(pages.limit(0)).count() == 0
@@ -485,6 +485,102 @@ def test_general_jpeg_path_agrees():
     assert media.zigzag()[:6] == [0, 1, 8, 16, 9, 2] and sorted(media.zigzag()) == list(range(64))
 
 
+class JpegWriter:
+    """A baseline JPEG of given quantised coefficients: several components, AC codes, restarts; Huffman tables as usual, or left out."""
+
+    def __init__(self, width, height, sampling, quant, restart, tables):
+        self.size, self.sampling, self.quant, self.restart, self.tables = (width, height), sampling, quant, restart, tables
+        self.codes = {}
+        for number, (counts, symbols) in media.USUAL_TABLES.items():
+            code, k, mine = 0, 0, {}
+            for n in range(16):
+                for _ in range(counts[n]):
+                    mine[symbols[k]] = format(code, f"0{n + 1}b")
+                    code, k = code + 1, k + 1
+                code *= 2
+            self.codes[number] = mine
+
+    @staticmethod
+    def number(x):
+        n = abs(x).bit_length()
+        return n, "" if not n else format(x if x > 0 else x + (1 << n) - 1, f"0{n}b")
+
+    def block(self, c, before, table):
+        n, bits = self.number(c[0] - before)
+        out, run = self.codes[table][n] + bits, 0
+        last = max((k for k in range(64) if c[k]), default=0)
+        for k in range(1, last + 1):
+            if not c[k]:
+                run += 1
+                continue
+            while run > 15:
+                out, run = out + self.codes[0x10 | table][0xF0], run - 16
+            n, bits = self.number(c[k])
+            out, run = out + self.codes[0x10 | table][16 * run + n] + bits, 0
+        return out + ("" if last == 63 else self.codes[0x10 | table][0])
+
+    def write(self, blocks):
+        """blocks[part][y, x]: 64 numbers in zigzag order."""
+        w, h = self.size
+        most = max(a for a, _ in self.sampling), max(b for _, b in self.sampling)
+        wide, tall = -(-w // (8 * most[0])), -(-h // (8 * most[1]))
+        data, bits, before = b"", "", [0] * len(blocks)
+        flush = lambda bits: bytes(int(bits[k : k + 8].ljust(8, "1"), 2) for k in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+        for unit in range(wide * tall):
+            if self.restart and unit and unit % self.restart == 0:
+                data, bits, before = data + flush(bits) + bytes([0xFF, 0xD0 + (unit // self.restart - 1) % 8]), "", [0] * len(blocks)
+            for part, (a, b) in enumerate(self.sampling):
+                for cell in range(a * b):
+                    c = blocks[part][unit // wide * b + cell // a, unit % wide * a + cell % a]
+                    bits += self.block([int(v) for v in c], before[part], min(part, 1))
+                    before[part] = int(c[0])
+        data += flush(bits)
+        segment = lambda marker, body: struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
+        out = b"\xff\xd8" + segment(0xDB, b"\0" + bytes(self.quant))
+        out += segment(0xC0, struct.pack(">BHHB", 8, h, w, len(blocks)) + b"".join(bytes([k, a << 4 | b, 0]) for k, (a, b) in enumerate(self.sampling)))
+        if self.tables:
+            out += b"".join(segment(0xC4, bytes([k]) + counts + symbols) for k, (counts, symbols) in media.USUAL_TABLES.items())
+        if self.restart:
+            out += segment(0xDD, struct.pack(">H", self.restart))
+        scan = bytes([len(blocks)]) + b"".join(bytes([k, 0x11 * min(k, 1)]) for k in range(len(blocks))) + bytes([0, 63, 0])
+        return out + segment(0xDA, scan) + data + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("sampling,restart,tables", [([(1, 1)], 0, True), ([(2, 2), (1, 1), (1, 1)], 0, False), ([(2, 1), (1, 1), (1, 1)], 2, True), ([(1, 1)], 3, False)])
+def test_foreign_frames_decode(sampling, restart, tables):
+    """Colour frames with AC coefficients and restarts against a cosine transform written out; tables may be missing."""
+    r = np.random.default_rng(restart + len(sampling))
+    width, height = 40, 24
+    most = max(a for a, _ in sampling), max(b for _, b in sampling)
+    wide, tall = -(-width // (8 * most[0])), -(-height // (8 * most[1]))
+    quant = [int(q) for q in r.integers(1, 12, 64)]
+    blocks = []
+    for a, b in sampling:
+        c = r.integers(-6, 7, (tall * b, wide * a, 64)) * (r.random((tall * b, wide * a, 64)) < 0.2)
+        c[..., 0] = r.integers(-60, 60, c.shape[:2])
+        c[0, 0, 63] = 5
+        blocks.append(c)
+    jpeg = JpegWriter(width, height, sampling, quant, restart, tables).write(blocks)
+    means, pixels = media.decode_frame(jpeg)
+    zigzag = media.zigzag()
+    for y in range(0, height, 5):
+        for x in range(0, width, 3):
+            total = 0.0
+            for k in range(64):
+                v, u = divmod(zigzag[k], 8)
+                scale = (0.5**0.5 if u == 0 else 1) * (0.5**0.5 if v == 0 else 1) / 4
+                total += scale * blocks[0][y // 8, x // 8, k] * quant[k] * np.cos((2 * (x % 8) + 1) * u * np.pi / 16) * np.cos((2 * (y % 8) + 1) * v * np.pi / 16)
+            assert abs(int(pixels[y, x]) - min(255, max(0, total + 128))) <= 0.51
+    assert pixels.shape == (height, width) and means.shape == (3, 5)
+
+
+def test_broken_media_are_rows_of_their_own(spark):
+    good = media.encode_avi(bytes(range(256)) * 40)
+    rows = [(1, good), (2, b"RIFF"), (3, good[:700]), (4, None), (None, good.replace(b"\xff\xc0", b"\xff\xc2")), (5, b"")]
+    got = media.media_clips(spark.createDataFrame([(k, None if m is None else bytearray(m)) for k, m in rows], "doc_id long, media binary")).collect()
+    assert {(r["doc_id"], r["clip"], r["error"] is None) for r in got} == {(1, 0, True), (2, None, False), (3, None, False), (None, None, False), (5, None, False)}
+
+
 # 7 ----------------------------------------------------------------------------------------------
 def plain_targets(sizes, share=1.5, most=2.0):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
