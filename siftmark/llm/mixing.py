@@ -81,7 +81,7 @@ def _expected_copies(classes: DataFrame, damping: float, most: float) -> DataFra
     by = Window.partitionBy("source").orderBy("class")
     full = F.coalesce(F.sum("words").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     open_ = F.sum(F.col("words") * h).over(by.rowsBetween(0, Window.unboundedFollowing))
-    c = (F.col("target") - most * full) / open_
+    c = F.try_divide(F.col("target") - most * full, open_)  # null where no class has words
     valid = F.when(c * h <= most, F.struct("class", c.alias("c")))
     level = F.min("valid").over(Window.partitionBy("source"))["c"]
     copies = F.round(F.greatest(F.lit(0.0), F.coalesce(F.least(F.lit(most), level * h), F.lit(most))), 9)
