@@ -360,8 +360,9 @@ def _near_in_blocks(rows: DataFrame, bands: Bands) -> DataFrame:
             right = left
             if i[start] != j[start]:
                 left, right = left[block[start:end] == i[start]], right[block[start:end] == j[start]]
-            for at in range(0, len(left), 256):
-                x = left[at : at + 256]
+            strip = max(1, min(256, 250_000 // len(right)))  # some 10 MB of numbers at once
+            for at in range(0, len(left), strip):
+                x = left[at : at + strip]
                 open_ = comp[x][:, None] != comp[right][None, :]
                 small, large = np.minimum(n[x][:, None], n[right][None, :]), np.maximum(n[x][:, None], n[right][None, :])
                 open_ &= bands.den * small >= bands.num * large
@@ -370,7 +371,7 @@ def _near_in_blocks(rows: DataFrame, bands: Bands) -> DataFrame:
                 p, q = np.nonzero(open_)
                 if len(p):
                     p, q = x[p], right[q]
-                    most = max(1, min(20_000, 1_000_000 // size))  # sketches of long texts are long: 8 MB at once
+                    most = max(1, min(20_000, 500_000 // size))  # sketches of long texts are long: 4 MB at once
                     for cut in range(0, len(p), most):
                         pp, qq = p[cut : cut + most], q[cut : cut + most]
                         apart = np.bitwise_count(bits[pp - start] ^ bits[qq - start]).sum(1, dtype=np.int64)
