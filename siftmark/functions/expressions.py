@@ -52,11 +52,35 @@ def set_jaccard(x: Column, y: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / union)
 
 
-def kernel(images: DataFrame, each: Callable[[bytes], Iterator[tuple] | list[tuple]], fields: dict[str, pa.DataType], spark_types: str) -> DataFrame:
+def message(problem: Exception) -> str:
+    return str(problem) or type(problem).__name__
+
+
+def with_error(section: DataFrame, error: Column) -> DataFrame:
+    """``section`` with its ``error``: where there is one, the score is null and the message the only metric."""
+    out = section.withColumn("error", error)
+    out = out.withColumn("similarity_percent", F.when(F.col("error").isNull(), F.col("similarity_percent")))
+    if "metrics" in section.columns:
+        out = out.withColumn("metrics", F.when(F.col("error").isNull(), F.col("metrics")).otherwise(metrics(("Error", F.col("error")))))
+    return out
+
+
+def kernel(images: DataFrame, each: Callable[[bytes], Iterator[tuple] | list[tuple]], fields: dict[str, pa.DataType], spark_types: str, errors: bool = False) -> DataFrame:
     """``image_id`` and the fields of every row that ``each`` gives for a payload.
 
-    Payloads stay within their task; output is cut into batches of a few thousand rows.
+    Payloads stay within their task; output is cut into batches of a few thousand rows.  With
+    ``errors`` a payload on which ``each`` raises is one row of nulls and its ``error``, which is null elsewhere.
     """
+    given = each
+    if errors:
+        fields, spark_types = {**fields, "error": pa.string()}, f"{spark_types}, error string"
+
+        def each(data: bytes) -> list[tuple]:
+            try:
+                return [(*row, None) for row in given(data)]
+            except Exception as problem:  # noqa: BLE001  one payload's failure is its own row
+                return [(None,) * (len(fields) - 1) + (message(problem),)]
+
     names = list(fields)
     id_type = images.schema["image_id"].dataType.simpleString()
 

@@ -120,10 +120,6 @@ def _roll(b: np.ndarray) -> np.ndarray:
     return (total + tilt + shifted) & 0xFFFFFFFF
 
 
-#: (state ^ byte) -> next low six bits of FNV-1a
-_FOLD = [(x * (FNV_PRIME & 63)) & 63 for x in range(64)]
-
-
 def piecewise_digest(data: bytes, block: int, roll: np.ndarray | None = None) -> str:
     """A letter for each piece between rolling-hash triggers, 64 at most; letters need only six bits of the hash."""
     if not data:
@@ -134,14 +130,31 @@ def piecewise_digest(data: bytes, block: int, roll: np.ndarray | None = None) ->
     ends = (hit[hit >= ROLL_WINDOW - 1] + 1)[:DIGEST_LENGTH].tolist()
     if len(ends) < DIGEST_LENGTH and (not ends or ends[-1] < len(data)):
         ends.append(len(data))
-    low, out, start = (b & 63).tobytes(), [], 0
-    for end in ends:
-        state = FNV_BASIS & 63
-        for x in low[start:end]:
-            state = _FOLD[state ^ x]
-        out.append(DIGEST_ALPHABET[state])
-        start = end
-    return "".join(out)
+    return "".join(DIGEST_ALPHABET[x] for x in piece_states(b[: ends[-1]] & 63, np.array([0, *ends])).tolist())
+
+
+def piece_states(low: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The low six bits of FNV-1a after each piece, bit by bit for all pieces at once.
+
+    Bit j of the hash depends on lower bits alone: state' = (state ^ byte) * p modulo 2**(j+1).  Once the
+    lower bits are known at every place, bit j changes by a known amount each step, as p is odd: a
+    running sum of parities gives it.
+    """
+    starts, n = ends[:-1], len(low)
+    before = np.zeros(n, np.uint8)  # known low bits of the state before each byte
+    prime, basis = FNV_PRIME & 63, FNV_BASIS & 63
+    final = np.zeros(len(starts), np.uint8)
+    first = np.zeros(n + 1, np.uint8)
+    for j in range(6):
+        bit, below = 1 << j, (1 << j) - 1
+        # what the lower bits carry into bit j, and the byte's own bit j
+        carried = ((((before & below) ^ (low & below)).astype(np.int64) * prime) >> j).astype(np.uint8) ^ (low >> j)
+        np.bitwise_xor.accumulate(carried & 1, out=first[1:])
+        own = first[starts] ^ (basis >> j & 1)
+        inside = first[:-1] ^ np.repeat(own, np.diff(ends))
+        before |= (inside << j).astype(np.uint8)
+        final |= ((first[ends[1:]] ^ own) * bit).astype(np.uint8)
+    return final
 
 
 def ctph_digest(data: bytes) -> str:
@@ -173,15 +186,26 @@ def block_entropy(data: bytes, block: int) -> np.ndarray:
     return bits.sum(axis=1)
 
 
-def gram_table(data: bytes, length: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct windows of ``length`` bytes, how often each occurs, and where first."""
+def gram_table(data: bytes, length: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows of ``length`` bytes, a row of bytes each, how often each occurs, and where first; past ``most`` those first seen stay."""
     n = len(data)
     if length <= 0 or n < length:
-        return [], np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty((0, max(0, length)), np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
     windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length)
-    whole = np.ascontiguousarray(windows).view(np.dtype((np.void, length))).ravel()
-    grams, first, counts = np.unique(whole, return_index=True, return_counts=True)
-    return [g.tobytes() for g in grams], counts.astype(np.int64), first.astype(np.int64)
+    whole = np.ascontiguousarray(windows)
+    if length == 16:  # two big-endian words sort as the bytes do, and faster
+        words = whole.view(">u8").astype(U64)
+        order = np.lexsort((words[:, 1], words[:, 0]))
+        words = words[order]
+        new = np.concatenate(([True], (words[1:] != words[:-1]).any(axis=1)))
+        at = np.flatnonzero(new)
+        first, counts = order[at], np.diff(np.append(at, len(order)))  # lexsort is stable: the first place leads
+    else:
+        _, first, counts = np.unique(whole.view(np.dtype((np.void, length))).ravel(), return_index=True, return_counts=True)
+    if most is not None and len(first) > most:
+        kept = np.sort(np.argsort(first, kind="stable")[:most])
+        first, counts = first[kept], counts[kept]
+    return whole[first], counts.astype(np.int64), first.astype(np.int64)
 
 
 def gram_index(data: bytes, length: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,16 +6,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import clamp_percent, kernel, metrics, number_text, percent_text, whole_text
+from ..functions.expressions import clamp_percent, kernel, metrics, number_text, percent_text, whole_text, with_error
 from ..functions.kernels import block_entropy
 from ..options import CompareOptions
 from ..sources.images import both_sides
 
 
-def profiles(images: DataFrame, opts: CompareOptions) -> DataFrame:
+def profiles(images: DataFrame, opts: CompareOptions, errors: bool = False) -> DataFrame:
     """``image_id, size, profile``: bits a byte of every block."""
     block = opts.block
-    return kernel(images, lambda data: [(len(data), block_entropy(data, block).tolist())], {"size": pa.int64(), "profile": pa.list_(pa.float64())}, "size long, profile array<double>")
+    return kernel(images, lambda data: [(len(data), block_entropy(data, block).tolist())], {"size": pa.int64(), "profile": pa.list_(pa.float64())}, "size long, profile array<double>", errors)
 
 
 def shannon_entropy(images: DataFrame) -> DataFrame:
@@ -77,20 +77,21 @@ def profile_similarity(a: Column, b: Column, most: int) -> Column:
 
 def score_of(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
     """``pair_id, similarity_percent`` alone."""
-    sides = both_sides(pairs, profiles(images, opts))
-    return sides.select("pair_id", profile_similarity(F.col("a.profile"), F.col("b.profile"), opts.max_profile_points).alias("similarity_percent"))
+    sides = both_sides(pairs, profiles(images, opts, errors=True))
+    score = profile_similarity(F.col("a.profile"), F.col("b.profile"), opts.max_profile_points)
+    return with_error(sides.select("pair_id", score.alias("similarity_percent"), F.coalesce("a.error", "b.error").alias("error")), F.col("error"))
 
 
 def section(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
-    sides = both_sides(pairs, profiles(images, opts))
+    sides = both_sides(pairs, profiles(images, opts, errors=True))
     a, b = (profile_stats(F.col(f"{s}.profile"), opts.high_entropy) for s in "ab")
     s = sides.select(
-        "pair_id", profile_similarity(F.col("a.profile"), F.col("b.profile"), opts.max_profile_points).alias("similarity_percent"), F.lit(opts.block).alias("block_size"),
+        "pair_id", F.coalesce("a.error", "b.error").alias("error"), profile_similarity(F.col("a.profile"), F.col("b.profile"), opts.max_profile_points).alias("similarity_percent"), F.lit(opts.block).alias("block_size"),
         *[side[k].alias(f"{k}_{name}") for k in ("mean", "max", "high") for name, side in (("a", a), ("b", b))],
         downsample(F.col("a.profile"), opts.max_profile_points).alias("profile_a"), downsample(F.col("b.profile"), opts.max_profile_points).alias("profile_b"),
     )
     both = lambda x, y, unit: F.concat(number_text(x), F.lit(f"{unit} / "), number_text(y))
-    return s.withColumn(
+    s = s.withColumn(
         "metrics",
         metrics(
             ("Profile similarity", percent_text(F.col("similarity_percent"))), ("Block size", whole_text(F.col("block_size"))),
@@ -99,3 +100,4 @@ def section(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFr
             ("High-entropy share A / B", F.concat(both(F.col("high_a") * 100, F.col("high_b") * 100, " %"), F.lit(" %"))),
         ),
     )
+    return with_error(s, F.col("error"))

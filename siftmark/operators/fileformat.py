@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.executables import SUMMARY_TYPE, parse_executable
-from ..functions.expressions import clamp_percent, histogram_cosine, metrics, percent_text, set_jaccard, whole_text
+from ..functions.executables import SUMMARY_TYPE, parse_executable, unknown
+from ..functions.expressions import clamp_percent, histogram_cosine, message, metrics, percent_text, set_jaccard, whole_text, with_error
 from ..options import CompareOptions
 from ..sources.images import both_sides
 
@@ -17,21 +17,28 @@ _SECTION = pa.struct([
     ("name", pa.string()), ("virtual_size", pa.int64()), ("raw_size", pa.int64()), ("entropy", pa.float64()),
     ("sha256", pa.string()), ("flags", pa.string()), ("bins", pa.list_(pa.int64())),
 ])
-_SUMMARY = [("format", pa.string()), ("machine", pa.string()), ("time_stamp", pa.string()), ("subsystem", pa.string()), ("entry_point", pa.string()), ("sections", pa.list_(_SECTION)), ("imports", pa.list_(pa.string()))]
+_SUMMARY = [("format", pa.string()), ("machine", pa.string()), ("time_stamp", pa.string()), ("subsystem", pa.string()), ("entry_point", pa.string()), ("sections", pa.list_(_SECTION)), ("imports", pa.list_(pa.string())), ("error", pa.string())]
+
+
+def _parsed(data: bytes) -> dict:
+    try:
+        return {**parse_executable(data), "error": None}
+    except Exception as problem:  # noqa: BLE001  one payload's failure is its own row
+        return {**unknown(), "error": message(problem)}
 
 
 def summaries(images: DataFrame) -> DataFrame:
-    """``image_id`` and the header summary of every payload, sections with their byte counts."""
+    """``image_id`` and the header summary of every payload, sections with their byte counts; ``error`` is null but for one that fails."""
     id_type = images.schema["image_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                rows = [parse_executable(c.as_buffer().to_pybytes() if c.is_valid else b"") for c in part.column(1)]
+                rows = [_parsed(c.as_buffer().to_pybytes() if c.is_valid else b"") for c in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[k] for r in rows], t) for k, t in _SUMMARY]], names=["image_id", *[k for k, _ in _SUMMARY]])
 
-    return images.select("image_id", "data").mapInArrow(run, f"image_id {id_type}, {SUMMARY_TYPE}")
+    return images.select("image_id", "data").mapInArrow(run, f"image_id {id_type}, {SUMMARY_TYPE}, error string")
 
 
 def sections(images: DataFrame) -> DataFrame:
@@ -74,9 +81,10 @@ def headline(names_a: Column, names_b: Column, imports_a: Column, imports_b: Col
 def score_of(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
     """``pair_id, similarity_percent`` alone: names meet, section contents don't."""
     names = F.transform("sections", lambda x: x["name"]).alias("names")
-    sides = both_sides(pairs, summaries(images).select("image_id", "format", names, "imports"))
+    sides = both_sides(pairs, summaries(images).select("image_id", "format", names, "imports", "error"))
     applicable = F.col("a.format").isin("PE", "ELF") | F.col("b.format").isin("PE", "ELF")
-    return sides.select("pair_id", headline(F.col("a.names"), F.col("b.names"), F.col("a.imports"), F.col("b.imports"), applicable).alias("similarity_percent"))
+    score = headline(F.col("a.names"), F.col("b.names"), F.col("a.imports"), F.col("b.imports"), applicable)
+    return with_error(sides.select("pair_id", score.alias("similarity_percent"), F.coalesce("a.error", "b.error").alias("error")), F.col("error"))
 
 
 def section(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
@@ -85,9 +93,9 @@ def section(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFr
     applicable = F.col("a.format").isin("PE", "ELF") | F.col("b.format").isin("PE", "ELF")
     imports = import_sets(F.col("a.imports"), F.col("b.imports"))
     names = lambda s: F.transform(F.col(f"{s}.sections"), lambda x: x["name"])
-    bare = lambda s: F.col(s).withField("sections", F.transform(F.col(f"{s}.sections"), lambda x: x.dropFields("bins"))).dropFields("image_id")
+    bare = lambda s: F.col(s).withField("sections", F.transform(F.col(f"{s}.sections"), lambda x: x.dropFields("bins"))).dropFields("image_id", "error")
     s = sides.select(
-        "pair_id", headline(names("a"), names("b"), F.col("a.imports"), F.col("b.imports"), applicable).alias("similarity_percent"),
+        "pair_id", F.coalesce("a.error", "b.error").alias("error"), headline(names("a"), names("b"), F.col("a.imports"), F.col("b.imports"), applicable).alias("similarity_percent"),
         applicable.alias("applicable"), bare("a").alias("a"), bare("b").alias("b"), *[v.alias(f"imports_{k}") for k, v in imports.items()],
     )
     rows = found.select("image_id", F.posexplode("sections").alias("section_idx", "s")).select("image_id", "section_idx", "s.*")
@@ -101,4 +109,5 @@ def section(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFr
         ("Sections A / B", slash(F.size("a.sections"), F.size("b.sections"))), ("Shared imports", whole_text(F.size("imports_common"))),
         ("Imports only in A / B", slash(F.size("imports_only_a"), F.size("imports_only_b"))),
     )
-    return s.withColumn("comparisons", F.coalesce("comparisons", none)).withColumn("metrics", F.when(F.col("applicable"), F.concat(first, more)).otherwise(first))
+    s = s.withColumn("comparisons", F.coalesce("comparisons", none)).withColumn("metrics", F.when(F.col("applicable"), F.concat(first, more)).otherwise(first))
+    return with_error(s, F.col("error"))

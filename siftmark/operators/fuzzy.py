@@ -6,13 +6,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import clamp_percent, kernel, metrics, percent_text, whole_text
+from ..functions.expressions import clamp_percent, kernel, metrics, percent_text, whole_text, with_error
 from ..functions.kernels import bottom_k, ctph_digest
 from ..options import CompareOptions
 from ..sources.images import both_sides
 
 
-def sketches(images: DataFrame, opts: CompareOptions) -> DataFrame:
+def sketches(images: DataFrame, opts: CompareOptions, errors: bool = False) -> DataFrame:
     """``image_id, size, sketch, digest``; hashes are 16 hex digits, whose order is the unsigned one."""
     k, size = opts.shingle, opts.sketch
 
@@ -20,10 +20,10 @@ def sketches(images: DataFrame, opts: CompareOptions) -> DataFrame:
         raw = bottom_k(data, k, size).astype(">u8").tobytes().hex()
         return [(len(data), [raw[i : i + 16] for i in range(0, len(raw), 16)], ctph_digest(data))]
 
-    return kernel(images, each, {"size": pa.int64(), "sketch": pa.list_(pa.string()), "digest": pa.string()}, "size long, sketch array<string>, digest string")
+    return kernel(images, each, {"size": pa.int64(), "sketch": pa.list_(pa.string()), "digest": pa.string()}, "size long, sketch array<string>, digest string", errors)
 
 
-def minhash_sketches(images: DataFrame, opts: CompareOptions) -> DataFrame:
+def minhash_sketches(images: DataFrame, opts: CompareOptions, errors: bool = False) -> DataFrame:
     """``image_id, size, sketch`` without the digests."""
     k, size = opts.shingle, opts.sketch
 
@@ -31,7 +31,12 @@ def minhash_sketches(images: DataFrame, opts: CompareOptions) -> DataFrame:
         raw = bottom_k(data, k, size).astype(">u8").tobytes().hex()
         return [(len(data), [raw[i : i + 16] for i in range(0, len(raw), 16)])]
 
-    return kernel(images, each, {"size": pa.int64(), "sketch": pa.list_(pa.string())}, "size long, sketch array<string>")
+    return kernel(images, each, {"size": pa.int64(), "sketch": pa.list_(pa.string())}, "size long, sketch array<string>", errors)
+
+
+def digests(images: DataFrame, errors: bool = False) -> DataFrame:
+    """``image_id, size, digest`` without the sketches."""
+    return kernel(images, lambda data: [(len(data), ctph_digest(data))], {"size": pa.int64(), "digest": pa.string()}, "size long, digest string", errors)
 
 
 def sketch_rows(images: DataFrame, opts: CompareOptions) -> DataFrame:
@@ -67,57 +72,46 @@ def block_size(size: Column) -> Column:
     return F.lit(3).cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.floor(size / 64) + 1)) - 1)
 
 
-def compare(sides: DataFrame, opts: CompareOptions) -> DataFrame:
-    """``pair_id, minhash_percent, ctph_percent, digest_a, digest_b`` from both sides' sketches."""
+def _by_size(score: Column) -> Column:
+    """100 where both payloads are empty, 0 where one is."""
     empty_a, empty_b = F.col("a.size") == 0, F.col("b.size") == 0
-    rule = lambda score: F.when(empty_a & empty_b, 100.0).when(empty_a | empty_b, 0.0).otherwise(score)
+    return F.when(empty_a & empty_b, 100.0).when(empty_a | empty_b, 0.0).otherwise(score)
+
+
+def minhash_percent(size: int) -> Column:
+    """The sketch similarity of the sides ``a`` and ``b``."""
+    return _by_size(clamp_percent(100 * sketch_jaccard(F.col("a.sketch"), F.col("b.sketch"), size)))
+
+
+def ctph_percent() -> Column:
+    """The digest similarity of the sides ``a`` and ``b``."""
+    return _by_size(digest_similarity(F.col("a.digest"), F.col("b.digest")))
+
+
+def compare(sides: DataFrame, opts: CompareOptions) -> DataFrame:
+    """``pair_id, minhash_percent, ctph_percent, digest_a, digest_b, error`` from both sides' sketches."""
+    error = F.coalesce("a.error", "b.error") if "error" in sides.schema["a"].dataType.names else F.lit(None).cast("string")
     return sides.select(
-        "pair_id",
-        rule(clamp_percent(100 * sketch_jaccard(F.col("a.sketch"), F.col("b.sketch"), opts.sketch))).alias("minhash_percent"),
-        rule(digest_similarity(F.col("a.digest"), F.col("b.digest"))).alias("ctph_percent"),
-        F.col("a.digest").alias("digest_a"), F.col("b.digest").alias("digest_b"),
+        "pair_id", minhash_percent(opts.sketch).alias("minhash_percent"), ctph_percent().alias("ctph_percent"),
+        F.col("a.digest").alias("digest_a"), F.col("b.digest").alias("digest_b"), error.alias("error"),
     )
 
 
 def score_of(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
     """``pair_id, similarity_percent`` alone: no digests."""
-    sides = both_sides(pairs, minhash_sketches(images, opts))
-    empty_a, empty_b = F.col("a.size") == 0, F.col("b.size") == 0
-    score = clamp_percent(100 * sketch_jaccard(F.col("a.sketch"), F.col("b.sketch"), opts.sketch))
-    return sides.select("pair_id", F.when(empty_a & empty_b, 100.0).when(empty_a | empty_b, 0.0).otherwise(score).alias("similarity_percent"))
+    sides = both_sides(pairs, minhash_sketches(images, opts, errors=True))
+    s = sides.select("pair_id", minhash_percent(opts.sketch).alias("similarity_percent"), F.coalesce("a.error", "b.error").alias("error"))
+    return with_error(s, F.col("error"))
 
 
 def section(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
-    s = compare(both_sides(pairs, sketches(images, opts)), opts)
+    s = compare(both_sides(pairs, sketches(images, opts, errors=True)), opts)
     k = F.lit(opts.shingle).cast("int")
-    return s.select(
-        "pair_id", F.col("minhash_percent").alias("similarity_percent"), "minhash_percent", "ctph_percent", k.alias("shingle_k"), "digest_a", "digest_b",
+    s = s.select(
+        "pair_id", "error", F.col("minhash_percent").alias("similarity_percent"), "minhash_percent", "ctph_percent", k.alias("shingle_k"), "digest_a", "digest_b",
         metrics(
             ("MinHash similarity", percent_text(F.col("minhash_percent"))), ("CTPH similarity", percent_text(F.col("ctph_percent"))), ("Shingle-k", whole_text(k)),
             ("CTPH-Digest A", F.col("digest_a")), ("CTPH-Digest B", F.col("digest_b")),
         ).alias("metrics"),
     )
-
-
-def candidate_pairs(images: DataFrame, opts: CompareOptions, most_images: int | None = None) -> DataFrame:
-    """Pairs of images that share a sketch hash, each once: what to compare among many images.
-
-    With ``most_images`` this is a cut: images that share only hashes of more images than that meet
-    the first of each such group and not each other.  A group makes all its pairs without it.
-    """
-    rows = sketch_rows(images, opts)
-    if most_images is None:
-        # equal sketches are one class: pairs of classes are found once, whatever their images
-        sketch = minhash_sketches(images, opts).filter(F.size("sketch") > 0).select("image_id", F.sha2(F.concat_ws("", "sketch"), 256).alias("class"), "sketch")
-        hashes = sketch.groupBy("class").agg(F.first("sketch").alias("sketch")).select("class", F.explode("sketch").alias("hash"))
-        classes = hashes.toDF("a", "hash").join(hashes.toDF("b", "hash"), "hash").select("a", "b").distinct()
-        a, b = sketch.select(F.col("class").alias("a"), F.col("image_id").alias("a_id")), sketch.select(F.col("class").alias("b"), F.col("image_id").alias("b_id"))
-        pairs = classes.join(a, "a").join(b, "b").filter("a_id < b_id").select("a_id", "b_id")
-        return pairs.distinct().select(F.concat_ws(":", F.col("a_id").cast("string"), F.col("b_id").cast("string")).alias("pair_id"), "a_id", "b_id")
-    by = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min("image_id").alias("first"))
-    shared = rows.join(by.filter("n > 1"), "hash")
-    a = shared.filter(F.col("n") <= most_images).select("hash", F.col("image_id").alias("a_id"))
-    b = shared.filter(F.col("n") <= most_images).select("hash", F.col("image_id").alias("b_id"))
-    near = a.join(b, "hash").filter("a_id < b_id").select("a_id", "b_id")
-    far = shared.filter((F.col("n") > most_images) & (F.col("image_id") > F.col("first"))).select(F.col("first").alias("a_id"), F.col("image_id").alias("b_id"))
-    return near.union(far).distinct().withColumn("pair_id", F.concat_ws(":", F.col("a_id").cast("string"), F.col("b_id").cast("string"))).select("pair_id", "a_id", "b_id")
+    return with_error(s, F.col("error"))

@@ -1,9 +1,11 @@
 """Fixed-length byte patterns: overlap, shared patterns and one-sided indicators.
 
 Two payloads meet as they are and their patterns are compared within one row: a pattern table
-holds some 24 bytes for every byte of payload, so shipping payloads moves far less.  ``grams``,
-``paired``, ``gram_jaccard`` and ``top_hits`` do the same by joins, for pattern tables that are
-kept, or for payloads too large to meet in one row.
+holds some 24 bytes for every byte of payload, and ranking hits asks for the bytes anyway, so
+shipping payloads moves far less.  Pairs come sorted by their first image, and a task keeps the
+tables it made last, within a bound, so an image in many pairs has its table made once a task.
+``grams``, ``paired``, ``gram_jaccard`` and ``top_hits`` do the same by joins, for pattern tables
+that are kept, or for payloads too large to meet in one row.
 """
 
 from __future__ import annotations
@@ -15,24 +17,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import kernel, metrics, percent_text, whole_text
+from ..functions.expressions import message, metrics, percent_text, whole_text, with_error
 from ..functions.kernels import best_windows, gram_index, gram_table
 from ..options import CompareOptions
 from ..sources.images import both_sides
 
+#: Rows of a batch of patterns, about; bytes of the pattern tables that a task keeps.
+BATCH_ROWS, KEPT_BYTES = 50_000, 64 << 20
 HIT = "struct<hex:string,count_a:bigint,count_b:bigint,first_offset_a:bigint,first_offset_b:bigint>"
 
 
 def grams(images: DataFrame, opts: CompareOptions) -> DataFrame:
     """``image_id, gram, cnt, first_offset`` of the distinct windows; past the distinct limit those first seen stay."""
     length, most = opts.pattern_length, opts.max_distinct_patterns
+    id_type = images.schema["image_id"].dataType.simpleString()
 
-    def each(data: bytes):
-        found, counts, first = gram_table(data, length)
-        rows = zip(found, counts.tolist(), first.tolist(), strict=True)
-        return sorted(rows, key=lambda r: r[2])[:most] if len(found) > most else rows
-
-    return kernel(images, each, {"gram": pa.binary(), "cnt": pa.int64(), "first_offset": pa.int64()}, "gram binary, cnt long, first_offset long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, held, n = batch.column(0), [], 0
+            for k, cell in enumerate(batch.column(1)):
+                found = gram_table(cell.as_buffer().to_pybytes() if cell.is_valid else b"", length, most)
+                for at in range(0, len(found[1]), BATCH_ROWS):  # a large payload is several batches
+                    held.append((k, *[x[at : at + BATCH_ROWS] for x in found]))
+                    n += len(held[-1][2])
+                    if n >= BATCH_ROWS:
+                        yield batch_of(ids, held)
+                        held, n = [], 0
+            if held:
+                yield batch_of(ids, held)
+
+    def batch_of(ids: pa.Array, held: list) -> pa.RecordBatch:
+        at, cells, counts, first = zip(*held, strict=True)
+        n = [len(c) for c in counts]
+        # patterns have one length: the bytes as they are, with evenly spaced ends
+        ends = pa.py_buffer(np.arange(0, (sum(n) + 1) * length, length, dtype=np.int32))
+        grams = pa.Array.from_buffers(pa.binary(), sum(n), [None, ends, pa.py_buffer(np.ascontiguousarray(np.concatenate(cells)))])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(at, n))), grams, pa.array(np.concatenate(counts)), pa.array(np.concatenate(first))], names=["image_id", "gram", "cnt", "first_offset"])
+
+    return images.select("image_id", "data").mapInArrow(run, f"image_id {id_type}, gram binary, cnt long, first_offset long")
 
 
 def paired(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -78,10 +100,28 @@ def top_hits(met: DataFrame, opts: CompareOptions) -> DataFrame:
 _HIT = pa.struct([("hex", pa.string()), ("count_a", pa.int64()), ("count_b", pa.int64()), ("first_offset_a", pa.int64()), ("first_offset_b", pa.int64())])
 
 
-def compare_payloads(a: bytes, b: bytes, opts: CompareOptions) -> dict:
-    """Overlap and hit lists of two payloads, by the rules for short ones."""
+class Tables:
+    """Pattern tables by image, those used last, of KEPT_BYTES at most besides the latest."""
+
+    def __init__(self, opts: CompareOptions):
+        self.opts, self.kept, self.bytes, self.made = opts, {}, 0, 0
+
+    def of(self, image, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = self.kept.pop(image, None)
+        if found is None:
+            found = gram_index(data, self.opts.pattern_length, self.opts.max_distinct_patterns)
+            self.bytes += sum(x.nbytes for x in found)
+            self.made += 1
+            while self.kept and self.bytes > KEPT_BYTES:
+                self.bytes -= sum(x.nbytes for x in self.kept.pop(next(iter(self.kept))))
+        self.kept[image] = found
+        return found
+
+
+def compare_payloads(a: bytes, b: bytes, opts: CompareOptions, tables=None) -> dict:
+    """Overlap and hit lists of two payloads, by the rules for short ones; ``tables`` are their pattern tables, if made."""
     length, most, kept = opts.pattern_length, opts.max_distinct_patterns, opts.kept_patterns
-    (ka, na, fa), (kb, nb, fb) = (gram_index(x, length, most) for x in (a, b))
+    (ka, na, fa), (kb, nb, fb) = tables or [gram_index(x, length, most) for x in (a, b)]
     _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
     union = len(ka) + len(kb) - len(ia)
     if len(ka) and len(kb):
@@ -106,21 +146,30 @@ def compare_payloads(a: bytes, b: bytes, opts: CompareOptions) -> dict:
 
 
 def compared(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
-    """``pair_id, common, n_union, similarity_percent`` and the three hit lists of every pair."""
+    """``pair_id, common, n_union, similarity_percent``, the three hit lists and the ``error`` of every pair."""
     id_type = pairs.schema["pair_id"].dataType.simpleString()
     lists = ("common_patterns", "unique_a", "unique_b")
-    fields = [("common", pa.int64()), ("n_union", pa.int64()), ("similarity_percent", pa.float64()), *[(c, pa.list_(_HIT)) for c in lists]]
+    fields = [("common", pa.int64()), ("n_union", pa.int64()), ("similarity_percent", pa.float64()), *[(c, pa.list_(_HIT)) for c in lists], ("error", pa.string())]
+
+    def met(tables: Tables, ids: tuple, payloads: list[bytes]) -> dict:
+        try:
+            a, b = payloads
+            return {**compare_payloads(a, b, opts, [tables.of(i, x) for i, x in zip(ids, payloads, strict=True)]), "error": None}
+        except Exception as problem:  # noqa: BLE001  one pair's failure is its own row
+            return {**dict.fromkeys(("common", "n_union", "similarity_percent")), **{c: [] for c in lists}, "error": message(problem)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = Tables(opts)
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
                 data = lambda c, k: c[k].as_buffer().to_pybytes() if c[k].is_valid else b""
-                rows = [compare_payloads(data(part.column(1), k), data(part.column(2), k), opts) for k in range(part.num_rows)]
+                ids = list(zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True))
+                rows = [met(tables, ids[k], [data(part.column(1), k), data(part.column(2), k)]) for k in range(part.num_rows)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array([r[n] for r in rows], t) for n, t in fields]], names=["pair_id", *[n for n, _ in fields]])
 
-    sides = both_sides(pairs, images.select("image_id", "data")).select("pair_id", F.col("a.data").alias("a"), F.col("b.data").alias("b"))
-    return sides.mapInArrow(run, f"pair_id {id_type}, common long, n_union long, similarity_percent double, " + ", ".join(f"{c} array<{HIT}>" for c in lists))
+    sides = both_sides(pairs, images.select("image_id", "data")).select("pair_id", F.col("a.data").alias("a"), F.col("b.data").alias("b"), F.col("a.image_id").alias("a_id"), F.col("b.image_id").alias("b_id"))
+    return sides.sortWithinPartitions("a_id", "b_id").mapInArrow(run, f"pair_id {id_type}, common long, n_union long, similarity_percent double, " + ", ".join(f"{c} array<{HIT}>" for c in lists) + ", error string")
 
 
 def hit_rows(found: DataFrame) -> DataFrame:
@@ -134,15 +183,16 @@ def hit_rows(found: DataFrame) -> DataFrame:
 
 def score_of(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
     """``pair_id, similarity_percent`` alone: no hits are ranked."""
-    return compared(images, pairs, opts.with_values(max_patterns=0)).select("pair_id", "similarity_percent")
+    return compared(images, pairs, opts.with_values(max_patterns=0)).select("pair_id", "similarity_percent", "error")
 
 
 def section(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
     s = compared(images, pairs, opts).drop("common", "n_union").withColumn("pattern_length", F.lit(opts.pattern_length))
-    return s.withColumn(
+    s = s.withColumn(
         "metrics",
         metrics(
             ("Signature length (bytes)", whole_text(F.col("pattern_length"))), ("Pattern overlap", percent_text(F.col("similarity_percent"))),
             ("Shared patterns", whole_text(F.size("common_patterns"))), ("Only in A (indicators)", whole_text(F.size("unique_a"))), ("Only in B (indicators)", whole_text(F.size("unique_b"))),
         ),
     )
+    return with_error(s, F.col("error"))

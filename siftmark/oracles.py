@@ -152,8 +152,18 @@ def _with(parts: str, select: str) -> str:
     return f"WITH {parts}\n{select}"
 
 
+IMPORT_LISTS = "imp(k, imp) AS (VALUES (0, ['KERNEL32.DLL', 'USER32.DLL']), (1, ['WS2_32.DLL', 'KERNEL32.DLL', 'ADVAPI32.DLL']), (2, []::VARCHAR[]), (3, ['CRYPT32.DLL']))"
+NUMBER = "regexp_replace(printf('%.3f', {0}), '\\.?0+$', '')"
+
+
+def _stats(x: str) -> str:
+    """A profile's mean, maximum and share of blocks of 7 bits or more, as text."""
+    share = f"CASE WHEN len({x}) > 0 THEN len(list_filter({x}, lambda v: v >= 7)) / len({x}) ELSE 0 END * 100"
+    return f"{NUMBER.format(f'coalesce(list_avg({x}), 0)')}, {NUMBER.format(f'coalesce(list_max({x}), 0)')}, {NUMBER.format(share)}"
+
+
 ORACLES: dict[str, str] = {
-    "s2_image_bytes": "SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, hex(encode(coalesce(html, ''))[1:16]) AS head FROM pages",
+    "s2_image_bytes": "SELECT page_id, octet_length(encode(coalesce(html, ''))) AS size, md5(encode(coalesce(html, ''))) AS md5 FROM pages",
     "s3_image_info": """SELECT doc_id AS image_id, 'doc/' || doc_id AS path, doc_id::VARCHAR AS name, octet_length(encode(coalesce(text, ''))) AS size,
         upper(sha256(encode(coalesce(text, '')))) AS sha256 FROM documents""",
     "s4_size_warning": _with(IMG, """SELECT pair_id, concat_ws('|',
@@ -175,9 +185,6 @@ ORACLES: dict[str, str] = {
         FROM (SELECT pair_id, u, v, CASE WHEN u.bs = v.bs OR u.bs = 2 * v.bs THEN u.x WHEN v.bs = 2 * u.bs THEN u.y END AS p,
                      CASE WHEN u.bs = v.bs OR v.bs = 2 * u.bs THEN v.x WHEN u.bs = 2 * v.bs THEN v.y END AS q
               FROM prs JOIN dig u ON u.image_id = a_id JOIN dig v ON v.image_id = b_id)"""),
-    "z13_candidate_pairs": _with(SKETCH + """, cnt AS (SELECT hash, count(*) AS n, min(image_id) AS first FROM skt GROUP BY 1)""", """
-        SELECT x.image_id AS a_id, y.image_id AS b_id FROM skt x JOIN skt y USING (hash) JOIN cnt USING (hash) WHERE n <= 200 AND x.image_id < y.image_id
-        UNION SELECT first, image_id FROM skt JOIN cnt USING (hash) WHERE n > 200 AND image_id > first"""),
     "e1_entropy": _with(f"{BYT}, {HIST}", """SELECT image_id, round(coalesce(e, 0), 6) AS entropy FROM img LEFT JOIN (
         SELECT image_id, sum(-(cnt / n) * log2(cnt / n)) AS e FROM hst JOIN siz USING (image_id) GROUP BY 1) USING (image_id)"""),
     "e2_block_entropy": _with(BLOCKS, "SELECT image_id, block, round(h, 6) AS entropy FROM ent"),
@@ -196,7 +203,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, CASE WHEN cb IS NULL THEN 'a' ELSE 'b' END AS list, row_number() OVER (PARTITION BY pair_id, cb IS NULL ORDER BY coalesce(ca, cb) DESC, hex) AS rank
               FROM met WHERE (ca IS NULL OR cb IS NULL) AND coalesce(ca, cb) >= 2) WHERE rank <= 50"""),
     "p7_pattern_score": _with(f"{_grams(64)}, {GRAM_PAIRS}, {GRAM_SCORE.format(L=64)}", "SELECT pair_id, round(similarity, 6) AS similarity FROM gsc"),
-    "p11_hex_spaced": _with(IMG, "SELECT image_id, trim(regexp_replace(hex(data[1:8]), '(..)', '\\1 ', 'g')) AS hex FROM img"),
+    "p11_hex_spaced": _with(IMG, "SELECT image_id, trim(regexp_replace(hex(data), '(..)', '\\1 ', 'g')) AS hex FROM img"),
     "f1_magic": _with(EXE, "SELECT image_id, format FROM exe"),
     "f2_headers": _with(EXE, """SELECT image_id, CASE format WHEN 'PE' THEN 'x64' WHEN 'ELF' THEN 'x86-64' ELSE '' END AS machine,
         CASE format WHEN 'PE' THEN strftime(to_timestamp(1600000000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') ELSE '' END AS time_stamp,
@@ -209,11 +216,17 @@ ORACLES: dict[str, str] = {
             CASE WHEN s.sha <> '' AND s.sha = t.sha THEN 100 ELSE least(1, coalesce(d / (u.norm * v.norm), 0)) * 100 END END, 6)::DOUBLE AS similarity
         FROM xpr LEFT JOIN sec s ON s.image_id = a_id LEFT JOIN sec t ON t.image_id = b_id LEFT JOIN sen u ON u.image_id = a_id LEFT JOIN sen v ON v.image_id = b_id
         LEFT JOIN dts USING (pair_id) WHERE fa = 'PE' OR fb = 'PE'""").replace("\n, dts", ", dts"),
-    "f11_import_sets": """WITH t AS (SELECT conv_id, list_sort(list(DISTINCT upper(role))) AS i FROM conversations GROUP BY 1)
-        SELECT a.conv_id, array_to_string(list_sort(list_intersect(a.i, b.i)), ',') AS common,
-               array_to_string(list_filter(a.i, lambda x: NOT list_contains(b.i, x)), ',') AS only_a, array_to_string(list_filter(b.i, lambda x: NOT list_contains(a.i, x)), ',') AS only_b,
-               round(len(list_intersect(a.i, b.i)) / len(list_distinct(list_concat(a.i, b.i))), 6) AS jaccard
-        FROM t a JOIN t b ON b.conv_id = a.conv_id + 1""",
+    "f5_imports": _with(IMPORT_LISTS, """SELECT doc_id AS image_id, 'PE' AS format, '0x1234' AS entry_point, array_to_string(imp, ',') AS imports FROM documents JOIN imp ON k = doc_id % 4"""),
+    "f7_elf_sections": """WITH s(k, section_idx, name, kind, body) AS (VALUES
+            (0, 0, '', 'NULL', ''::BLOB), (0, 1, '.text', 'PROGBITS', repeat('\\x90', 48)::BLOB), (0, 2, '.bss', 'NOBITS', repeat('\\x00', 100)::BLOB), (0, 3, '.shstrtab', 'STRTAB', '\\x00.text\\x00.bss\\x00.shstrtab\\x00'::BLOB),
+            (1, 0, '', 'NULL', ''::BLOB), (1, 1, '.rodata', 'PROGBITS', 'const'::BLOB), (1, 2, '.symtab', 'SYMTAB', repeat('\\x00', 24)::BLOB), (1, 3, '.odd', '0x6FFFFFF6', 'x'::BLOB),
+            (1, 4, '.shstrtab', 'STRTAB', '\\x00.rodata\\x00.symtab\\x00.odd\\x00.shstrtab\\x00'::BLOB))
+        SELECT doc_id AS image_id, section_idx, name, octet_length(body) AS virtual_size, CASE kind WHEN 'NOBITS' THEN 0 ELSE octet_length(body) END AS raw_size,
+               CASE WHEN kind = 'NOBITS' OR octet_length(body) = 0 THEN '' ELSE upper(sha256(body)) END AS sha256, kind AS flags FROM documents JOIN s ON k = doc_id % 2""",
+    "f11_import_sets": _with(f"{IMG}, {IMPORT_LISTS}", """SELECT pair_id, array_to_string(list_sort(list_intersect(a.imp, b.imp)), ',') AS common,
+               array_to_string(list_sort(list_filter(a.imp, lambda x: NOT list_contains(b.imp, x))), ',') AS only_a, array_to_string(list_sort(list_filter(b.imp, lambda x: NOT list_contains(a.imp, x))), ',') AS only_b,
+               round((100 + 100 * len(list_intersect(a.imp, b.imp)) / len(list_distinct(list_concat(a.imp, b.imp)))) / 2, 6)::DOUBLE AS similarity
+        FROM prs JOIN imp a ON a.k = a_id % 4 JOIN imp b ON b.k = b_id % 4"""),
     "f13_format_score": _with(EXE, """SELECT pair_id, CASE WHEN fa = 'Unknown' AND fb = 'Unknown' THEN NULL WHEN (fa = 'PE') = (fb = 'PE') THEN 100.0::DOUBLE ELSE 0 END AS similarity FROM xpr"""),
     "a2_module_scores": _with(MODULES, """SELECT pair_id, module, module_ord::INTEGER AS module_ord, kind, title, round(similarity, 6) AS similarity FROM mds, LATERAL (VALUES
         ('ByteDiff', 0, 'byteDiff', 'Byte-Diff', bd), ('FuzzyHash', 1, 'fuzzyHash', 'Fuzzy-Hash', fz), ('Format', 2, 'format', 'Format (PE/ELF)', NULL::DOUBLE),
@@ -230,6 +243,48 @@ ORACLES: dict[str, str] = {
     "r4_diff_bar": _with(f"{CHUNKS}, {SIDED}", """SELECT pair_id, side, "offset", round(100.0 * length / sum(length) OVER (PARTITION BY pair_id, side), 6)::DOUBLE AS width_percent, shared FROM spn"""),
     "r7_text_bar": _with(f"{BLOCKS}, {PROFILE}", """SELECT pair_id, '[' || repeat('#', k) || repeat('.', 40 - k) || ']' AS bar
         FROM (SELECT pair_id, round_even(similarity / 100 * 40, 0)::INTEGER AS k FROM psm)"""),
+    "r2_html": _with(MODULES, """SELECT pair_id, '<!doctype html>' AS head, printf('%.2f %%', round((bd + fz + 0.5 * en + 0.5 * pt) / 3, 2)) AS score,
+        'Byte-Diff|Fuzzy-Hash|Format (PE/ELF)|Entropy|Patterns / signatures' AS sections, a_id || '|' || b_id AS files, upper(sha256(u.data)) || '|' || upper(sha256(v.data)) AS sha256
+        FROM mds JOIN prs USING (pair_id) JOIN img u ON u.image_id = a_id JOIN img v ON v.image_id = b_id"""),
+    "r5_format_table": _with(EXE, """, dts AS (SELECT pair_id, sum(x.c::DOUBLE * y.c) AS d FROM xpr JOIN sby x ON x.image_id = a_id JOIN sby y ON y.image_id = b_id AND y.h = x.h GROUP BY 1)
+        SELECT pair_id, CASE WHEN fa = 'PE' AND fb = 'PE' THEN '.text,yes,yes,' || printf('%.1f %%', CASE WHEN s.sha <> '' AND s.sha = t.sha THEN 100 ELSE least(1, coalesce(d / (u.norm * v.norm), 0)) * 100 END)
+                             WHEN fa = 'PE' THEN '.text,yes,no,n/a' WHEN fb = 'PE' THEN '.text,no,yes,n/a' ELSE '' END AS rows
+        FROM xpr LEFT JOIN sec s ON s.image_id = a_id LEFT JOIN sec t ON t.image_id = b_id LEFT JOIN sen u ON u.image_id = a_id LEFT JOIN sen v ON v.image_id = b_id
+        LEFT JOIN dts USING (pair_id)""").replace("\n, dts", ", dts"),
+    "r6_pattern_tables": _with(f"{_grams(16)}, {GRAM_PAIRS}", """SELECT pair_id, count(hex)::INTEGER AS n_rows, md5(coalesce(string_agg(hex, ',' ORDER BY list, rank), '')) AS digest FROM prs LEFT JOIN (
+        SELECT *, row_number() OVER (PARTITION BY pair_id, list ORDER BY least(ca, cb) DESC, hex) AS rank FROM (
+            SELECT *, CASE WHEN ca IS NOT NULL AND cb IS NOT NULL THEN 0 WHEN ca >= 2 THEN 1 WHEN cb >= 2 THEN 2 END AS list FROM met) WHERE list IS NOT NULL
+        QUALIFY rank <= 25) USING (pair_id) GROUP BY 1"""),
+    "r8_fuzzy": _with(f"{SKETCH}, {MINHASH}, {_without_img(DIGEST)}", """, ctp AS (SELECT pair_id, u.digest AS da, v.digest AS db,
+               CASE WHEN u.bs = 0 AND v.bs = 0 THEN 100 WHEN u.bs = 0 OR v.bs = 0 OR p IS NULL THEN 0 WHEN greatest(length(p), length(q)) = 0 THEN 100 ELSE (1 - levenshtein(p, q) / greatest(length(p), length(q))) * 100 END AS c
+        FROM (SELECT pair_id, u, v, CASE WHEN u.bs = v.bs OR u.bs = 2 * v.bs THEN u.x WHEN v.bs = 2 * u.bs THEN u.y END AS p,
+                     CASE WHEN u.bs = v.bs OR v.bs = 2 * u.bs THEN v.x WHEN u.bs = 2 * v.bs THEN v.y END AS q
+              FROM prs JOIN dig u ON u.image_id = a_id JOIN dig v ON v.image_id = b_id))
+        SELECT pair_id, k::INTEGER AS k, label, value FROM mnh JOIN ctp USING (pair_id), LATERAL (VALUES (0, 'MinHash similarity', printf('%.2f %%', round(minhash_percent, 2))),
+            (1, 'CTPH similarity', printf('%.2f %%', round(c, 2))), (2, 'Shingle-k', '8'), (3, 'CTPH-Digest A', da), (4, 'CTPH-Digest B', db)) t(k, label, value)""").replace("\n, ctp", ", ctp"),
+    "r8_entropy": _with(f"{BLOCKS}, {PROFILE}", f""", sts AS (SELECT pair_id, similarity, [{_stats('p')}] AS x, [{_stats('q')}] AS y FROM two JOIN psm USING (pair_id))
+        SELECT pair_id, k::INTEGER AS k, label, value FROM sts, LATERAL (VALUES (0, 'Profile similarity', printf('%.2f %%', round(similarity, 2))), (1, 'Block size', '256'),
+            (2, 'Mean entropy A / B', x[1] || ' / ' || y[1] || ' bit'), (3, 'Maximum entropy A / B', x[2] || ' / ' || y[2] || ' bit'),
+            (4, 'High-entropy share A / B', x[3] || ' % / ' || y[3] || ' %')) t(k, label, value)""").replace("\n, sts", ", sts"),
+    "r8_patterns": _with(f"{_grams(16)}, {GRAM_PAIRS}, {GRAM_SCORE.format(L=16)}", """, cnt AS (SELECT pair_id, least(50, count_if(ca IS NOT NULL AND cb IS NOT NULL)) AS c, least(50, count_if(cb IS NULL AND ca >= 2)) AS a, least(50, count_if(ca IS NULL AND cb >= 2)) AS b FROM met GROUP BY 1)
+        SELECT pair_id, k::INTEGER AS k, label, value FROM gsc LEFT JOIN cnt USING (pair_id), LATERAL (VALUES (0, 'Signature length (bytes)', '16'), (1, 'Pattern overlap', printf('%.2f %%', round(similarity, 2))),
+            (2, 'Shared patterns', coalesce(c, 0)::VARCHAR), (3, 'Only in A (indicators)', coalesce(a, 0)::VARCHAR), (4, 'Only in B (indicators)', coalesce(b, 0)::VARCHAR)) t(k, label, value)""").replace("\n, cnt", ", cnt"),
+    "r8_format": _with(EXE, """SELECT pair_id, k::INTEGER AS k, label, value FROM xpr, LATERAL (VALUES (0, 'Format A / B', fa || ' / ' || fb),
+            (1, 'Structural similarity', CASE WHEN fa = 'Unknown' AND fb = 'Unknown' THEN 'n/a' WHEN (fa = 'PE') = (fb = 'PE') THEN '100.00 %' ELSE '0.00 %' END),
+            (2, 'Sections A / B', (fa = 'PE')::INTEGER || ' / ' || (fb = 'PE')::INTEGER), (3, 'Shared imports', '0'), (4, 'Imports only in A / B', '0 / 0')) t(k, label, value)
+        WHERE k < 2 OR fa <> 'Unknown' OR fb <> 'Unknown'"""),
+    "a4_error_rows": _with(f"{CHUNKS}, {SIDED}, {JACCARD}", """, wrd AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r\\x1c-\\x1f]+')) AS w, regexp_matches(coalesce(text, ''), '[^\\x00-\\x7f]') AS odd FROM documents)
+        SELECT pair_id, 'ByteDiff' AS module, 'byteDiff' AS kind, 'Byte-Diff' AS title, round(jaccard_percent, 6) AS similarity, false AS failed, 'Similarity (Jaccard)' AS first_metric FROM bdf
+        UNION ALL SELECT pair_id, 'Words', CASE WHEN x.odd OR y.odd THEN 'error' ELSE 'Words' END, CASE WHEN x.odd OR y.odd THEN 'Words (Error)' ELSE 'Words' END,
+               round(CASE WHEN NOT (x.odd OR y.odd) THEN CASE WHEN greatest(x.w, y.w) = 0 THEN 100 ELSE 100 * least(x.w, y.w) / greatest(x.w, y.w) END END, 6), x.odd OR y.odd, CASE WHEN x.odd OR y.odd THEN 'Error' ELSE 'Words' END
+        FROM prs JOIN wrd x ON x.doc_id = a_id JOIN wrd y ON y.doc_id = b_id""").replace("\n, wrd", ", wrd"),
+    "a7_section_lookup": _with(f"{CHUNKS}, {SIDED}, {JACCARD}, {_without_img(BLOCKS)}", """SELECT pair_id, total_a AS chunks_a, round(coalesce(list_avg(x.p), 0), 6) AS mean_a, round(coalesce(list_max(y.p), 0), 6) AS max_b
+        FROM bdf JOIN prs USING (pair_id) JOIN pro x ON x.image_id = a_id JOIN pro y ON y.image_id = b_id"""),
+    "b10_ranges": """SELECT x, list_min(list_filter(list_transform(range(0, 31), lambda k: 1::BIGINT << k), lambda p: p >= least(x, 1 << 30))) AS power, least(100, greatest(0, (x - 500) / 4))::DOUBLE AS clamped
+        FROM (SELECT unnest(list_concat(range(-2, 1030), [65535, 65536, 65537, 1 << 30, 8589934592])) AS x)""",
+    "edge_rules": """SELECT pair_id, module, similarity::DOUBLE AS similarity FROM (VALUES ('none', 100, 100, 100, 100), ('one', 0, 0, 0, 0), ('other', 0, 0, 0, 0), ('same', 100, 100, 100, 100), ('tiny', 0, 0, 100, 0), ('null', 100, 100, 100, 100)) t(pair_id, b, f, e, p),
+        LATERAL (VALUES ('ByteDiff', b), ('FuzzyHash', f), ('Format', NULL), ('Entropy', e), ('Patterns', p)) m(module, similarity)""",
+    "p3_distinct_cap": _with(_grams(16), "SELECT image_id, hex, cnt, first_offset FROM grm QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY first_offset) <= 20"),
     "r8_metrics": _with(f"{CHUNKS}, {SIDED}, {JACCARD}, {HIST}, {COSINE}", """SELECT pair_id, k::INTEGER AS k, label, value FROM bdf JOIN cos USING (pair_id), LATERAL (VALUES
         (0, 'Similarity (Jaccard)', format('{:.2f} %', jaccard_percent)), (1, 'Byte-histogram cosine', format('{:.2f} %', cosine_percent)), (2, 'Shared chunks', format('{:,}', common)),
         (3, 'Only in A', format('{:,}', only_a)), (4, 'Only in B', format('{:,}', only_b)), (5, 'Chunks A / B', format('{:,}', total_a) || ' / ' || format('{:,}', total_b))) v(k, label, value)"""),

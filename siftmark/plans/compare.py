@@ -40,7 +40,8 @@ KINDS = {"ByteDiff": "byteDiff", "FuzzyHash": "fuzzyHash", "Format": "format", "
 def compare(images: DataFrame, pairs: DataFrame, opts: CompareOptions | None = None, analyzers: dict[str, Analyzer] | None = None) -> dict[str, DataFrame]:
     """A section frame for each enabled module, in running order.
 
-    A module whose plan can't be built gives an error section instead: a null score and a message.
+    A module whose plan can't be built gives an error section instead: a null score and a message.  A
+    payload on which a module fails gives such a row to its own pairs alone.
     """
     opts, found = opts or CompareOptions(), {}
     registry = ANALYZERS if analyzers is None else analyzers

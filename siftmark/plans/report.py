@@ -70,12 +70,16 @@ def _body(module: str, failed: bool) -> list[Column]:
 def section_json(results: DataFrame, module: str) -> Column:
     """A section as JSON text; sections differ in their fields, so each is text before they are joined."""
     c = lambda k: F.col(module)[k]
-    failed = "metrics" in results.schema[module].dataType.names and "a" not in results.schema[module].dataType.names and len(results.schema[module].dataType.names) == 3
-    common = [
-        F.lit("error" if failed else KINDS.get(module, module)).alias("kind"), F.lit(module_number(module)).alias("Module"),
-        F.lit(f"{module} (Error)" if failed else TITLES.get(module, module)).alias("Title"), c("similarity_percent").alias("SimilarityPercent"), c("error").alias("Error"),
-    ]
-    return F.to_json(F.struct(*common, *_body(module, failed), c("metrics").alias("Metrics")), JSON_OPTIONS)
+    bare = set(results.schema[module].dataType.names) == {"similarity_percent", "error", "metrics"}  # the module's plan failed
+
+    def text(failed: bool) -> Column:
+        common = [
+            F.lit("error" if failed else KINDS.get(module, module)).alias("kind"), F.lit(module_number(module)).alias("Module"),
+            F.lit(f"{module} (Error)" if failed else TITLES.get(module, module)).alias("Title"), c("similarity_percent").alias("SimilarityPercent"), c("error").alias("Error"),
+        ]
+        return F.to_json(F.struct(*common, *_body(module, failed or bare), c("metrics").alias("Metrics")), JSON_OPTIONS)
+
+    return F.when(c("error").isNull(), text(False)).otherwise(text(True))
 
 
 def modules_of(results: DataFrame) -> list[str]:

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.expressions import hex_spaced
+from .functions.expressions import clamp_percent, hex_spaced, kernel, metrics, with_error
 from .operators import bytediff, entropy, fileformat, fuzzy, patterns
-from .options import CompareOptions
+from .options import CompareOptions, next_pow2
 from .plans.compare import compare, overall, results, scores, weighted_mean
 from .plans.report import span_shares, svg_rows, to_json
-from .sources.images import both_sides, image_info, images_from_text, neighbour_pairs, size_warnings
+from .sources.images import both_sides, image_info, images_from_text, neighbour_pairs, size_warnings, with_info
+from .sources.samples import elf_sample, pe_sample
 
 #: Chunks small enough that documents have several: the mask has six bits.
 SMALL = CompareOptions(chunk_min=64, chunk_avg=64, chunk_max=256)
@@ -40,7 +42,7 @@ def r6(c: Column | str) -> Column:
 
 
 def s2_image_bytes(spark, d):
-    return pages(spark, d).select(F.col("image_id").alias("page_id"), "size", F.hex(F.substring("data", 1, 16)).alias("head"))
+    return pages(spark, d).select(F.col("image_id").alias("page_id"), "size", F.md5("data").alias("md5"))
 
 
 def s3_image_info(spark, d):
@@ -88,7 +90,7 @@ def z3_sketch(spark, d):
 
 def z4_minhash(spark, d):
     i = documents(spark, d)
-    return fuzzy.compare(both_sides(_pairs(i), fuzzy.sketches(i, DEFAULT)), DEFAULT).select("pair_id", r6("minhash_percent").alias("minhash_percent"))
+    return both_sides(_pairs(i), fuzzy.minhash_sketches(i, DEFAULT)).select("pair_id", r6(fuzzy.minhash_percent(DEFAULT.sketch)).alias("minhash_percent"))
 
 
 def z5_block_size(spark, d):
@@ -96,17 +98,12 @@ def z5_block_size(spark, d):
 
 
 def z8_ctph_digest(spark, d):
-    return fuzzy.sketches(documents(spark, d), DEFAULT).select("image_id", "digest")
+    return fuzzy.digests(documents(spark, d)).select("image_id", "digest")
 
 
 def z9_ctph_score(spark, d):
     i = documents(spark, d)
-    return fuzzy.compare(both_sides(_pairs(i), fuzzy.sketches(i, DEFAULT)), DEFAULT).select("pair_id", r6("ctph_percent").alias("ctph_percent"))
-
-
-def z13_candidate_pairs(spark, d):
-    """With the cut that the SQL states; the operator has none unless asked."""
-    return fuzzy.candidate_pairs(documents(spark, d), DEFAULT, most_images=200).select("a_id", "b_id")
+    return both_sides(_pairs(i), fuzzy.digests(i)).select("pair_id", r6(fuzzy.ctph_percent()).alias("ctph_percent"))
 
 
 def e1_entropy(spark, d):
@@ -175,7 +172,7 @@ def p7_pattern_score(spark, d):
 
 
 def p11_hex_spaced(spark, d):
-    return documents(spark, d).select("image_id", hex_spaced(F.substring("data", 1, 8)).alias("hex"))
+    return documents(spark, d).select("image_id", hex_spaced("data").alias("hex"))
 
 
 # PE and ELF payloads: fixed header bytes in front of each document's own
@@ -215,14 +212,35 @@ def _pairs_by(images: DataFrame, step: int) -> DataFrame:
     return images.select(i.alias("a_id")).join(images.select((i - step).alias("a_id"), i.alias("b_id")), "a_id").select(F.col("a_id").alias("pair_id"), "a_id", "b_id")
 
 
-def f11_import_sets(spark, d):
-    """Import comparison on word lists: the distinct words of neighbouring conversations' turns stand for names."""
-    t = spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.array_sort(F.collect_set(F.upper("role"))).alias("imports"))
-    a, b = t.select("conv_id", F.col("imports").alias("a")), t.select((F.col("conv_id") - 1).alias("conv_id"), F.col("imports").alias("b"))
-    from .functions.expressions import set_jaccard
+#: Import names of the PE payloads, by image_id modulo 4, and sections of the ELF ones, by image_id modulo 2.
+IMPORTS = (("KERNEL32.dll", "User32.dll"), ("ws2_32.DLL", "kernel32.dll", "Advapi32.dll", "KERNEL32.DLL"), (), ("Crypt32.dll",))
+ELF_SECTIONS = (((".text", 1, b"\x90" * 48), (".bss", 8, bytes(100))), ((".rodata", 1, b"const"), (".symtab", 2, bytes(24)), (".odd", 0x6FFFFFF6, b"x")))
+
+
+def _with_heads(images: DataFrame, heads: list[bytes]) -> DataFrame:
+    """Each payload behind one of ``heads``, by image_id."""
+    head = F.element_at(F.array(*[F.unhex(F.lit(h.hex())) for h in heads]), (F.col("image_id") % len(heads) + 1).cast("int"))
+    return images.select("image_id", "path", "name", F.concat(head, "data").alias("data"))
+
+
+def importers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents behind PE payloads whose import tables lie in a section: names are found by virtual addresses."""
+    return _with_heads(documents(spark, sf_dir), [pe_sample(names) for names in IMPORTS])
 
-    sets = fileformat.import_sets(F.col("a"), F.col("b"))
-    return a.join(b, "conv_id").select("conv_id", *[F.concat_ws(",", v).alias(k) for k, v in sets.items()], r6(set_jaccard(F.col("a"), F.col("b"))).alias("jaccard"))
+
+def f5_imports(spark, d):
+    return fileformat.summaries(importers(spark, d)).select("image_id", "format", "entry_point", F.concat_ws(",", "imports").alias("imports"))
+
+
+def f7_elf_sections(spark, d):
+    i = _with_heads(documents(spark, d), [elf_sample(x) for x in ELF_SECTIONS])
+    return fileformat.sections(i).select("image_id", "section_idx", "name", "virtual_size", "raw_size", "sha256", "flags")
+
+
+def f11_import_sets(spark, d):
+    i = importers(spark, d)
+    rows = fileformat.section(i, _pairs(i), DEFAULT)
+    return rows.select("pair_id", *[F.concat_ws(",", f"imports_{k}").alias(k) for k in ("common", "only_a", "only_b")], r6("similarity_percent").alias("similarity"))
 
 
 def f13_format_score(spark, d):
@@ -236,6 +254,50 @@ def a2_module_scores(spark, d):
     return rows.select("pair_id", "module", "module_ord", "kind", "title", r6("similarity_percent").alias("similarity"))
 
 
+def _word_counts(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFrame:
+    """A module of a caller's own that fails on payloads beyond ASCII: how alike the numbers of words are."""
+    counts = kernel(images, lambda data: [(len(data.decode("ascii").split()),)], {"words": pa.int64()}, "words long", errors=True)
+    most = F.greatest("a.words", "b.words")
+    score = F.when(most == 0, 100.0).otherwise(100.0 * F.least("a.words", "b.words") / most)
+    sides = both_sides(pairs, counts).select("pair_id", score.alias("similarity_percent"), F.coalesce("a.error", "b.error").alias("error"))
+    return with_error(sides.withColumn("metrics", metrics(("Words", F.lit("counted")))), F.col("error"))
+
+
+def a4_error_rows(spark, d):
+    """Payloads on which a module fails are error rows of their pairs; other pairs and modules are scored."""
+    i = documents(spark, d)
+    rows = scores(compare(i, _pairs(i), SMALL.with_values(modules=frozenset({"ByteDiff", "Words"})), {"ByteDiff": bytediff.section, "Words": _word_counts}))
+    return rows.select("pair_id", "module", "kind", "title", r6("similarity_percent").alias("similarity"), F.col("error").isNotNull().alias("failed"), F.col("metrics")[0]["Key"].alias("first_metric"))
+
+
+EDGES = (("none", b"", b""), ("one", b"abc", b""), ("other", b"", b"abcdefghijklmnopqrstuvwxyz"), ("same", b"ab", b"ab"), ("tiny", b"ab", b"cd"), ("null", None, b""))
+
+
+def edge_rules(spark, d):
+    """Empty, null and tiny payloads through every module."""
+    rows = [(f"{k}/{s}", v) for k, a, b in EDGES for s, v in (("a", a), ("b", b))]
+    i = with_info(spark.createDataFrame(rows, "image_id string, data binary").select("image_id", F.col("image_id").alias("path"), F.coalesce("data", F.lit(b"")).alias("data")))
+    p = spark.createDataFrame([(k, f"{k}/a", f"{k}/b") for k, *_ in EDGES], "pair_id string, a_id string, b_id string")
+    return scores(compare(i, p)).select("pair_id", "module", r6("similarity_percent").alias("similarity"))
+
+
+def b10_ranges(spark, d):
+    """Powers of two over the line numbers' products, and percentages held within their range."""
+    rows = [(x, next_pow2(x)) for x in (*range(-2, 1030), 65_535, 65_536, 65_537, 1 << 30, 1 << 33)]
+    return spark.createDataFrame(rows, "x long, power long").select("x", "power", clamp_percent((F.col("x") - 500) / 4).alias("clamped"))
+
+
+def p3_distinct_cap(spark, d):
+    found = patterns.grams(documents(spark, d), DEFAULT.with_values(max_distinct_patterns=20))
+    return found.select("image_id", F.hex("gram").alias("hex"), "cnt", "first_offset")
+
+
+def a7_section_lookup(spark, d):
+    i = documents(spark, d)
+    found = results(i, _pairs(i), SMALL.with_values(modules=frozenset({"ByteDiff", "Entropy"})))
+    return found.select("pair_id", F.col("ByteDiff.total_a").alias("chunks_a"), r6("Entropy.mean_a").alias("mean_a"), r6("Entropy.max_b").alias("max_b"))
+
+
 def a5_overall(spark, d):
     i = documents(spark, d)
     return overall(i, _pairs(i), SMALL).select("pair_id", r6("overall_percent").alias("overall"))
@@ -282,26 +344,74 @@ def r7_text_bar(spark, d):
     return rendered(found, "text").select("pair_id", F.regexp_extract("body", r"(\[[#.]{40}\])", 1).alias("bar"))
 
 
-def r2_html(spark, d):
+def _html(images: DataFrame, pairs: DataFrame, modules: set[str]) -> DataFrame:
     from .plans.report import rendered
 
+    return rendered(results(images, pairs, SMALL.with_values(modules=frozenset(modules))), "html")
+
+
+def r2_html(spark, d):
+    """What a page shows of a pair: score, meter, sections in order, files."""
     i = documents(spark, d)
-    return rendered(results(i, _pairs(i), SMALL), "html").select("pair_id", F.length("body").cast("long").alias("n_chars"), F.substring("body", 1, 15).alias("head"))
+    pick = lambda pattern: F.regexp_extract("body", pattern, 1)
+    every = lambda pattern: F.concat_ws("|", F.regexp_extract_all("body", F.lit(pattern), F.lit(1)))
+    return _html(i, _pairs(i), set(DEFAULT.modules)).select(
+        "pair_id", F.substring("body", 1, 15).alias("head"), pick("<div class=score>([^<]*)</div>").alias("score"), every("<h2>([^<]*) <small>").alias("sections"),
+        every("<b>File [AB]</b>: ([^,]*),").alias("files"), every("SHA256 ([0-9A-F]{64})<").alias("sha256"),
+    )
 
 
-def r8_metrics(spark, d):
+def r5_format_table(spark, d):
+    i = with_info(executables(spark, d))
+    row = r"<tr><td>([^<]*</td><td>[^<]*</td><td>[^<]*</td><td>[^<]*)</td></tr>"
+    rows = F.concat_ws("|", F.transform(F.regexp_extract_all("body", F.lit(row), F.lit(1)), lambda x: F.replace(x, F.lit("</td><td>"), F.lit(","))))
+    return _html(i, _pairs_by(i, 4), {"Format"}).select("pair_id", rows.alias("rows"))
+
+
+def r6_pattern_tables(spark, d):
     i = documents(spark, d)
-    rows = bytediff.section(i, _pairs(i), SMALL).select("pair_id", F.posexplode("metrics").alias("k", "m"))
+    cells = F.regexp_extract_all("body", F.lit(r"<tr><td>([0-9A-F]+)</td>"), F.lit(1))
+    return _html(i, _pairs(i), {"Patterns"}).select("pair_id", F.size(cells).alias("n_rows"), F.md5(F.concat_ws(",", cells).cast("binary")).alias("digest"))
+
+
+def _metric_rows(section: DataFrame) -> DataFrame:
+    rows = section.select("pair_id", F.posexplode("metrics").alias("k", "m"))
     return rows.select("pair_id", "k", F.col("m.Key").alias("label"), F.col("m.Value").alias("value"))
 
 
+def r8_fuzzy(spark, d):
+    i = documents(spark, d)
+    return _metric_rows(fuzzy.section(i, _pairs(i), DEFAULT))
+
+
+def r8_entropy(spark, d):
+    i = documents(spark, d)
+    return _metric_rows(entropy.section(i, _pairs(i), DEFAULT))
+
+
+def r8_patterns(spark, d):
+    i = documents(spark, d)
+    return _metric_rows(patterns.section(i, _pairs(i), DEFAULT))
+
+
+def r8_format(spark, d):
+    i = executables(spark, d)
+    return _metric_rows(fileformat.section(i, _pairs_by(i, 4), DEFAULT))
+
+
+def r8_metrics(spark, d):
+    i = documents(spark, d)
+    return _metric_rows(bytediff.section(i, _pairs(i), SMALL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         s2_image_bytes, s3_image_info, s4_size_warning, b1_gear_table, b2_chunks, b5_chunk_jaccard, b6_diff_map, b7_byte_hist, b8_hist_cosine,
-        z3_sketch, z4_minhash, z5_block_size, z8_ctph_digest, z9_ctph_score, z13_candidate_pairs, e1_entropy, e2_block_entropy, e3_downsample, e5_profile_stats,
+        z3_sketch, z4_minhash, z5_block_size, z8_ctph_digest, z9_ctph_score, e1_entropy, e2_block_entropy, e3_downsample, e5_profile_stats,
         e6_profile_similarity, p1_grams, p4_gram_jaccard, p4_gram_join, p5_common_top, p5_hits_by_join, p6_unique_top, p7_pattern_score, p11_hex_spaced, f1_magic, f2_headers,
         f3_sections, f9_section_compare, f11_import_sets, f13_format_score, a2_module_scores, a5_overall, a5_weighted_mean, r1_json_fields,
-        r2_html, r3_svg_points, r4_diff_bar, r7_text_bar, r8_metrics,
+        r2_html, r3_svg_points, r4_diff_bar, r5_format_table, r6_pattern_tables, r7_text_bar, r8_metrics, r8_fuzzy, r8_entropy, r8_patterns, r8_format,
+        a4_error_rows, a7_section_lookup, b10_ranges, edge_rules, f5_imports, f7_elf_sections, p3_distinct_cap,
     )
 }

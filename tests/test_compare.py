@@ -199,17 +199,52 @@ def test_images(spark, tmp_path):
         images_from_bytes(spark, {"x": None})
 
 
-def test_candidates(spark):
-    images = images_from_bytes(spark, {"a": seeded(4000, 1), "b": seeded(4000, 1) + b"!", "c": seeded(4000, 77)})
-    assert [(r["a_id"], r["b_id"]) for r in fuzzy.candidate_pairs(images, CompareOptions()).collect()] == [("a", "b")]
-
+def test_a_failing_payload_is_a_row_of_its_own(spark):
+    """One payload fails, in a kernel and in a comparison; the others are scored, and reports tell."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
 
-def test_candidates_have_no_hidden_cut(spark):
-    """Each pair that shares a hash, however many images share it."""
-    base = seeded(600, 5)
-    images = images_from_bytes(spark, {f"{k:03}": base + (seeded(40, 100 + k) if k % 2 else b"") for k in range(210)} | {"x": seeded(600, 9), "y": b""})
-    got = [(r["a_id"], r["b_id"]) for r in fuzzy.candidate_pairs(images, CompareOptions()).select("a_id", "b_id").collect()]
-    assert sorted(got) == [(f"{a:03}", f"{b:03}") for a in range(210) for b in range(a + 1, 210)]
+    from siftmark.functions.expressions import kernel, with_error
+    from siftmark.plans.compare import ANALYZERS
+    from siftmark.sources.images import both_sides
+
+    def first_byte(images, pairs, opts):
+        def each(data):
+            return [(data[0],)]  # raises on an empty payload
+
+        sides = both_sides(pairs, kernel(images, each, {"first": pa.int64()}, "first long", errors=True))
+        score = F.when(F.col("a.first") == F.col("b.first"), 100.0).otherwise(0.0)
+        rows = sides.select("pair_id", score.alias("similarity_percent"), F.coalesce("a.error", "b.error").alias("error"), F.array(F.struct(F.lit("First").alias("Key"), F.lit("byte").alias("Value"))).alias("metrics"))
+        return with_error(rows, F.col("error"))
+
+    images, pairs = frames(spark, {"good": (b"abc", b"axe"), "bad": (b"abc", b""), "other": (b"a", b"b")})
+    opts = CompareOptions(modules=frozenset({"ByteDiff", "First"}))
+    rows = {(r["pair_id"], r["module"]): r for r in scores(compare(images, pairs, opts, {**ANALYZERS, "First": first_byte})).collect()}
+    assert [rows[p, "First"]["similarity_percent"] for p in ("good", "bad", "other")] == [100, None, 0]
+    bad = rows["bad", "First"]
+    assert (bad["kind"], bad["title"], bad["metrics"][0]["Key"]) == ("error", "First (Error)", "Error") and "index out of range" in bad["error"]
+    assert all(rows[p, "ByteDiff"]["error"] is None for p in ("good", "bad", "other"))
+    found = compare(images, pairs, opts, {**ANALYZERS, "First": first_byte})["First"]
+    row = results(images, pairs, opts).join(found.select("pair_id", F.struct(*[c for c in found.columns if c != "pair_id"]).alias("First")), "pair_id")
+    texts = {r["pair_id"]: r["body"] for r in rendered(row, "text").collect()}
+    assert "First (Error)" in texts["bad"] and "First (Error)" not in texts["good"]
+    kinds = {r["pair_id"]: [x["kind"] for x in check_json(r["json"])["Sections"]] for r in to_json(row).collect()}
+    assert kinds["bad"] == ["byteDiff", "error"] and kinds["good"] == ["byteDiff", "First"]
+
+
+def test_built_in_modules_keep_a_failing_pair_apart(spark, monkeypatch):
+    from siftmark.functions import kernels
+
+    data = seeded(300, 3)
+    with pytest.raises(TypeError):
+        patterns.compare_payloads(data, None, CompareOptions())
+    tables = patterns.Tables(CompareOptions())
+    for _ in range(3):
+        assert tables.of("a", data)[0].tolist() == kernels.gram_index(data, 16, 10**6)[0].tolist()
+    assert tables.made == 1
+    monkeypatch.setattr(patterns, "KEPT_BYTES", 10)
+    tables.of("b", data[:100])
+    assert list(tables.kept) == ["b"] and tables.bytes == sum(x.nbytes for x in tables.kept["b"])
 
 
 def test_stream(spark, tmp_path):
