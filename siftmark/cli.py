@@ -12,19 +12,23 @@ from dataclasses import dataclass, field
 
 from .options import CompareOptions, parse_modules
 
-USAGE = """siftmark: compare two binary files
-
-Usage: python -m siftmark.cli <fileA> <fileB> [options]
-
-  --json <path>          write a JSON report
-  --html <path>          write a self-contained HTML report
-  --pattern-len <n>      pattern length in bytes (default 16)
-  --min-occurrences <n>  least occurrences of a pattern (default 2)
-  --block-size <n>       target size of content-defined chunks (default 2048)
-  --shingle-k <n>        MinHash window (default 8)
-  --entropy-block <n>    entropy block in bytes (default 256)
-  --modules <a,b,...>    bytediff, fuzzy, format, entropy, patterns
-  -h, --help             this help
+USAGE = """siftmark: how alike are two files, byte for byte?
+
+    python -m siftmark.cli FIRST SECOND [settings]
+
+Reports (the console always gets one):
+  --json FILE            all sections and figures as JSON
+  --html FILE            one page that needs nothing else
+
+Settings, each with a whole number:
+  --pattern-len N        length of the byte patterns that are counted; 16
+  --min-occurrences N    repeats from which a one-sided pattern is listed; 2
+  --block-size N         mean length that chunks are cut towards; 2048
+  --shingle-k N          bytes of a sketched window; 8
+  --entropy-block N      bytes that share one entropy value; 256
+
+  --modules LIST         any of bytediff, fuzzy, format, entropy, patterns, by commas
+  -h, --help             show this and stop
 """
 # Integer options, the setting each changes, and its least value.
 INTEGERS = {"--pattern-len": ("pattern_length", 1), "--min-occurrences": ("min_occurrences", 1), "--block-size": ("chunk_avg", 8), "--shingle-k": ("shingle_k", 1), "--entropy-block": ("entropy_block", 1)}
@@ -54,9 +58,9 @@ def parse(argv: Sequence[str]) -> Arguments:
             out.files.append(arg)
             continue
         if arg not in ("--json", "--html", "--modules", *INTEGERS):
-            raise UsageError(f"Unknown option: {arg}")
+            raise UsageError(f"{arg} is not a setting of this command")
         if not rest:
-            raise UsageError(f"Option {arg} requires a value.")
+            raise UsageError(f"nothing follows {arg}")
         value = rest.pop(0)
         if arg in INTEGERS:
             name, least = INTEGERS[arg]
@@ -65,7 +69,7 @@ def parse(argv: Sequence[str]) -> Arguments:
             except ValueError:
                 settings[name] = least - 1
             if settings[name] < least:
-                raise UsageError(f"Option {arg} requires an integer >= {least}.")
+                raise UsageError(f"{arg} takes a whole number from {least} on, not {value!r}")
         elif arg == "--modules":
             try:
                 settings["modules"] = parse_modules(value)
@@ -74,7 +78,7 @@ def parse(argv: Sequence[str]) -> Arguments:
         else:
             setattr(out, arg[2:], value)
     if len(out.files) != 2:
-        raise UsageError(f"Expected exactly two input files; received {len(out.files)}.")
+        raise UsageError(f"two files are compared; {len(out.files)} were named")
     out.options = CompareOptions().with_values(**settings)
     return out
 
@@ -100,7 +104,7 @@ def main(argv: Sequence[str] | None = None) -> int:
         return 0
     missing = [f for f in args.files if not os.path.isfile(f)]
     if missing:
-        print(f"File not found: {missing[0]}", file=sys.stderr)
+        print(f"no such file: {missing[0]}", file=sys.stderr)
         return 1
     from pyspark.sql import SparkSession
 

@@ -78,5 +78,5 @@ def parse_modules(names: str) -> frozenset[str]:
     asked = [n.strip() for n in names.split(",") if n.strip()]
     unknown = [n for n in asked if n.lower() not in MODULE_ALIASES]
     if unknown:
-        raise ValueError(f"Unknown module: {unknown[0]}")
+        raise ValueError(f"there is no module {unknown[0]!r}")
     return frozenset(MODULE_ALIASES[n.lower()] for n in asked) or frozenset(MODULES)
