@@ -58,17 +58,13 @@ def drop_boilerplate(pages: DataFrame, id_col: str, host_col: str, text_col: str
     """
     # the row travels as one struct: its column names can't clash with those made here
     base = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.split(text_col, "\n").alias("_lines"), F.col(host_col).alias("_host"))
-    keyed = pages.select(F.col(host_col).alias("_host"), F.xxhash64(text_col).alias("_text"), F.array_distinct(F.transform(F.split(text_col, "\n"), _key)).alias("_keys"))
-    if copies_once:
-        keyed = keyed.dropDuplicates(["_host", "_text"])
-    totals = keyed.groupBy("_host").agg(F.count("*").alias("_pages"))
-    held = (
-        keyed.select("_host", F.explode("_keys").alias("_key"))
-        .filter("_key is not null")
-        .groupBy("_host", "_key")
-        .agg(F.count("*").alias("_held"))
-        .filter(F.col("_held") >= min_pages)
-    )
+    host, text = F.col(host_col).alias("_host"), F.xxhash64(text_col).alias("_text")
+    keys = F.array_distinct(F.transform(F.split(text_col, "\n"), _key))
+    counted, lines = pages.select(host, text), pages.select(host, text, F.explode(keys).alias("_key")).filter("_key is not null")
+    if copies_once:  # numbers alone meet: a text's lines are told apart by its hash
+        counted, lines = counted.distinct(), lines.distinct()
+    totals = counted.groupBy("_host").agg(F.count("*").alias("_pages"))
+    held = lines.groupBy("_host", "_key").agg(F.count("*").alias("_held")).filter(F.col("_held") >= min_pages)
     totals = stored(totals, "hosts")
     common = held.join(totals, held["_host"].eqNullSafe(totals["_host"])).filter(F.col("_held") > ratio * F.col("_pages"))
     # at most mean lines a page / ratio keys a host
