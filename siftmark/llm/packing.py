@@ -70,9 +70,9 @@ class WordIds(dict):
     are those of its blank-separated chunks, one after another.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, most: int = CACHE_WORDS):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.most = tokenizer, most
         self.mark = next(t.content for t in tokenizer.get_added_tokens_decoder().values() if t.special)
         self.mark_id = tokenizer.token_to_id(self.mark)
         self.todo: set[str] = set()
@@ -119,7 +119,7 @@ class WordIds(dict):
         chunks = text.replace("\n", " ").split(" ")
         found = list(map(self.__getitem__, chunks))
         if self.todo:
-            if len(self) > CACHE_WORDS:
+            if len(self) > self.most:
                 self.clear()
                 self.todo = set(chunks)
             self.learn()
@@ -127,8 +127,8 @@ class WordIds(dict):
         return b"".join(found)
 
 
-def worker_words(tokenizer_file: str) -> WordIds | WholeIds:
-    """The tokenizer of this Python worker, and its cache: it outlives a task, and stays within CACHE_WORDS."""
+def worker_words(tokenizer_file: str, cache_words: int = CACHE_WORDS) -> WordIds | WholeIds:
+    """The tokenizer of this Python worker, and its cache: it outlives a task, and stays within ``cache_words``."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -136,17 +136,18 @@ def worker_words(tokenizer_file: str) -> WordIds | WholeIds:
 
     def make() -> WordIds | WholeIds:
         with open(tokenizer_file, encoding="utf-8") as f:
-            kind = WordIds if splits_at_blanks(f.read()) else WholeIds
-        return kind(Tokenizer.from_file(tokenizer_file))
+            known = splits_at_blanks(f.read())
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        return WordIds(tokenizer, cache_words) if known else WholeIds(tokenizer)
 
-    return worker_cache(f"ids {tokenizer_file}", make)
+    return worker_cache(f"ids {tokenizer_file} {cache_words}", make)
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1, cache_words: int = CACHE_WORDS) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` of every document's ids and end id, and ``row``, a number of its own."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = worker_words(tokenizer_file)
+        words = worker_words(tokenizer_file, cache_words)
         end, seen = np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows: list[tuple] = []
@@ -287,9 +288,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out.drop("row", "reopened", "part", "bins", "bound", "open_bins")
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """Pieces of all documents, each with its sequence and its gapless place there."""
-    return pack_pieces(stored(tokenized_pieces(docs, tokenizer_file, capacity, end_id), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Pieces of all documents, each with its sequence and its gapless place there; a worker remembers the ids of ``cache_words`` words."""
+    return pack_pieces(stored(tokenized_pieces(docs, tokenizer_file, capacity, end_id, cache_words), "pieces"), capacity)
 
 
 __all__ = ["best_fit_decreasing", "lower_bound", "pack_documents", "pack_pieces", "tokenized_pieces"]

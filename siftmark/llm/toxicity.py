@@ -131,8 +131,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, steps: int =
     n = len(rows)
     ids, doc = np.concatenate(rows), np.repeat(np.arange(n, dtype=np.int32), lengths)
     rows = None  # the driver's memory holds one copy
-    c1 = np.bincount(ids[labels[doc] == 1], minlength=BUCKETS)
-    c0 = np.bincount(ids[labels[doc] == 0], minlength=BUCKETS)
+    toxic = labels == 1  # a byte a row, where millions of ids are looked up
+    c1 = np.bincount(ids[toxic[doc]], minlength=BUCKETS)
+    c0 = np.bincount(ids, minlength=BUCKETS) - c1
     strong = np.flatnonzero(evidence(c1, c0, n1, n0) >= least_g2).astype(np.int32)
     # rows that a sure term explains say nothing of pairs
     sure = strong[(c1[strong] + 0.5) / (c1[strong] + c0[strong] + 1) >= sure_share]
@@ -140,12 +141,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, steps: int =
     open_rows[doc[np.isin(ids, sure)]] = False
     inside = open_rows[doc]
     left, rest = ids[inside], labels[open_rows]
-    one = labels[doc[inside]] == 1
-    own = evidence(np.bincount(left[one], minlength=BUCKETS), np.bincount(left[~one], minlength=BUCKETS), int(rest.sum()), int(len(rest) - rest.sum()))
+    one = np.bincount(left[toxic[doc[inside]]], minlength=BUCKETS)
+    own = evidence(one, np.bincount(left, minlength=BUCKETS) - one, int(rest.sum()), int(len(rest) - rest.sum()))
+    del inside, one
     seeds = np.flatnonzero(own >= seed_g2)
     seeds = seeds[np.argsort(-own[seeds], kind="stable")].astype(np.int32)
     pairs = partners(left, np.concatenate(([0], np.cumsum(lengths[open_rows]))), rest, seeds, pair_g2, pair_ids)
     terms = np.union1d(strong, pairs)
+    del left
     known = np.isin(ids, terms)
     at, doc = np.searchsorted(terms, ids[known]), doc[known]
     m = len(terms)
