@@ -67,7 +67,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is its end id alone; a null id is kept; rows that repeat are packed as often as they
     occur; long texts are cut into pieces of 4096.  Other columns are not read.  An empty table gives no rows.
     """
-    return pack_documents(docs, tokenizer_path(), capacity=4096, end_id=1)
+    return pack_documents(docs, tokenizer_path(), capacity=4096, end_id=1, cache_words=250_000)
 
 
 STAGES = [
