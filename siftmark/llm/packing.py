@@ -31,7 +31,7 @@ from .common import stored, worker_cache
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries of a worker's word cache; it is emptied when full, so memory is bounded.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 #: ASCII signs but the apostrophe, which starts contractions, and < and |, which special tokens hold.
 CLOSING = "!\"#$%&()*+,-./:;=>?@[\\]^_`{}~"
 # The text handling of a tokenizer that drops white space, makes lower case and keeps letters, digits and signs apart.
