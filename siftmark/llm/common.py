@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,19 @@ def worker_cache(name: str, make):
     return _KEPT[1]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for ``mapInArrow``, after which the worker returns to the system what it no longer uses: idle workers stay small."""
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim:
+            trim(0)
+
+    return done
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of 4 MB instead of the default 64 MB, for the session: texts are long, and workers several.
 
@@ -133,4 +149,4 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-__all__ = ["HOT_PARTS", "components", "discard", "fresh_path", "lookup", "shared_folder", "stored"]
+__all__ = ["HOT_PARTS", "components", "discard", "fresh_path", "lookup", "shared_folder", "stored", "tidy"]

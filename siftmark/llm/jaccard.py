@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_PARTS, components, discard, lookup, stored, worker_cache
+from .common import HOT_PARTS, components, discard, lookup, stored, tidy, worker_cache
 
 CACHE_WORDS = 100_000
 #: Classes whose pieces a task remembers as sent; forgetting only costs repeats.
@@ -186,7 +186,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                 [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc_id", "text_id", "n", "class"]
             )
 
-    return _texts(docs).mapInArrow(run, "doc_id long, text_id long, n long, class long")
+    return _texts(docs).mapInArrow(tidy(run), "doc_id long, text_id long, n long, class long")
 
 
 def _keys(docs: DataFrame, words: int, bands: Bands, hot: dict[int, int]) -> DataFrame:
@@ -224,7 +224,7 @@ def _keys(docs: DataFrame, words: int, bands: Bands, hot: dict[int, int]) -> Dat
             if held:
                 yield salted(np.concatenate(keys), np.concatenate(ids))
 
-    return docs.select("text").mapInArrow(run, "key long, salt long, class long")
+    return docs.select("text").mapInArrow(tidy(run), "key long, salt long, class long")
 
 
 def _hot_keys(docs: DataFrame, words: int, bands: Bands) -> dict[int, int]:
@@ -269,7 +269,7 @@ def _token_table(docs: DataFrame, wanted: DataFrame, words: int, count: int) ->
     texts = _texts(docs)
     # by both: ids may be null or repeat with other texts, and copies of a text are many
     rows = texts.join(few, texts["doc_id"].eqNullSafe(few["doc_id"]) & (texts["text_id"] == few["text_id"])).select("class", "text")
-    return rows.mapInArrow(run, "class long, n long, sketch array<long>, tokens binary")
+    return rows.mapInArrow(tidy(run), "class long, n long, sketch array<long>, tokens binary")
 
 
 def _near(pairs: DataFrame, sizes: DataFrame, tokens: DataFrame, bands: Bands, few: bool) -> DataFrame:
@@ -310,7 +310,7 @@ def _verified(pairs: DataFrame, tokens: DataFrame, bands: Bands) -> DataFrame:
 
     x = sets.select(F.col("class").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def _pairs_in_runs(rows: DataFrame) -> DataFrame:
@@ -336,7 +336,7 @@ def _pairs_in_runs(rows: DataFrame) -> DataFrame:
         if open_.any():
             yield pa.RecordBatch.from_arrays([pa.array(ident[i[open_]]), pa.array(ident[j[open_]])], names=["a", "b"])
 
-    return rows.mapInArrow(pairs, "a long, b long")
+    return rows.mapInArrow(tidy(pairs), "a long, b long")
 
 
 def _near_in_blocks(rows: DataFrame, bands: Bands) -> DataFrame:
@@ -410,7 +410,7 @@ def _near_in_blocks(rows: DataFrame, bands: Bands) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def _linked(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:

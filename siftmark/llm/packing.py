@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, worker_cache
+from .common import stored, tidy, worker_cache
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries of a worker's word cache; it is emptied when full, so memory is bounded.
@@ -162,7 +162,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096,
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
-    return docs.select("doc_id", "text").mapInArrow(pieces, f"{PIECES}, row long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(pieces), f"{PIECES}, row long")
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import tidy, worker_cache
 
 #: Labelled rows the machine is fitted on at most, taken in the order of a hash of doc_id.
 MAX_TRAINING_ROWS = 8_000
@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS,
             ids = [known.of(t or "").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "toxic", "ids"])
 
-    rows = texts.mapInArrow(terms, "doc_id long, toxic int, ids binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("ids").alias("ids"))
+    rows = texts.mapInArrow(tidy(terms), "doc_id long, toxic int, ids binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("ids").alias("ids"))
     # max_rows rows meet in one task; the driver takes those whose terms fit its memory
     order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     fitting = rows.withColumn("upto", F.sum(F.octet_length("ids")).over(order)).filter(F.col("upto") <= 4 * max_ids).select("toxic", "ids").collect()
@@ -219,7 +219,7 @@ def score_documents(docs: DataFrame, machine: Machine, threshold: float = 0.7) -
             scores = [machine.score(known.of(t.as_py() or "")) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
 
-    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(score, "doc_id long, held_out boolean, score double")
+    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(tidy(score), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -240,4 +240,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
             clean = [machine.score(known.of(t.as_py() or "")) < threshold for t in batch.column(text_at)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
