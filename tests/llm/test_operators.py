@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftmark.llm import jaccard, linededup, media, mixing, packing, secrets, sharding, topk, toxicity, warc
-from siftmark.llm.common import components, stored
+from siftmark.llm.common import components, stored, tidy
 from siftmark.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -980,3 +980,10 @@ def test_training_is_bounded_and_takes_one_row_an_id(spark):
         toxicity.fit = fit
     assert len(seen[0][0]) == 300 == len(seen[0][1]) and sum(map(len, seen[1][0])) <= 2000 and len(seen[1][0]) > 5
     assert toxicity.train(docs, marks).score(np.empty(0, np.int32)) < 0.5
+
+
+def test_tidy_hands_every_batch_on(spark):
+    rows = spark.range(0, 1000, numPartitions=4)
+    out = rows.mapInArrow(tidy(lambda batches: iter(batches)), "id long")
+    assert sorted(r["id"] for r in out.collect()) == list(range(1000))
+    assert rows.limit(0).mapInArrow(tidy(lambda batches: iter(batches)), "id long").count() == 0
