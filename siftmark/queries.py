@@ -140,11 +140,9 @@ def p4_gram_jaccard(spark, d):
 
 
 def p4_gram_join(spark, d):
-    """The same by joins of pattern tables."""
+    """The same by joins of pattern tables, packed."""
     i = documents(spark, d)
-    p = _pairs(i)
-    found = patterns.gram_jaccard(p, patterns.paired(p, patterns.grams(i, DEFAULT)))
-    return found.select("pair_id", "common", "n_union", r6("jaccard_percent").alias("jaccard_percent"))
+    return patterns.overlap(i, _pairs(i), DEFAULT).select("pair_id", "common", "n_union", r6("jaccard_percent").alias("jaccard_percent"))
 
 
 def _hits(spark, d):

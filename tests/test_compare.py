@@ -152,6 +152,42 @@ def test_patterns(spark):
     assert sorted(h["first_offset_a"] for h in capped["same"]["common_patterns"]) == [0, 1, 2, 3, 4]
 
 
+def shuffled_bytes(spark, frame):
+    """Bytes that a run of the frame writes for exchanges."""
+    sc, jvm = spark.sparkContext, spark._jvm
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    frame.collect()
+    return total() - before
+
+
+@pytest.mark.parametrize("query", ["p4_gram_join"])
+def test_joins_of_patterns_ship_less_than_their_input(spark, tmp_path, query):
+    from siftmark.queries import QUERIES
+
+    words = [f"{x:x}" for x in range(3000)]
+    rows = [(i, " ".join(words[(i * 7919 + k * k * 31) % 3000] for k in range(1500))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    size = sum(p.stat().st_size for p in (tmp_path / "documents.parquet").glob("*.parquet"))
+    assert 0 < shuffled_bytes(spark, QUERIES[query](spark, str(tmp_path))) < 4 * size
+
+
+@pytest.mark.parametrize(("length", "most"), [(5, 2_000_000), (16, 30)])
+def test_packed_patterns_meet_as_tables_do(spark, monkeypatch, length, most):
+    text = pseudo(900, 5).hex().encode()
+    images, pairs = frames(spark, {"parts": (text * 3 + text[:100], text[700:] + text), "few": (b"abcabc" * 40, b"xabcabcabcab" * 9), "short": (b"abc", text), "none": (b"", b""), "one": (b"", b"a" * 200)})
+    monkeypatch.setattr(patterns, "PIECE_BYTES", 300)
+    monkeypatch.setattr(patterns, "PART_BYTES", 1500)
+    opts = CompareOptions(pattern_length=length, max_distinct_patterns=most, max_patterns=20)
+    met = patterns.paired(pairs, patterns.grams(images, opts)).cache()
+    assert sorted(patterns.overlap(images, pairs, opts).collect()) == sorted(patterns.gram_jaccard(pairs, met).collect())
+
+
 def test_overall_and_reports(spark, tmp_path):
     images, pairs = frames(spark, {"x": (minimal_pe(b".text", pseudo(3000, 1)), minimal_pe(b".text", pseudo(3000, 1)[:2000])), "y": (b"", b""), "z": (bytes(range(1, 13)), bytes(range(1, 13)))})
     odd = CompareOptions(weights={"ByteDiff": math.inf, "FuzzyHash": 1.7e308, "Format": math.nan, "Entropy": -1.0})

@@ -101,6 +101,24 @@ def test_gram_table():
             assert {g: (c, f) for g, c, f in zip(map(bytes, grams), counts, first, strict=True)} == {w: (windows.count(w), windows.index(w)) for w in set(windows)}
 
 
+@pytest.mark.parametrize("hashes", ["spread", "alike"])
+def test_equal_windows(monkeypatch, hashes):
+    if hashes == "alike":  # bytes decide where hashes agree
+        monkeypatch.setattr(K, "word_hashes", lambda words: words[0] & K.U64(1 << 62))
+    for data in (b"abc", b"abcabcabcabcabcd", seeded(400, 3) * 2, bytes(64), b"ab" * 200_000 + seeded(70, 1)):
+        for length in (1, 5, 8, 13, 16, 64):
+            words = K.window_words(data, length)
+            want = {}
+            for i in range(len(data) - length + 1):
+                want.setdefault(data[i : i + length], []).append(i)
+            assert list(map(bytes, K.word_bytes(words, length)[:50])) == [data[i : i + length] for i in range(len(words[0][:50]))]
+            if want:
+                order, starts = K.equal_windows(words)
+                assert sorted(map(np.ndarray.tolist, np.split(order, starts[1:]))) == sorted(want.values())
+            for most in (0, 3, len(want)):
+                assert K.distinct_end(data, length, most) == (sorted(x[0] for x in want.values())[most] if most < len(want) else max(0, len(data) - length + 1))
+
+
 def test_next_pow2():
     r = random.Random(1)
     for x in [0, 1, 2, 3, 2048, 2049, 1 << 30, 1 << 40] + [r.randrange(1 << 30) for _ in range(50)]:
