@@ -152,8 +152,7 @@ def _hits(spark, d):
 
 def p5_hits_by_join(spark, d):
     i = documents(spark, d)
-    p = _pairs(i)
-    return patterns.top_hits(patterns.paired(p, patterns.grams(i, DEFAULT)), DEFAULT).select("pair_id", "list", "rank", "hex", "count_a", "count_b")
+    return patterns.top_hits(patterns.best_met(i, _pairs(i), DEFAULT), DEFAULT).select("pair_id", "list", "rank", "hex", "count_a", "count_b")
 
 
 def p5_common_top(spark, d):

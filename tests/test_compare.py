@@ -166,7 +166,7 @@ def shuffled_bytes(spark, frame):
     return total() - before
 
 
-@pytest.mark.parametrize("query", ["p4_gram_join"])
+@pytest.mark.parametrize("query", ["p4_gram_join", "p5_hits_by_join"])
 def test_joins_of_patterns_ship_less_than_their_input(spark, tmp_path, query):
     from siftmark.queries import QUERIES
 
@@ -186,6 +186,7 @@ def test_packed_patterns_meet_as_tables_do(spark, monkeypatch, length, most):
     opts = CompareOptions(pattern_length=length, max_distinct_patterns=most, max_patterns=20)
     met = patterns.paired(pairs, patterns.grams(images, opts)).cache()
     assert sorted(patterns.overlap(images, pairs, opts).collect()) == sorted(patterns.gram_jaccard(pairs, met).collect())
+    assert sorted(patterns.top_hits(patterns.best_met(images, pairs, opts), opts).collect()) == sorted(patterns.top_hits(met, opts).collect())
 
 
 def test_overall_and_reports(spark, tmp_path):
