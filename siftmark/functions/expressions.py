@@ -14,8 +14,36 @@ def clamp_percent(x: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.nanvl(x, F.lit(0.0)))))
 
 
+def _digits_text(k: Column, digits: int) -> Column:
+    """The whole number k over 10**digits, with that many decimals."""
+    return F.concat((k / 10**digits).cast("long").cast("string"), F.lit("."), F.lpad((k % 10**digits).cast("string"), digits, "0"))
+
+
+def fixed_text(x: Column, digits: int) -> Column:
+    """As C's printf: the double's exact value decides, an exact half goes to the even digit.  (Java's format rounds its shortest decimal.)
+
+    x lies between k and k + 1 of the last digit.  Where it is the double next to the half between them, the half's exact
+    place is told by parts of the double whose products are exact below 2**20.
+    """
+    scale = 10**digits
+    k = F.floor(x * scale)
+    odd = (2 * k + 1).cast("double")
+    half = odd / (2 * scale)
+    head = F.floor(half * (1 << 20)).cast("double") / (1 << 20)
+    over = (head * (2 * scale) - odd) + (half - head) * (2 * scale)  # half less its exact place: the first difference is exact too
+    up = (x > half) | ((x == half) & ((over > 0) | ((over == 0) & (k % 2 == 1))))
+    return F.when((x >= 0) & (x < 1 << 20), _digits_text(k + up.cast("long"), digits)).otherwise(F.format_string(f"%.{digits}f", x))
+
+
 def percent_text(x: Column) -> Column:
-    return F.when(x.isNull(), F.lit("n/a")).otherwise(F.format_string("%.2f %%", x))
+    """Rounded half up as a double to two decimals."""
+    cents = F.floor(x * 100)
+    text = _digits_text(cents + (x * 100 - cents >= 0.5).cast("long"), 2)
+    return F.when(x.isNull(), F.lit("n/a")).otherwise(F.concat(F.when((x >= 0) & (x < 1 << 20), text).otherwise(F.format_string("%.2f", x)), F.lit(" %")))
+
+
+def exact_percent_text(x: Column) -> Column:
+    return F.when(x.isNull(), F.lit("n/a")).otherwise(F.concat(fixed_text(x, 2), F.lit(" %")))
 
 
 def whole_text(x: Column) -> Column:
@@ -24,7 +52,7 @@ def whole_text(x: Column) -> Column:
 
 def number_text(x: Column) -> Column:
     """At most three decimals, none that are zero."""
-    return F.regexp_replace(F.format_string("%.3f", x), r"\.?0+$", "")
+    return F.regexp_replace(fixed_text(x, 3), r"\.?0+$", "")
 
 
 def hex_spaced(data: Column | str) -> Column:

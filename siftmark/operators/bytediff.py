@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import clamp_percent, histogram_cosine, kernel, metrics, percent_text, whole_text, with_error
+from ..functions.expressions import clamp_percent, exact_percent_text, histogram_cosine, kernel, metrics, whole_text, with_error
 from ..functions.kernels import chunk_lengths, histogram
 from ..options import CompareOptions
 from ..sources.images import both_sides
@@ -111,7 +111,7 @@ def section(images: DataFrame, pairs: DataFrame, opts: CompareOptions) -> DataFr
         error,
         "pair_id", F.col("jaccard_percent").alias("similarity_percent"), "jaccard_percent", "cosine_percent", "common", "only_a", "only_b", "total_a", "total_b", "map_a", "map_b",
         metrics(
-            ("Similarity (Jaccard)", percent_text(F.col("jaccard_percent"))), ("Byte-histogram cosine", percent_text(F.col("cosine_percent"))),
+            ("Similarity (Jaccard)", exact_percent_text(F.col("jaccard_percent"))), ("Byte-histogram cosine", exact_percent_text(F.col("cosine_percent"))),
             ("Shared chunks", whole_text(F.col("common"))), ("Only in A", whole_text(F.col("only_a"))), ("Only in B", whole_text(F.col("only_b"))),
             ("Chunks A / B", F.concat_ws(" / ", whole_text(F.col("total_a")), whole_text(F.col("total_b")))),
         ).alias("metrics"),

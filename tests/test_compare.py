@@ -55,6 +55,35 @@ def test_fuzzy(spark):
     assert 0 <= r["range"]["similarity_percent"] <= 100 and r["range"]["shingle_k"] == 8
 
 
+def test_numbers_are_written_by_their_exact_values(spark):
+    from pyspark.sql import functions as F
+
+    from siftmark.functions.expressions import fixed_text, number_text, percent_text
+
+    ties = [(2 * k + 1) / n for n in (200, 2000) for k in (*range(0, 3000, 7), 9999, 99_999, 10**6)]
+    values = [*(y for x in ties for y in (x, math.nextafter(x, 0), math.nextafter(x, 1e9))), *(k / 16 for k in range(200)), 0.0, 1.5625, 100.0, 0.1 + 0.2]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select("x", fixed_text(F.col("x"), 2).alias("two"), number_text(F.col("x")).alias("three"), percent_text(F.col("x")).alias("percent")).collect()
+    assert [r["two"] for r in got] == [f"{x:.2f}" for x in values]
+    assert [r["three"] for r in got] == [f"{x:.3f}".rstrip("0").rstrip(".") for x in values]
+    assert [r["percent"] for r in got] == [f"{(math.floor(x * 100) + (x * 100 - math.floor(x * 100) >= 0.5)) / 100:.2f} %" for x in values]
+
+
+def test_entropy_metrics_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from siftmark.oracles import ORACLES
+    from siftmark.queries import QUERIES
+
+    some = "abcdefghijklmnopqrstuvwxyzABCDEFGH"
+    wide = "".join(map(chr, range(32, 128))) + "".join(chr((2 + i % 30) << 6 | i % 64) for i in range(80))  # 256 bytes, over 7 bits each
+    # 4.8125 bits, 4.5625 bits, and a share of 1 in 64 blocks: exact halves of the third decimal
+    texts = ["abc" + some[:29], "abcdefg" + some[:25], wide + "a" * (256 * 63), "abcdefgh" * 4, "", "a" * 700 + "bc"]
+    spark.createDataFrame([*enumerate(texts + texts[::-1] + texts[::2])], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(map(tuple, QUERIES["r8_entropy"](spark, str(tmp_path)).collect())) == sorted(duck.execute(ORACLES["r8_entropy"]).fetchall())
+
+
 def test_digest_similarity_rules(spark):
     from pyspark.sql import functions as F
 
