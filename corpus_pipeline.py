@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmark.llm.common import stored
+from siftmark.llm.common import return_heap, small_batches, stored
 from siftmark.llm.jaccard import drop_near_duplicates
 from siftmark.llm.linededup import drop_boilerplate
 from siftmark.llm.mixing import mixed_documents
@@ -21,6 +21,12 @@ from siftmark.llm.toxicity import drop_toxic
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def begin(spark: SparkSession) -> None:
+    """What every stage does first: executors still hold the heap of the stage before, and batches of 64 MB may be set."""
+    small_batches(spark)
+    return_heap(spark)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores 0.7 or more go; it learns from ``labels`` of ``sf_dir``.
 
@@ -28,6 +34,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with null or repeated ids are scored each by its own text; other columns, whatever their names,
     are handed on.  An empty table stays empty, and without labels nothing goes.
     """
+    begin(spark)
     return drop_toxic(docs, table(spark, sf_dir, "labels"), threshold=0.7)
 
 
@@ -38,6 +45,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     as rows are kept as they are; copies count as one text; a text whose lines all go is empty; of
     the other columns only n_chars changes, to the characters left.  An empty table stays empty.
     """
+    begin(spark)
     cleaned = drop_boilerplate(docs, "doc_id", "source", "text", ratio=0.02, min_pages=3, copies_once=True)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -49,6 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     each text that is no duplicate; texts without words link with nothing: one of each id stays, and
     all with a null id.  Other columns, whatever their names, are handed on.  An empty table stays empty.
     """
+    begin(spark)
     return drop_near_duplicates(docs, words=5, num=4, den=5)
 
 
@@ -58,6 +67,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts and texts without words are never taken; a null source is a source; rows with null or
     repeated ids are drawn each by id and text.  Other columns are handed on.  An empty table stays empty.
     """
+    begin(spark)
     return mixed_documents(docs)
 
 
@@ -67,6 +77,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is its end id alone; a null id is kept; rows that repeat are packed as often as they
     occur; long texts are cut into pieces of 4096.  Other columns are not read.  An empty table gives no rows.
     """
+    begin(spark)
     return pack_documents(docs, tokenizer_path(), capacity=4096, end_id=1, cache_words=250_000)
 
 

@@ -50,6 +50,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "4194304b")
 
 
+def return_heap(spark: SparkSession) -> None:
+    """Executors collect their garbage, upon which their JVMs return unused heap to the system.
+
+    A JVM keeps the heap that an earlier stage made it take, though the next one fills Python workers.
+    As many tasks as cores, while nothing else runs, reach every executor; one missed keeps its heap, no more.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``, or where it is unset a local one, on a local master alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -149,4 +159,4 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-__all__ = ["HOT_PARTS", "components", "discard", "fresh_path", "lookup", "shared_folder", "stored", "tidy"]
+__all__ = ["HOT_PARTS", "components", "discard", "fresh_path", "lookup", "return_heap", "shared_folder", "stored", "tidy"]

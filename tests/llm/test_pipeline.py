@@ -145,6 +145,40 @@ def test_stages_of_an_empty_table(spark):
         assert now.count() == 0, name
 
 
+def test_a_stage_begins_with_little_heap_and_small_batches(spark):
+    """Executors (here the driver's JVM) return the heap that others left."""
+    import corpus_pipeline as pipeline
+
+    key, jvm = "spark.sql.execution.arrow.maxBytesPerBatch", spark._jvm
+    was, memory = spark.conf.get(key), jvm.java.lang.Runtime.getRuntime()
+    try:
+        spark.conf.unset(key)
+        held = [jvm.java.nio.ByteBuffer.allocate(250_000_000) for _ in range(6)]
+        grown = memory.totalMemory()
+        for x in held:
+            spark.sparkContext._gateway.detach(x)
+        pipeline.begin(spark)
+        assert memory.totalMemory() < grown - 500_000_000
+        assert spark.conf.get(key) == "4194304b"
+    finally:
+        spark.conf.set(key, was)
+
+
+def test_every_stage_begins_so(spark, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    class Begun(Exception):
+        pass
+
+    def begin(session):
+        raise Begun
+
+    monkeypatch.setattr(pipeline, "begin", begin)
+    for _, stage in pipeline.STAGES:
+        with pytest.raises(Begun):
+            stage(spark, spark.range(0), SMALL)
+
+
 @pytest.mark.parametrize("leftover", [False, True])
 def test_registry_works_without_the_subpackage(tmp_path, leftover):
     shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
